@@ -4,20 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import quality
+from turnloom.llm import bpe, quality, token_count
 
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+COUNT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, ["doc_id"], ids=False)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), COUNT_TOKENIZER)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(documents(spark, sf_dir))
+    return quality.score(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_token_counts": op3_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
