@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, quality, token_count
+from turnloom.llm import bpe, quality, simhash, token_count
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COUNT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), COUNT_TOKENIZER)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_token_counts": op3_token_counts,
+    "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
