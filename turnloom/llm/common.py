@@ -88,25 +88,26 @@ def chunks_by_size(texts: list[str], limit: int = 4 << 20) -> Iterator[tuple[int
         yield a, len(texts)
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], fn: Callable[[list[str]], dict[str, pa.Array]], schema: str, null_as: str | None = "") -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: list[str], fn: Callable[..., dict[str, pa.Array]], schema: str, also: str | None = None) -> DataFrame:
     """Run fn over bounded lists of whole texts in Arrow batches.
 
-    keep: columns carried unchanged. fn gets the texts (null becomes null_as) and gives columns
-    of equal length. schema: DDL of fn's columns only. Extra columns of df are dropped, so no
+    keep: columns carried unchanged. fn gets the texts (null becomes empty), with also that
+    column's values as a second list, and gives columns of equal length. schema: DDL of fn's columns only. Extra columns of df are dropped, so no
     name of theirs can clash.
     """
 
     prepare(df.sparkSession)
-    src = df.select(*[df[c] for c in keep], df[text].alias("__text"))
+    src = df.select(*[df[c] for c in keep], df[text].alias("__text"), *([df[also].alias("__also")] if also else []))
     names = list(keep)
     out_schema = ", ".join([f"`{c}` {dict(src.dtypes)[c]}" for c in names] + [schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [null_as if t is None else t for t in b.column("__text").to_pylist()]
-            for lo, hi in chunks_by_size([t or "" for t in texts]):
+            texts = [t or "" for t in b.column("__text").to_pylist()]
+            more = [b.column("__also").to_pylist()] if also else []
+            for lo, hi in chunks_by_size(texts):
                 cols = {c: b.column(c).slice(lo, hi - lo) for c in names}
-                cols |= fn(texts[lo:hi])
+                cols |= fn(texts[lo:hi], *(m[lo:hi] for m in more))
                 yield pa.RecordBatch.from_pydict(cols)
 
     return src.mapInArrow(run, out_schema)
