@@ -1,25 +1,60 @@
-"""Corpus pipeline over documents: quality rules and more stages."""
+"""Corpus pipeline over documents: rejects, near-duplicates, leaks and secrets go, ids come out.
+
+Every stage works on all rows that the one before it kept and treats nulls, empty texts and
+repeated rows as its operator does. run() writes each stage's rows as Parquet in the shared
+folder and rereads them, so a lost executor costs one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import quality
+from turnloom.llm import bpe, decontaminate, quality, secret_scan, simhash
+from turnloom.llm.common import written
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the rules reject go."""
     return quality.keep(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked."""
+    return secret_scan.mask_secrets(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs, RANKS, ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("encoding", encoding),
+]
 
-#: The verdicts come from fitted models, which SQL cannot express; tests hold the stages to brute force.
+#: Posteriors, forests and merges cannot be expressed in SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
