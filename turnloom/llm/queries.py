@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, decontaminate, quality, secret_scan, simhash, token_count, warc
+from turnloom.llm import bpe, decontaminate, language_id, license_scan, quality, secret_scan, simhash, token_count, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COUNT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, ["doc_id"], ids=False)
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, digest of the canonical text, license_id of a whole licence text, notices found as lines."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), COUNT_TOKENIZER)
 
@@ -30,6 +35,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,8 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_license_scans": op2_license_scans,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scans": op4_secret_scans,
+    "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
