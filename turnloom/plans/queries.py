@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from turnloom.functions import scalars
 from turnloom.operators import requests, training, validation, windows
+from turnloom.plans import texts
 from turnloom.plans.registry import for_duck, query
+from turnloom.ship import ship
 from turnloom.streaming import history
 
 SQL = scalars.QUERIES | windows.QUERIES | validation.QUERIES | requests.QUERIES | history.QUERIES
-QUERIES = {name: query(sql) for name, sql in SQL.items()} | training.QUERIES
-ORACLE = {name: for_duck(sql) for name, sql in SQL.items()} | training.ORACLE
+
+
+def _shipped(run):
+    """run, after the package is sent to the executors, whose Python may not see this folder."""
+
+    @wraps(run)
+    def call(spark, sf_dir):
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return call
+
+
+QUERIES = {name: query(sql) for name, sql in SQL.items()} | training.QUERIES | {name: _shipped(run) for name, run in texts.QUERIES.items()}
+ORACLE = {name: for_duck(sql) for name, sql in SQL.items()} | training.ORACLE | texts.ORACLE
