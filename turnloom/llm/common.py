@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from turnloom.ship import ship
+
 #: Rows of an Arrow batch sent to Python; long texts make batches of any row count large, so
 #: the byte bound below holds as well.
 BATCH_ROWS = 2000
@@ -23,18 +23,7 @@ def prepare(spark: SparkSession) -> None:
     """Ship this package to the executors once per application and bound Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_turnloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    out = os.path.join(tempfile.mkdtemp(prefix="ship"), "turnloom_src.zip")
-    Path(out).write_bytes(buf.getvalue())
-    sc.addPyFile(out)
-    sc._turnloom_shipped = True
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
