@@ -90,7 +90,7 @@ def posteriors(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """
     m = len(RULES)
     vector = ", ".join(f"CASE substr(votes, {j + 1}, 1) WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END" for j in range(m))
-    one = patterns.groupBy().agg(F.expr(f"array_sort(collect_list(struct(votes, cast(n as double) AS n, array({vector}) AS v))) AS p"))
+    one = patterns.groupBy().agg(F.expr(f"array_sort(collect_list(struct(votes, cast(n as double) AS n, array({vector}) AS v))) AS p")).where("size(p) > 0")
     odds = f"aggregate(sequence(1, {m}), ln(s.prior / (1 - s.prior)), (a, j) -> a + CASE x.v[j - 1] WHEN 1 THEN ln(s.good[j - 1] / (1 - s.bad[j - 1])) WHEN -1 THEN ln((1 - s.good[j - 1]) / s.bad[j - 1]) ELSE 0D END)"
     expect = f"transform(p, x -> 1 / (1 + exp(-({odds}))))"
 
@@ -134,5 +134,6 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def keep(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of df that are kept, with df's own columns."""
     cols = df.columns
-    scored = written(counted(df, text).withColumn("__votes", votes()), "quality")
-    return judged(scored).where("__kept").select(*cols)
+    d = df.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(cols)})
+    scored = written(counted(d, f"__c{cols.index(text)}").withColumn("__votes", votes()), "quality")
+    return judged(scored).where("__kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(cols)])
