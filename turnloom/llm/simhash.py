@@ -88,7 +88,7 @@ def variants(fp: str = "fp") -> Column:
 def first_bucket(a: str, b: str) -> str:
     """SQL: the number (part * 64 + place) of the first bucket that two fingerprints share."""
     part = lambda s: f"(shiftrightunsigned({a} ^ {b}, {s * BITS}) & 4294967295L)"
-    place = lambda s: f"CASE WHEN {part(s)} = 0 THEN 0 ELSE cast(log2(cast({part(s)} as double)) as int) END"
+    place = lambda s: f"CASE WHEN {part(s)} = 0 THEN 0 ELSE bit_count({part(s)} - 1) END"
     return f"(CASE WHEN bit_count({part(0)}) <= 1 THEN {place(0)} ELSE 64 + {place(1)} END)"
 
 
