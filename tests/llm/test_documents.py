@@ -1,0 +1,157 @@
+"""Quality, licences, secrets, languages and benchmark windows against brute force."""
+
+import re
+from collections import Counter
+from hashlib import sha256
+from zlib import crc32
+
+import numpy as np
+
+from turnloom.llm import decontaminate, language_id, license_scan, quality, secret_scan
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    three = list(zip(w, w[1:], w[2:]))
+    often = Counter(three)
+    covered = {j for i, s in enumerate(three) if often[s] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def em(patterns):
+    """The fit of quality.posteriors in numpy."""
+    v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p in patterns])
+    n = np.array(list(patterns.values()), float)
+    prior, good, bad = 0.8, np.full(v.shape[1], 0.98), np.full(v.shape[1], 0.3)
+
+    def expect():
+        odds = np.log(prior / (1 - prior)) + np.where(v == 1, np.log(good / (1 - bad)), np.where(v == -1, np.log((1 - good) / bad), 0)).sum(1)
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(quality.ITERATIONS):
+        q = expect()
+        prior = np.clip((1 + (n * q).sum()) / (2 + n.sum()), 0.02, 0.98)
+        good = np.clip((99 + ((n * q)[:, None] * (v == 1)).sum(0)) / (100 + ((n * q)[:, None] * abs(v)).sum(0)), *quality.GOOD_BOUNDS)
+        bad = np.clip((3 + ((n * (1 - q))[:, None] * (v == -1)).sum(0)) / (10 + ((n * (1 - q))[:, None] * abs(v)).sum(0)), *quality.BAD_BOUNDS)
+    return dict(zip(patterns, expect()))
+
+
+def check_quality(df):
+    got = quality.score(df).collect()
+    rows = df.select("doc_id", "text").collect()
+    want = sorted((str(r.doc_id), *(c := counts(r.text)), c[0] < 50 or 100 * c[4] > 50 * c[0]) for r in rows)
+    assert sorted((str(g.doc_id), g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) for g in got) == want
+    post = em(Counter(g.votes for g in got))
+    for g in got:
+        assert abs(g.posterior - post[g.votes]) < 1e-6 and g.kept == (not g.base_failed and g.posterior >= quality.THRESHOLD)
+    return got
+
+
+def test_quality(spark, sf, odd):
+    check_quality(odd)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {g.doc_id: g for g in check_quality(docs)}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    long = [r for r in labels if r.quality == 1 and got[r.doc_id].n_words >= 50]
+    assert sum(got[r.doc_id].kept for r in long) >= 0.97 * len(long)
+    assert quality.score(odd.limit(0)).count() == 0
+    assert quality.keep(odd).columns == odd.columns
+    assert sorted(r.doc_id for r in quality.keep(docs).collect()) == sorted(i for i, g in got.items() if g.kept)
+
+
+def windows(items):
+    found = {}
+    for k, t in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1) if n else ():
+            found.setdefault(tuple(w[i : i + n]), set()).add(k)
+    return found
+
+
+def hit_row(doc_id, text, found):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    hit, items = set(), set()
+    for n in {len(k) for k in found}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in found:
+                hit.update(range(i, i + n))
+                items |= found[tuple(w[i : i + n])]
+    return str(doc_id), len(w), len(hit), len(items), sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
+
+
+def test_decontamination(spark, sf, odd, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").union(spark.createDataFrame([(900, "The QUICK, brown fox"), (901, "north jumps"), (902, None), (903, "..."), (None, "lazy dog")], "item_id bigint, text string"))
+    found = windows([("" if r.item_id is None else str(r.item_id), r.text) for r in bench.collect()])
+    want = sorted(hit_row(r.doc_id, r.text, found) for r in docs.collect())
+    read = lambda: sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(docs, bench).collect())
+    assert read() == want
+    kept = decontaminate.keep_clean(odd, bench)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(w[0] for r in odd.collect() if not (w := hit_row(r.doc_id, r.text, found))[5])
+    assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 3000)  # several automata
+    assert read() == want
+
+
+def test_words_map_to_their_places():
+    t = "Héllo, the-World 1x 漢字!"
+    assert [t[a:b] for a, b in decontaminate.word_spans(t)] == ["Héllo", "the", "World", "1x", "漢字"]
+
+
+def test_secrets(spark, odd):
+    model = secret_scan.default_model()
+    fresh = secret_scan.labelled_findings(1000, seed=77)
+    p = model.probability(np.array([secret_scan.features(*f[:4]) for f in fresh]))
+    assert ((p >= secret_scan.THRESHOLD) == [f[4] for f in fresh]).mean() > 0.97
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'fn token = "{key}" end', "token = your_token_goes_here_please now", "call 555", f"commit {key} done", None, ""]
+    d = spark.createDataFrame([(i, t, None, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, source string, masked string")
+    got = {r.doc_id: r for r in secret_scan.scan(d, ["doc_id"]).collect()}
+    assert [got[i].n_secrets for i in range(6)] == [1, 0, 0, 0, 0, 0]
+    f = got[0].findings[0]
+    assert texts[0][f.start : f.end] == key
+    m = {r.doc_id: r.text for r in secret_scan.mask_secrets(d).collect()}
+    assert m == {i: t for i, t in enumerate(texts)} | {0: 'fn token = "[SECRET]" end'}
+    assert secret_scan.mask_secrets(odd).columns == odd.columns and secret_scan.scan(odd, ["doc_id"]).count() == odd.count()
+    assert secret_scan.scan(odd.limit(0), ["doc_id"]).count() == 0
+
+
+def test_languages(spark, sf, odd):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    truth = {r.doc_id: r for r in docs.collect()}
+    got = language_id.identify(docs).collect()
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(truth[r.doc_id].lang == r.lang_pred for r in held) >= 0.98 * len(held) and len(got) == len(truth)
+    assert {r.lang_pred for r in language_id.identify(odd).collect()} == {"und"}  # nothing to learn from
+    mixed = docs.select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
+    none = [r for r in language_id.identify(mixed).join(mixed.where("doc_id IN (2, 3, 4, 9)").select("doc_id").distinct(), "doc_id").collect()]
+    assert len([r for r in none if r.lang_pred == "und" and r.score == 0]) == 4
+    assert language_id.identify(docs.limit(0)).count() == 0
+
+
+def test_codewords_are_far_apart():
+    c = language_id.codewords(4)
+    assert min((c[i] != c[j]).sum() for i in range(4) for j in range(i)) >= 6
+
+
+def test_licences(spark, odd, monkeypatch):
+    mit = next(t for i, k, t in license_scan.KNOWN if (i, k) == ("MIT", "text"))
+    shouted = "Copyright (c) 2019 Someone\n" + mit.upper().replace("LICENSE", "LICENCE").replace(",", " ,")
+    texts = [mit, shouted, mit + " and more", "Words.\nlicensed under   the Apache Licence, version 2.0!\nReleased under the MIT License\nmore", "", None, "nothing"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = [("MIT", ""), ("MIT", ""), (None, ""), (None, "Apache-2.0,MIT"), (None, ""), (None, ""), (None, "")]
+    read = lambda: [(r.license_id, r.notices) for r in license_scan.scan(d).orderBy("doc_id").collect()]
+    assert read() == want
+    assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(odd.limit(0)).count() == 0
+    monkeypatch.setattr(license_scan, "MAX_KNOWN", 0)  # the way without a broadcast
+    assert read() == want
