@@ -107,8 +107,8 @@ def linked(fps: DataFrame) -> DataFrame:
     rest = rest.select("fp", "key", F.coalesce("component", "fp").alias("c"))
     mixed = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rest = checkpointed(rest.join(mixed, "key", "left_semi"))
-    x, y = rest.toDF("x", "key", "cx"), rest.toDF("y", "key", "cy")
-    cross = x.join(y, (x["key"] == y["key"]) & (x["cx"] < y["cy"]) & (apart("x", "y") <= DISTANCE) & (F.shiftright(x["key"], 32) == F.expr(first_bucket("x", "y"))))
+    x, y = (rest.select(F.col("fp").alias(v), F.col("key").alias("bucket"), F.col("c").alias(f"c{v}")) for v in "xy")
+    cross = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("cx") < F.col("cy")) & (apart("x", "y") <= DISTANCE) & (F.shiftright(x["bucket"], 32) == F.expr(first_bucket("x", "y"))))
     more = checkpointed(cross.select("cx", "cy").distinct())
     merged = components(more).toDF("component", "top")
     found = comp.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
