@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import bpe, decontaminate, language_id, license_scan, quality, secret_scan, simhash, substring_dedup, token_count, warc
+from turnloom.llm import bpe, decontaminate, language_id, license_scan, oracles, quality, secret_scan, simhash, substring_dedup, token_count, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COUNT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracles.ORACLE
