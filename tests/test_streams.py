@@ -101,3 +101,22 @@ def test_raw_ids_and_sinks(spark, tmp_path):
     records.append_errors(e, str(tmp_path / "log"))
     records.append_errors(e, str(tmp_path / "log"))
     assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ["[t] m"] * 2
+
+
+def test_prompts_extend_the_stream():
+    from turnloom.streaming.continuation import code_points, prompts
+
+    rows = prompts([(1, "ab", "c~", "t"), (2, "d", "e", "t"), (3, "x", "y", "other"), (4, "f", "", "t")], code_points, [ord("~"), ord("\n")], code_points("P"))
+    text = ["".join(map(chr, ids)) if ids else None for _, ids, _ in rows]
+    assert text == ["Pab", "Pabc~\nd", None, "Pabc~\nde~\nf"] and rows[2][2] == "tools changed"
+
+
+def test_settings():
+    import pytest
+
+    from turnloom.sources.config import load
+
+    assert load(None).max_streams == 4096 and load({"engine_urls": "a, b"}).engine_urls == ["a", "b"]
+    for bad in ({"nope": 1}, {"record_dir": "x"}, {"engine_urls": "a", "router_url": "b"}, {"max_streams": 0}):
+        with pytest.raises(ValueError):
+            load(bad)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import wraps
 
 from turnloom.functions import scalars
-from turnloom.operators import ordered, requests, training, validation, windows
+from turnloom.operators import lookups, ordered, requests, training, validation, windows
 from turnloom.plans import texts
 from turnloom.plans.registry import for_duck, query
 from turnloom.ship import ship
-from turnloom.streaming import history
+from turnloom.streaming import continuation, history
 
-SQL = scalars.QUERIES | windows.QUERIES | validation.QUERIES | requests.QUERIES | history.QUERIES
+SQL = scalars.QUERIES | windows.QUERIES | validation.QUERIES | requests.QUERIES | lookups.QUERIES | history.QUERIES
 
 
 def _shipped(run):
@@ -25,5 +25,5 @@ def _shipped(run):
     return call
 
 
-QUERIES = {name: query(sql) for name, sql in SQL.items()} | ordered.QUERIES | training.QUERIES | {name: _shipped(run) for name, run in texts.QUERIES.items()}
-ORACLE = {name: for_duck(sql) for name, sql in SQL.items()} | training.ORACLE | texts.ORACLE
+QUERIES = {name: query(sql) for name, sql in SQL.items()} | ordered.QUERIES | training.QUERIES | {name: _shipped(run) for name, run in (texts.QUERIES | continuation.QUERIES).items()}
+ORACLE = {name: for_duck(sql) for name, sql in SQL.items()} | training.ORACLE | texts.ORACLE | continuation.ORACLE
