@@ -276,7 +276,10 @@ def read_back(spark: SparkSession, index: str, id_type: str = "bigint", payload:
         if path is not None:
             yield rows(path, start, end - start)
 
-    places = entries(spark, index).select("path", "at", "size").repartition("path", F.expr(f"at div {FILE_BYTES}")).sortWithinPartitions("path", "at")
+    found = entries(spark, index).select("path", "at", "size")
+    # entries are small and what they stand for is not: the number of tasks follows the archives' bytes
+    total = found.agg(F.sum("size")).first()[0] or 0
+    places = found.repartition(1 + total // (2 * FILE_BYTES), "path", F.expr(f"at div {FILE_BYTES}")).sortWithinPartitions("path", "at")
     out = places.mapInArrow(run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload)
     return out.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
