@@ -6,9 +6,10 @@ where each bit's squared loss counts by that classifier's accuracy on the traini
 is the softmax of the negated losses; a text is ambiguous if the best two losses are closer than
 MARGIN.
 
-The classifiers are fitted on a bounded sample: at most PER_LANGUAGE texts of each language,
-those of the smallest hash of doc_id, among rows with a language and outside the held-out fold;
-at most MAX_LANGUAGES languages. Only the n-gram counts of that sample reach the driver.
+The classifiers are fitted on a bounded sample: of each language at most PER_LANGUAGE texts, those
+of the smallest hash of doc_id, among rows with a language and outside the held-out fold, and
+fewer of each where more than SAMPLE would come together. Only the n-gram counts of that sample
+reach the driver.
 
 Defined results: a null text or one without a letter is und with score 0; a null doc_id is not
 held out and never in the sample; repeated rows give one row each; with no labelled rows at all
@@ -27,7 +28,7 @@ from turnloom.llm import pretoken
 from turnloom.llm.common import map_texts
 
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+SAMPLE = 4000
 DIMS = 4096
 FOLDS, HELD_OUT = 3, 1
 RIDGE = 0.02
@@ -118,11 +119,13 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = df.select(df[key].cast("string").alias("k"), df[lang].alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
     # ranks are limited before the shuffle, so a language of most rows sends no more than others
-    picked = rows.where((fold(F.col("k")) != HELD_OUT) & F.col("lang").isNotNull()).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE).select("k", "lang").distinct()
-    ids = picked.limit(PER_LANGUAGE * MAX_LANGUAGES)
+    known = rows.where((fold(F.col("k")) != HELD_OUT) & F.col("lang").isNotNull())
+    each = max(2, min(PER_LANGUAGE, SAMPLE // max(1, known.agg(F.count_distinct("lang")).first()[0])))
+    picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("k", "lang").distinct()
+    ids = picked.limit(SAMPLE)
     src = df.select(df[key].cast("string").alias("k"), df[lang].alias("lang"), df[text].alias("text"))
     # as many rows as the sample has at most: a fixed bound
-    sample = src.join(F.broadcast(ids), ["k", "lang"], "left_semi").where("text IS NOT NULL").limit(PER_LANGUAGE * MAX_LANGUAGES)
+    sample = src.join(F.broadcast(ids), ["k", "lang"], "left_semi").where("text IS NOT NULL").limit(SAMPLE)
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
         x, ok = ngrams(texts)
