@@ -112,6 +112,8 @@ def test_repeated_passages(spark, passages, odd):
         s = got[i].spans[0]
         assert (s.start, s.end, s.partner, s.partner_start, s.partner_end) == (40, 100, 3, 40, 100)
     assert got[3].n_repeated == 60 and abs(got[6].n_repeated - 90) <= 4 and got[6].partners == [5]
+    assert [got[i].partners for i in (3, 9, 20, 5, 24, 25, 0)] == [[9], [3], [3], [6], [25], [24], []]
+    assert all(r.repeated == (r.n_repeated > 0) for r in got.values())
     assert got[25].class_id == 24 and got[24].n_repeated == got[25].n_repeated == 200
     assert substring_dedup.report(odd).count() == odd.count() and substring_dedup.report(d.limit(0)).count() == 0
 
