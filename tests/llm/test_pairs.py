@@ -124,6 +124,18 @@ def test_chains_follow_both_texts():
     assert best.tolist() == [0, 1, 3]
 
 
+def test_passages_that_a_chain_bridges(spark):
+    r = random.Random(9)
+    own = lambda n: prose(r, n)
+    one, two, small, tiny, copy = own(200), own(200), own(60), own(60), own(800)
+    docs = [one + own(250) + two, one + own(250) + two, own(30) + small + own(70) + tiny, small + own(70) + tiny + own(30), copy, copy[:400] + own(300) + copy[400:]]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in substring_dedup.report(d).collect()}
+    spans = [[(s.start, s.end, s.partner_start, s.partner_end) for s in got[i].spans] for i in (1, 3, 5)]
+    assert spans == [[(0, 200, 0, 200), (450, 650, 450, 650)], [(0, 60, 30, 90), (130, 190, 160, 220)], [(0, 400, 0, 400), (700, 1100, 400, 800)]]
+    assert [got[i].n_repeated for i in range(6)] == [400, 400, 120, 120, 800, 800]
+
+
 def test_archives(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     more = [(7001, "http://a.example.com/x?q=1#f", "z" * 99), (7002, "http://a.example.com/x?q=1", "z" * 99), (7003, None, None), (7004, "not a url\n", "y" * 100), (7005, "", "y" * 100), (None, "http://b/", "WARC/1.1\r\n\r\n" * 20), (7006, "http://b/", "w" * (17 << 20)), (7005, "", "y" * 100)]
