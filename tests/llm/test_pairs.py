@@ -136,6 +136,18 @@ def test_passages_that_a_chain_bridges(spark):
     assert [got[i].n_repeated for i in range(6)] == [400, 400, 120, 120, 800, 800]
 
 
+def test_passages_whose_seeds_first_occur_in_several_documents(spark):
+    r = random.Random(10)
+    whole = prose(r, 60)
+    three = prose(r, 75)
+    docs = [whole[:30] + prose(r, 99), prose(r, 99) + whole[30:], prose(r, 40) + whole + prose(r, 40), prose(r, 70) + whole + prose(r, 9)]
+    # two earlier holders of every part
+    docs += [prose(r, 50) + three[i : i + 25] + prose(r, 50) for i in (0, 25, 50, 0, 25, 50)] + [prose(r, 20) + three + prose(r, 20), prose(r, 30) + three]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in substring_dedup.report(d).collect()}
+    assert [(i, got[i].n_repeated, got[i].partners) for i in range(12) if got[i].repeated] == [(2, 60, [3]), (3, 60, [2]), (10, 75, [11]), (11, 75, [10])]
+
+
 def test_archives(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     more = [(7001, "http://a.example.com/x?q=1#f", "z" * 99), (7002, "http://a.example.com/x?q=1", "z" * 99), (7003, None, None), (7004, "not a url\n", "y" * 100), (7005, "", "y" * 100), (None, "http://b/", "WARC/1.1\r\n\r\n" * 20), (7006, "http://b/", "w" * (17 << 20)), (7005, "", "y" * 100)]
