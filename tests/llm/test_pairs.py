@@ -148,6 +148,17 @@ def test_passages_whose_seeds_first_occur_in_several_documents(spark):
     assert [(i, got[i].n_repeated, got[i].partners) for i in range(12) if got[i].repeated] == [(2, 60, [3]), (3, 60, [2]), (10, 75, [11]), (11, 75, [10])]
 
 
+def test_passages_with_every_eighth_word_changed(spark):
+    r = random.Random(12)
+    docs = []
+    for _ in range(12):
+        p = prose(r, 100)
+        docs += [prose(r, 50) + p + prose(r, 50), prose(r, 70) + [f"changed{k}" if k % 8 == 7 else w for k, w in enumerate(p)] + prose(r, 50)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in substring_dedup.report(d).collect()}
+    assert [got[i].partners for i in range(24)] == [[i ^ 1] for i in range(24)]
+
+
 def test_archives(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     more = [(7001, "http://a.example.com/x?q=1#f", "z" * 99), (7002, "http://a.example.com/x?q=1", "z" * 99), (7003, None, None), (7004, "not a url\n", "y" * 100), (7005, "", "y" * 100), (None, "http://b/", "WARC/1.1\r\n\r\n" * 20), (7006, "http://b/", "w" * (17 << 20)), (7005, "", "y" * 100)]
