@@ -1,5 +1,6 @@
 """Quality, licences, secrets, languages and benchmark windows against brute force."""
 
+import random
 import re
 from collections import Counter
 from hashlib import sha256
@@ -125,6 +126,21 @@ def test_secrets(spark, odd):
     assert secret_scan.scan(odd.limit(0), ["doc_id"]).count() == 0
 
 
+def test_long_secrets_are_whole():
+    r = random.Random(4)
+    some = lambda n: "".join(r.choices("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    jwt = f"eyJ{some(30)}.{some(500)}.{some(80)}"
+    rsa, lines = "-----{} RSA PRIVATE KEY-----", "\n".join(some(64) for _ in range(200))
+    pem = rsa.format("BEGIN") + "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,2B1C\n\n" + lines + "\n" + rsa.format("END")
+    values = [("token=", jwt), ("Bearer ", jwt), ("use ", "sk-proj-" + some(156)), ("use ", "xoxb-" + some(100)), ("use ", "AKIA" + "A1B2C3D4E5F6G7H8" + some(9)), ("use ", some(300)), ("password: ", some(9000)), ("key\n", pem), ("secret: ", pem)]
+    for lead, value in values:
+        text = f"see {lead}{value} end"
+        found = secret_scan.judge(secret_scan.default_model(), text, "src/app.py")
+        assert [(a, b) for a, b, _, _ in found] == [(4 + len(lead), 4 + len(lead) + len(value))], lead + value[:9]
+        if value != values[5][1]:  # a bare run is the forest's decision
+            assert found[0][3] >= secret_scan.THRESHOLD, lead + value[:9]
+
+
 def test_languages(spark, sf, odd):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     truth = {r.doc_id: r for r in docs.collect()}

@@ -1,7 +1,7 @@
 """Secret scans: patterns propose candidates, a random forest drops the false positives.
 
 Candidates are values of assignments to names such as token or password, strings of known key
-formats, and long runs of letters and digits. The forest looks at a candidate's length, its
+formats, and long runs of letters and digits, each to the end of its token at any length. The forest looks at a candidate's length, its
 transitions between character classes, how much of it dictionary words cover, the path it was
 found under, and the words beside it. It is trained from labelled findings: a list of
 (text, start, end, path, label). labelled_findings() makes such a list of N_FINDINGS examples by
@@ -30,10 +30,10 @@ from turnloom.llm.forest import Forest
 N_FINDINGS = 3000
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-_KEYED = r"(?i:\b(?:[a-z0-9]{1,20}[_-]){0,3}(?:token|secret|passwd|password|pwd|api_?key|access_?key|auth|credential)s?\b[\"']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}[\"']?)(?P<v>[^\s\"'<>,;]{8,256})"
-_FORMATS = r"\b(?P<f>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk-[A-Za-z0-9_-]{20,80}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
-_BLOCK = r"(?P<b>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,20}PRIVATE KEY-----)"
-_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])(?P<r>[A-Za-z0-9+/_=-]{24,256})(?![A-Za-z0-9+/_=-])"
+_KEYED = r"(?i:\b(?:[a-z0-9]{1,20}[_-]){0,3}(?:token|secret|passwd|password|pwd|api_?key|access_?key|auth|credential)s?\b[\"']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}[\"']?)(?!-----BEGIN )(?P<v>[^\s\"'<>,;]{8,})"
+_FORMATS = r"\b(?P<f>(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})*)[A-Za-z0-9+/_=-]*+)"
+_BLOCK = r"(?P<b>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.;()\\\s_]|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----)"
+_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])(?P<r>[A-Za-z0-9+/_=-]{24,}+)"
 FIND = re.compile("|".join((_BLOCK, _FORMATS, _KEYED, _RUN)))
 #: A text without any of these cannot have a candidate.
 MAYBE = re.compile(r"-----BEGIN|AKIA|gh[pousr]_|xox|sk-|AIza|eyJ|(?i:token|secret|passw|pwd|key|auth|credential)|[A-Za-z0-9+/_=-]{24}")
