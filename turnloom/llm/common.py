@@ -54,6 +54,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again, once all made from them is written."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_bytes(spark: SparkSession, path: str, limit: int = 64 << 20):
     """A vocabulary file as a broadcast variable; its size is checked against limit."""
     n = os.path.getsize(path)
