@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import tokens
 from turnloom.operators import captures, training
+from turnloom.plans import texts
 from turnloom.sources import adapter, records
 from turnloom.streaming import recorder
 
@@ -120,3 +121,12 @@ def test_settings():
     for bad in ({"nope": 1}, {"record_dir": "x"}, {"engine_urls": "a", "router_url": "b"}, {"max_streams": 0}):
         with pytest.raises(ValueError):
             load(bad)
+
+
+def test_capture_fold_has_whole_turns(spark, sf):
+    keys = ["session_id", "agent_id", "segment_index"]
+    n = {}
+    for r in adapter.turns(spark, sf).select(*keys, (F.col("n_prompt") + F.col("n_completion")).alias("n")).collect():
+        n[tuple(r)[:3]] = n.get(tuple(r)[:3], 0) + r.n
+    whole = [r for r in texts.capture_fold(spark, sf).collect() if not r.dropped]
+    assert whole and all(r.rows == n[r.session_id, r.agent_id, r.segment_index] for r in whole) and max(r.rows for r in whole) > 27

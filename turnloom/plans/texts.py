@@ -81,13 +81,13 @@ def sampled_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures of every segment from one blob a turn."""
-    t = adapter.turns(spark, sf_dir).withColumn("n", F.least(F.col("n_prompt") + F.col("n_completion"), F.lit(9)))
+    """Captures of every segment from one blob a turn, of its whole prompt and completion."""
+    t = adapter.turns(spark, sf_dir).withColumn("n", F.col("n_prompt") + F.col("n_completion"))
     from pyspark.sql.window import Window
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("session_id", "agent_id", "segment_index").orderBy("turn_ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = before + F.when(F.col("conv_id") % 6 == 1, 1).otherwise(0)
-    blobs = t.select("session_id", "agent_id", "segment_index", F.col("turn_ordinal").alias("ordinal"), F.base64(F.substring("prompt", 1, 9).cast("binary")).alias("data"), F.col("n").alias("rows"), F.lit(1).cast("bigint").alias("cols"), F.when(before == 0, F.lit(0)).otherwise(start).cast("bigint").alias("start"))
+    blobs = t.select("session_id", "agent_id", "segment_index", F.col("turn_ordinal").alias("ordinal"), F.base64(F.concat("prompt", "completion").cast("binary")).alias("data"), F.col("n").alias("rows"), F.lit(1).cast("bigint").alias("cols"), F.when(before == 0, F.lit(0)).otherwise(start).cast("bigint").alias("start"))
     return captures.fold(blobs).drop("data")
 
 
