@@ -171,3 +171,11 @@ def test_licences(spark, odd, monkeypatch):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(odd.limit(0)).count() == 0
     monkeypatch.setattr(license_scan, "MAX_KNOWN", 0)  # the way without a broadcast
     assert read() == want
+
+
+def test_notices_of_any_words(spark, monkeypatch):
+    d = spark.createDataFrame([(0, "some text\n  Public Domain!\nmore"), (1, "GPL-3.0-only\n\nx"), (2, "all rights are reserved")], "doc_id bigint, text string")
+    known = license_scan.known(spark, [("PD", "notice", "Public domain"), ("GPL-3.0", "notice", "GPL-3.0-only")])
+    for bound in (license_scan.MAX_KNOWN, 0):
+        monkeypatch.setattr(license_scan, "MAX_KNOWN", bound)
+        assert [r.notices for r in license_scan.scan(d, known).orderBy("doc_id").collect()] == ["PD", "GPL-3.0", ""]

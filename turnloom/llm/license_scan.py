@@ -101,7 +101,7 @@ def scan(df: DataFrame, table: DataFrame | None = None, key: str = "doc_id", tex
     digests = checkpointed(table.select("license_id", "kind", F.sha2(whole(canonical(F.col("text"))), 256).alias("digest")).groupBy("kind", "digest").agg(F.min("license_id").alias("license_id")))
     small = digests.count() <= MAX_KNOWN
     docs = df.select(df[key].alias("doc_id"), canonical(df[text]).alias("canon"))
-    docs = docs.select("doc_id", F.sha2(whole(F.col("canon")), 256).alias("digest"), F.filter(F.split("canon", "\n"), lambda x: x.contains("licen") | x.contains("under")).alias("lines"))
+    docs = docs.select("doc_id", F.sha2(whole(F.col("canon")), 256).alias("digest"), F.filter(F.split("canon", "\n"), lambda x: F.trim(x) != "").alias("lines"))
     docs = docs.withColumn("seen", F.array_distinct(F.transform("lines", lambda x: F.sha2(F.trim(x), 256)))).drop("lines")
     texts = digests.where("kind = 'text'").select("digest", "license_id")
     docs = docs.join(F.broadcast(texts) if small else texts, "digest", "left")
