@@ -44,12 +44,33 @@ def test_gap_prefix_header(spark):
     assert (r.g, r.c, r.p, r.d) == ([8], [], [1], [40, 5])
 
 
-def test_pack():
-    enc = lambda v: base64.b64encode(np.array(v, "<i4").tobytes()).decode()
-    assert base64.b64decode(captures.packed(enc([1, 2, 3, 255]), 2, 1)["data"]) == bytes([1, 2, 3, 255])
-    assert captures.packed(enc([1, 2, 3, 4, 5, 6]), 2, 2, 1, 2)["rows"] == 2
-    for bad in (enc([1, 2, 3]), enc([256, 1]), enc([-1, 1]), None, ""):
-        assert captures.packed(bad, 2, 1) is None
+def test_pack(spark):
+    as_text = lambda v, kind: base64.b64encode(np.array(v, kind).tobytes()).decode()
+
+    def file(v, kind):
+        import io
+
+        out = io.BytesIO()
+        np.save(out, np.array(v, kind))
+        return base64.b64encode(out.getvalue()).decode()
+
+    # text, prompt, completion, start, cols, bytes
+    plain = [
+        (as_text([9, 0, 255, 7], "<i4"), 2, 1, 0, None, [9, 0, 255, 7]), (as_text([[1, 2], [3, 4], [5, 6]], "<i4"), 2, 2, 1, 2, [3, 4, 5, 6]), (as_text([[3, 4], [5, 6]], "<i4"), 2, 2, 1, 2, [3, 4, 5, 6]),
+        (as_text([1, 2, 3], "<i4"), 2, 1, 0, None, None), (as_text([256, 1], "<i4"), 2, 1, 0, None, None), (as_text([-1, 1], "<i4"), 2, 1, 0, None, None), (as_text([1, 2], "<i4"), 2, 1, 0, 2, None),
+        (as_text([1, 2], "<i4"), 1, 0, 0, None, None), (None, 2, 1, 0, None, None), ("", 2, 1, 0, None, None), ("not base64!", 2, 1, 0, None, None), ("AQID", 2, 1, 0, None, None),
+    ]
+    files = [
+        (file([[[1], [2]], [[3], [255]]], "<i8"), 2, 1, 0, None, [1, 2, 3, 255]), (file([[1, 2], [3, 4]], "u1"), 1, 2, 1, 2, [3, 4]), (file([[3, 4]], "<u2"), 1, 2, 1, 2, [3, 4]),
+        (file([[1.0, 2.0]], "<f4"), 1, 1, 0, None, None), (file([[1, 2]], "<i4"), 2, 1, 0, None, None), (file([[1, 300]], "<i4"), 1, 1, 0, None, None), (file([[1, 2]], "<i4"), 1, 1, 0, 3, None),
+        (file([1, 2], "<i4"), 2, 1, 0, None, None), (file(np.asfortranarray([[1, 2], [3, 4]]), "<i4"), 2, 1, 0, None, None), (as_text([1, 2], "<i4"), 2, 1, 0, None, None), (None, 2, 1, 0, None, None),
+    ]
+    schema = "e string, p bigint, c bigint, s bigint, w bigint, want array<int>"
+    for rows, pack in ((plain, captures.pack), (files, captures.pack_npy)):
+        d = spark.createDataFrame(rows, schema).withColumn("b", pack(F.col("e"), F.col("p"), F.col("c"), F.col("s"), F.col("w")))
+        for r in d.collect():
+            assert (None if r.b is None else list(base64.b64decode(r.b.data))) == r.want, r
+            assert r.b is None or (r.b.rows, r.b.cols * r.b.rows, r.b.dtype, r.b.start) == (r.p + r.c - 1 - r.s, len(r.want), "uint8", r.s)
 
 
 def test_fold(spark):

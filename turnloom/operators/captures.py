@@ -1,64 +1,93 @@
-"""Capture blobs: packing engine answers into uint8 rows, and folding deltas into coverage."""
+"""Capture blobs: engine answers as rows of bytes, and the fold of deltas into one blob a segment.
 
-from __future__ import annotations
+All of it is SQL functions. An answer's integers are read as hexadecimal digits: a value fits one
+byte if its other bytes are zero, so a pattern tells whether all fit and drops what is zero.
+"""
 
-import base64
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What a NumPy file starts with, in hexadecimal digits, and its integer types with their widths.
+_NPY = "934E554D5059"
+_WIDTHS = {"|u1": 1, "<u1": 1, "|i1": 1, "<i1": 1, "<u2": 2, "<i2": 2, "<u4": 4, "<i4": 4, "<u8": 8, "<i8": 8}
+BLOB = "struct<data:string,rows:bigint,cols:bigint,dtype:string,start:bigint>"
+
+
+def _bytes(digits: Column, width: Column | int) -> Column:
+    """Little-endian integers of width bytes, as one byte each; null if one does not fit."""
+    zeros = F.repeat(F.lit("00"), F.lit(width) - 1 if isinstance(width, int) else width - 1)
+    fits = F.regexp_like(digits, F.concat(F.lit("^(..("), zeros, F.lit("))*$")))
+    return F.when(fits, F.regexp_replace(digits, F.concat(F.lit("(..)"), zeros), F.lit("$1")))
 
-def packed(encoded: str | None, n_prompt: int, n_completion: int, start: int = 0, cols: int | None = None) -> dict | None:
-    """uint8 rows of little-endian int32 values for [start, n_prompt + n_completion - 1); None if they don't line up."""
-    if not encoded:
-        return None
-    values = np.frombuffer(base64.b64decode(encoded), "<i4")
-    full = n_prompt + n_completion - 1
-    rows = full - start
-    if start and cols and len(values) == full * cols:
-        values = values[start * cols :]
-    if rows <= 0 or not len(values) or len(values) % rows or (cols and len(values) != rows * cols) or values.min() < 0 or values.max() > 255:
-        return None
-    return {"data": base64.b64encode(values.astype(np.uint8).tobytes()).decode(), "rows": rows, "cols": len(values) // rows, "start": start}
 
+def _blob(digits: Column, n_rows: Column, cols: Column, start: Column) -> Column:
+    whole = digits.isNotNull() & (n_rows > 0) & (cols > 0) & (F.length(digits) == 2 * n_rows * cols)
+    return F.when(whole, F.struct(F.base64(F.unhex(digits)).alias("data"), n_rows.cast("bigint").alias("rows"), cols.cast("bigint").alias("cols"), F.lit("uint8").alias("dtype"), start.cast("bigint").alias("start"))).cast(BLOB)
+
+
+def pack(encoded: Column, n_prompt: Column, n_completion: Column, start: Column | None = None, cols: Column | None = None) -> Column:
+    """Blob of an answer of base64 little-endian int32 values; null if it does not line up.
+
+    It has one row for each token from start on but the last one. cols is the stored blob's width,
+    if one is stored; an answer from row 0 on is then cut to the rows from start.
+    """
+    start = F.lit(0) if start is None else F.coalesce(start, F.lit(0))
+    known = F.lit(None).cast("bigint") if cols is None else cols.cast("bigint")
+    every = (n_prompt + n_completion - 1).cast("bigint")
+    wanted = every - start
+    digits = _bytes(F.hex(F.try_to_binary(encoded, F.lit("base64"))), 4)
+    size = F.length(digits) / 2
+    from_first = (start > 0) & (size == every * known)
+    kept = F.when(from_first, F.substr(digits, (start * known * 2 + 1).cast("int"))).otherwise(digits)
+    width = F.coalesce(known, F.when(wanted > 0, (F.length(kept) / 2 / wanted).cast("bigint")))
+    return _blob(kept, wanted, width, start)
 
-def pack(encoded: Column, n_prompt: Column, n_completion: Column) -> Column:
-    @F.pandas_udf("data string, rows bigint, cols bigint, start bigint")
-    def run(e: pd.Series, p: pd.Series, c: pd.Series) -> pd.DataFrame:
-        got = [packed(x, int(a), int(b)) or dict.fromkeys(("data", "rows", "cols", "start")) for x, a, b in zip(e, p, c)]
-        return pd.DataFrame(got, columns=["data", "rows", "cols", "start"])
 
-    return run(encoded, n_prompt, n_completion)
+def pack_npy(encoded: Column, n_prompt: Column, n_completion: Column, start: Column | None = None, cols: Column | None = None) -> Column:
+    """Blob of an answer that is a base64 NumPy file of integers (tokens, layers[, choices]); null if it does not line up."""
+    start = F.lit(0) if start is None else F.coalesce(start, F.lit(0))
+    known = F.lit(None).cast("bigint") if cols is None else cols.cast("bigint")
+    digits = F.hex(F.try_to_binary(encoded, F.lit("base64")))
+    major = F.conv(F.substring(digits, 13, 2), 16, 10).cast("int")
+    # the header's length is a little-endian number of two bytes, or of four from version 2 on
+    at = F.when(major == 1, 10).otherwise(12)
+    turned = F.concat(*[F.substr(digits, (at * 2 - 1 - 2 * i).cast("int"), F.lit(2)) for i in range(2)])
+    long = F.concat(*[F.substring(digits, 23 - 2 * i, 2) for i in range(4)])
+    size = F.conv(F.when(major == 1, turned).otherwise(long), 16, 10).cast("int")
+    head = F.decode(F.unhex(F.substr(digits, at * 2 + 1, size * 2)), "ISO-8859-1")
+    width = F.create_map(*[F.lit(x) for kv in _WIDTHS.items() for x in kv])[F.regexp_extract(head, "'descr': *'([^']*)'", 1)]
+    shape = F.transform(F.split(F.regexp_extract(head, r"'shape': *\(([0-9]+, *[0-9]+(?:, *[0-9]+)?)\)", 1), ", *"), lambda x: x.try_cast("bigint"))
+    n = F.get(shape, F.lit(0))
+    each = F.get(shape, F.lit(1)) * F.coalesce(F.get(shape, F.lit(2)), F.lit(1))
+    data = _bytes(F.substr(digits, (at + size) * 2 + 1), width)
+    good = digits.startswith(_NPY) & head.contains("'fortran_order': False") & (F.length(data) == 2 * n * each)
+    every = (n_prompt + n_completion - 1).cast("bigint")
+    kept = F.when((start > 0) & (n == every), F.substr(data, (start * each * 2 + 1).cast("int"))).otherwise(data)
+    return F.when(good & F.coalesce(known == each, F.lit(True)), _blob(kept, every - start, each, start))
 
 
-FOLD_SCHEMA = "session_id string, agent_id string, segment_index bigint, data string, rows bigint, cols bigint, accepted bigint, dropped bigint"
+KEYS = ["session_id", "agent_id", "segment_index"]
 
 
 def fold(blobs: DataFrame) -> DataFrame:
-    """One capture a segment from blobs (keys, ordinal, data, rows, cols, start) in order.
+    """One capture a segment from blobs (keys, ordinal, data, rows, cols, start) in order of ordinals.
 
     A delta that starts where the stored rows end, with the same columns, is appended; a blob
-    from row 0 with at least as many rows replaces; others are dropped. One group is one segment's
-    blobs: its size is bounded by the segment's tokens.
+    from row 0 with at least as many rows replaces; others are dropped. The fold runs over the
+    blobs' sizes; the data of those kept are joined once. One row is one segment's capture,
+    so its size is bounded by the segment's tokens.
     """
-    keys = ["session_id", "agent_id", "segment_index"]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        data, rows, cols, ok, bad = None, 0, 0, 0, 0
-        for b in g.sort_values("ordinal").itertuples():
-            raw = base64.b64decode(b.data)
-            if b.start and data is not None and b.start == rows and b.cols == cols:
-                data, rows = data + raw, rows + b.rows
-            elif b.start == 0 and (data is None or b.rows >= rows):
-                data, rows, cols = raw, b.rows, b.cols
-            else:
-                bad += 1
-                continue
-            ok += 1
-        head = g.iloc[0]
-        stored = None if data is None else base64.b64encode(data).decode()
-        return pd.DataFrame([[*(head[k] for k in keys), stored, rows, cols, ok, bad]], columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
-
-    return blobs.groupBy(*keys).applyInPandas(run, FOLD_SCHEMA)
+    piece = F.struct("ordinal", "rows", "cols", "start", F.unbase64("data").alias("data"))
+    g = blobs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    start = "named_struct('rows', 0L, 'cols', 0L, 'kept', CAST(NULL AS array<int>), 'accepted', 0L, 'dropped', 0L)"
+    step = """CASE WHEN s.kept IS NOT NULL AND x.start > 0 AND x.start = s.rows AND x.cols = s.cols
+            THEN named_struct('rows', s.rows + x.rows, 'cols', s.cols, 'kept', concat(s.kept, array(i)), 'accepted', s.accepted + 1L, 'dropped', s.dropped)
+        WHEN x.start = 0 AND (s.kept IS NULL OR x.rows >= s.rows)
+            THEN named_struct('rows', x.rows, 'cols', x.cols, 'kept', array(i), 'accepted', s.accepted + 1L, 'dropped', s.dropped)
+        ELSE named_struct('rows', s.rows, 'cols', s.cols, 'kept', s.kept, 'accepted', s.accepted, 'dropped', s.dropped + 1L) END"""
+    state = F.expr(f"aggregate(sequence(0, size(pieces) - 1), {start}, (s, i) -> transform(array(pieces[i]), x -> {step})[0])")
+    g = g.withColumn("s", state)
+    data = F.base64(F.unhex(F.array_join(F.transform("s.kept", lambda i: F.hex(F.get("pieces", i)["data"])), "")))
+    return g.select(*KEYS, data.alias("data"), "s.rows", "s.cols", "s.accepted", "s.dropped")

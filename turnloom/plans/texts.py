@@ -92,10 +92,11 @@ def capture_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One capture of two rows for each embedding, quantised to 0 to 255."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
-    hexed = F.array_join(F.transform("v", lambda x: F.concat(F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x + 1) * 128))).cast("bigint")), 2, "0"), F.lit("000000"))), "")
-    d = e.withColumn("p", captures.pack(F.base64(F.unhex(hexed)), F.lit(2), F.lit(1)))
+    """One capture of two rows for each whole embedding, quantised to bytes; every ninth has a value that doesn't fit."""
+    value = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x + 1) * 128))).cast("bigint")
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform("embedding", lambda x: F.concat(F.lpad(F.hex(value(x)), 2, "0"), F.lit("000000"))), "").alias("digits"))
+    digits = F.when(F.col("vec_id") % 9 == 4, F.concat(F.lit("00010000"), F.substring("digits", 9, 1 << 30))).otherwise(F.col("digits"))
+    d = e.withColumn("p", captures.pack(F.base64(F.unhex(digits)), F.lit(2), F.lit(1)))
     return d.select("vec_id", "p.rows", "p.cols", F.lower(F.hex(F.unbase64("p.data"))).alias("bytes"))
 
 
@@ -148,7 +149,8 @@ ORACLE = {f"tool_calls_{d}": _EXPECT for d in MARKUP} | {
     "turn_gaps": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '9' WHEN 2 THEN '8,9' WHEN 5 THEN '8,9' ELSE '7,8,9' END AS gap FROM documents",
     "implicit_prefixes": "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN NULL ELSE CASE doc_id % 4 WHEN 0 THEN '100' WHEN 1 THEN '100,101' WHEN 2 THEN '100,101,102' ELSE '100,101,102,103' END END AS prefix FROM documents",
     "sampled_headers": "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN CASE WHEN doc_id % 3 = 0 THEN '50,6' ELSE '40,41,6' END WHEN doc_id % 3 = 0 THEN NULL ELSE '6' END AS delta FROM documents",
-    "capture_pack": """SELECT vec_id, CAST(2 AS BIGINT) AS "rows", CAST(2 AS BIGINT) AS cols, lower(string_agg(printf('%02x', CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 1) * 128))) AS INTEGER)), '' ORDER BY i)) AS bytes FROM embeddings, unnest(generate_series(1, 4)) AS g(i) GROUP BY vec_id""",
+    "capture_pack": """SELECT vec_id, CASE WHEN fits THEN CAST(2 AS BIGINT) END AS "rows", CASE WHEN fits THEN CAST(n / 2 AS BIGINT) END AS cols, CASE WHEN fits THEN bytes END AS bytes
+        FROM (SELECT vec_id, vec_id % 9 <> 4 AS fits, count(*) AS n, string_agg(printf('%02x', CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 1) * 128))) AS INTEGER)), '' ORDER BY i) AS bytes FROM embeddings, unnest(generate_series(1, len(embedding))) AS g(i) GROUP BY vec_id) q""",
     "chat_responses": f"""WITH {DUCK_TURNS} SELECT conv_id, tn, '{{"object":"chat.completion","model":"m","choices":[{{"index":0,"message":{{"role":"assistant","content":"turn ' || conv_id || '"}},"finish_reason":"stop"}}],' || {_USAGE} AS body FROM turns""",
     "event_streams": f"""WITH {DUCK_TURNS} SELECT conv_id, tn, 0 AS place, 'data: {{"choices":[{{"index":0,"delta":{{"role":"assistant","content":"turn ' || conv_id || '"}}}}]}}' AS line FROM turns
         UNION ALL SELECT conv_id, tn, 1, 'data: {{"choices":[{{"index":0,"finish_reason":"stop"}}],' || {_USAGE} FROM turns UNION ALL SELECT conv_id, tn, 2, 'data: [DONE]' FROM turns""",
