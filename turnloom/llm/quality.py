@@ -4,14 +4,19 @@ Everything here is DataFrame or SQL functions; nothing runs Python on an executo
 
 Each rule looks at counts of one whole text and votes +1 (good), -1 (bad) or 0 (abstains). The
 vote vectors are counted over the whole table (at most 3 ** len(RULES) different vectors), and
-expectation-maximisation over those counts estimates each rule's accuracy on good and on bad
-texts and the share of good ones; abstaining is no evidence. A text is kept if its posterior probability of being good is at least THRESHOLD and the
-base rule of n_words and n_repeat_words does not fail.
+expectation-maximisation over those counts estimates each rule's accuracies and the share of good
+texts; abstaining is no evidence. Texts are bad in different ways, of which most rules see nothing: so
+besides the good texts there are as many kinds of bad ones as rules, and a rule has an accuracy on
+each. A kind's start is that its own rule is right on it (RIGHT) and the others take it for good
+(FOOLED); PRIOR votes of that stand beside the data, alike for all, and only say which class is
+which. Accuracies are free within BOUNDS. A text is kept if its posterior probability of being good
+is at least THRESHOLD and the base rule of n_words and n_repeat_words does not fail.
 
 Defined results: a null text counts as one without words (base_failed, not kept, because it has
 fewer than 50 words); an empty table gives an empty result; repeated rows and repeated doc_ids
 give one result row each; extra columns of the input never enter.
-Windows of three words are compared by their 64-bit hash within one text.
+Windows of three words are compared by their 64-bit hash within one text. Function words count as
+they are written, so shouted ones do not.
 """
 
 from __future__ import annotations
@@ -23,9 +28,14 @@ from turnloom.llm.common import checkpointed, written
 
 THRESHOLD = 0.5
 MIN_WORDS = 50
-ITERATIONS = 25
-#: Bounds of a rule's accuracy on good and on bad texts: no rule can turn into its opposite.
-GOOD_BOUNDS, BAD_BOUNDS = (0.995, 0.9999), (0.02, 0.99)
+ITERATIONS = 40
+#: What a rule votes + on at the start: good texts, bad texts of its own kind, and those of other kinds.
+GOOD, RIGHT, FOOLED = 0.9, 0.3, 0.9
+#: The share of good texts at the start.
+SHARE = 0.9
+#: Votes that the start counts as, for each rule and class.
+PRIOR = 10
+BOUNDS = (0.001, 0.999)
 WHITE = " \\t\\n\\u000b\\u000c\\r"
 WHITE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 #: Frequent function words of the languages.
@@ -83,32 +93,37 @@ def votes(q: str = "__q") -> Column:
 
 
 def posteriors(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    """(votes, posterior, prior, good, bad) of each vote vector, from (votes, n).
+    """(votes, posterior, shares, plus) of each vote vector, from (votes, n).
 
-    One row holds all vectors (3 ** len(RULES) at most, whatever the input), and the EM steps
-    are one SQL aggregate over that row.
+    shares: of the good texts, then of each kind of bad ones; plus: each rule's probability of a
+    vote + on each of these classes, if it votes. One row holds all vectors (3 ** len(RULES) at
+    most, whatever the input), and the EM steps are one SQL aggregate over that row.
     """
     m = len(RULES)
     vector = ", ".join(f"CASE substr(votes, {j + 1}, 1) WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END" for j in range(m))
     one = patterns.groupBy().agg(F.expr(f"array_sort(collect_list(struct(votes, cast(n as double) AS n, array({vector}) AS v))) AS p")).where("size(p) > 0")
-    odds = f"aggregate(sequence(1, {m}), ln(s.prior / (1 - s.prior)), (a, j) -> a + CASE x.v[j - 1] WHEN 1 THEN ln(s.good[j - 1] / (1 - s.bad[j - 1])) WHEN -1 THEN ln((1 - s.good[j - 1]) / s.bad[j - 1]) ELSE 0D END)"
-    expect = f"transform(p, x -> 1 / (1 + exp(-({odds}))))"
 
-    def total(start: str, weight: str) -> str:
-        return f"aggregate(sequence(1, size(p)), {start}D, (a, k) -> a + p[k - 1].n * {weight})"
-
-    def share(vote: int, of: str, first: tuple[int, int], bounds: tuple[float, float]) -> str:
-        hit = total(str(first[0]), f"if(p[k - 1].v[j - 1] = {vote}, {of}, 0D)")
-        cast = total(str(first[1]), f"abs(p[k - 1].v[j - 1]) * {of}")
-        return f"transform(sequence(1, {m}), j -> least({bounds[1]}D, greatest({bounds[0]}D, {hit} / {cast})))"
-
-    prior = f"least(0.98D, greatest(0.02D, {total('1', 'q[k - 1]')} / {total('2', '1D')}))"
-    step = f"transform(array({expect}), q -> named_struct('prior', {prior}, 'good', {share(1, 'q[k - 1]', (99, 100), GOOD_BOUNDS)}, 'bad', {share(-1, '(1 - q[k - 1])', (3, 10), BAD_BOUNDS)}))[0]"
-    fit = f"aggregate(sequence(1, {iterations}), named_struct('prior', 0.8D, 'good', array_repeat(0.98D, {m}), 'bad', array_repeat(0.3D, {m})), (s, i) -> {step})"
+    def numbers(values: list[float]) -> str:
+        return "array(" + ", ".join(f"{v}D" for v in values) + ")"
+
+    first = "array(" + ", ".join(numbers([(GOOD if c == 0 else RIGHT if c == j + 1 else FOOLED) for j in range(m)]) for c in range(m + 1)) + ")"
+    shares = numbers([SHARE] + [(1 - SHARE) / m] * m)
+    # probabilities of the classes for each vector, up to its own factor and then in all 1
+    likely = f"transform(s.logs, (l, c) -> exp(aggregate(sequence(0, {m - 1}), ln(s.shares[c]), (a, j) -> a + CASE x.v[j] WHEN 1 THEN l.yes[j] WHEN -1 THEN l.no[j] ELSE 0D END)))"
+    shared = f"transform(array({likely}), e -> transform(e, y -> y / aggregate(e, 0D, (a, z) -> a + z)))[0]"
+    state = "named_struct('shares', {shares}, 'plus', {plus}, 'logs', transform({plus}, t -> named_struct('yes', transform(t, y -> ln(y)), 'no', transform(t, y -> ln(1 - y)))))"
+    # weights of the vectors in each class, then votes + and all votes of each rule there
+    weights = f"transform(sequence(0, {m}), c -> transform(sequence(0, size(p) - 1), k -> p[k].n * q[k][c]))"
+    total = "aggregate(w[c], 0D, (a, y) -> a + y)"
+    cast = lambda hit: f"aggregate(sequence(0, size(p) - 1), 0D, (a, k) -> a + if({hit}, w[c][k], 0D))"
+    plus = f"transform({first}, (t, c) -> transform(t, (y, j) -> least({BOUNDS[1]}D, greatest({BOUNDS[0]}D, ({PRIOR} * y + {cast('p[k].v[j] = 1')}) / ({PRIOR} + {cast('p[k].v[j] <> 0')})))))"
+    every = "aggregate(p, 0D, (a, x) -> a + x.n)"
+    step = f"transform(array(transform(p, x -> {shared})), q -> transform(array({weights}), w -> transform(array(named_struct('a', transform(sequence(0, {m}), c -> (1 + {total}) / ({m + 1} + {every})), 'b', {plus})), u -> {state.format(shares='u.a', plus='u.b')})[0])[0])[0]"
+    fit = f"aggregate(sequence(1, {iterations}), {state.format(shares=shares, plus=first)}, (s, i) -> {step})"
     # generators keep Catalyst from merging the fit into the expressions that read it many times
     model = one.select(F.explode(F.array("p")).alias("p")).select(F.explode(F.array(F.struct(F.expr(fit).alias("s"), "p"))).alias("f")).select("f.s", "f.p")
-    model = model.selectExpr("s", f"transform(p, x -> struct(x.votes AS votes, 1 / (1 + exp(-({odds}))) AS posterior)) AS r")
-    return model.select("s", F.explode("r").alias("r")).select("r.votes", "r.posterior", F.col("s.prior").alias("prior"), F.col("s.good").alias("good"), F.col("s.bad").alias("bad"))
+    model = model.selectExpr("s", f"transform(p, x -> struct(x.votes AS votes, {shared}[0] AS posterior)) AS r")
+    return model.select("s", F.explode("r").alias("r")).select("r.votes", "r.posterior", "s.shares", "s.plus")
 
 
 def judged(scored: DataFrame) -> DataFrame:
