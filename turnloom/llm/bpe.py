@@ -4,9 +4,10 @@ Texts are cut by the splitting pattern's state machine. Pieces that are new to a
 encoded together: rows of equal length classes stand in padded numpy matrices, and in every round
 each row merges its leftmost pair of the lowest rank. Ranks come from a hash table of token pairs
 that numpy probes for all rows at once; after a round the rows are compacted to the left, finished
-rows leave the matrix, and spare columns go. A piece too long for that is one matrix of blocks:
-the same merges, with the lowest rank of each block kept, so that a round costs a block and not
-the piece. Decoding gathers the vocabulary's bytes by id.
+rows leave the matrix, and spare columns go. In a piece too long for that, a round merges all pairs
+of the lowest rank from the left on, up to the first whose new neighbours make a pair of a lower
+rank still, which comes next: the same merges in the same order, many at a time. Decoding gathers
+the vocabulary's bytes by id.
 
 Defined results: null is encoded as the empty text (no ids); strings that look like special
 tokens are ordinary text; repeated rows give one row each; an empty table gives an empty result;
@@ -26,7 +27,7 @@ from turnloom.llm import pretoken
 from turnloom.llm.common import map_texts, shared_bytes
 
 NONE = np.int32(1 << 30)
-#: Lengths up to which rows share a padded matrix; longer pieces are a matrix of blocks.
+#: Lengths up to which rows share a padded matrix.
 WIDTHS = [4, 8, 12, 16, 24, 32, 64, 128, 256, 512]
 CELLS = 1 << 18
 #: Pieces that a worker remembers with their ids.
@@ -40,6 +41,19 @@ class Ragged:
     def __init__(self, flat: np.ndarray, lens: np.ndarray) -> None:
         self.flat, self.lens = flat, lens.astype(np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
+        self.size = len(flat)
+
+    def add(self, more: list[np.ndarray]) -> None:
+        """Rows behind the others; room grows by doubling, so what is there is seldom copied."""
+        n, lens = self.size, np.array([len(m) for m in more], np.int64)
+        self.size = n + int(lens.sum())
+        if self.size > len(self.flat):
+            room = np.empty(2 * self.size, self.flat.dtype)
+            room[:n] = self.flat[:n]
+            self.flat = room
+        self.flat[n : self.size] = np.concatenate(more) if more else 0
+        self.lens = np.concatenate([self.lens, lens])
+        self.starts = np.concatenate([self.starts, n + np.cumsum(lens) - lens])
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         """The rows one after another."""
@@ -139,49 +153,38 @@ class Encoder:
             ranks[left, at[left] - 1] = self.pair_ranks(ids[left, at[left] - 1], best[left])
         return out
 
-    def _blocks(self, piece: bytes) -> np.ndarray:
+    def _long(self, piece: bytes) -> np.ndarray:
         """Ids of one long piece."""
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
-        n = len(ids)
-        width = max(64, int(n**0.5))
-        count = -(-n // width)
-        grid = np.full(count * width, -1, np.int32)
-        grid[:n] = ids
-        ranks = np.full(count * width, NONE, np.int32)
-        ranks[: n - 1] = self.pair_ranks(ids[:-1], ids[1:])
-        grid, ranks = grid.reshape(count, width), ranks.reshape(count, width)
-        lens = [min(width, n - i * width) for i in range(count)]
-        ahead, behind = [*range(1, count), -1], [*range(-1, count - 1)]
-        lowest = ranks.min(1)
-
-        def rank(a: int, b: int) -> int:
-            return int(self.pair_ranks(np.array([a], np.int32), np.array([b], np.int32))[0])
-
-        while True:
-            b = int(lowest.argmin())
-            best = int(lowest[b])
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)].copy()
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ids) > 1:
+            best = int(ranks.min())
             if best == NONE:
-                return np.concatenate([grid[i, :m] for i, m in enumerate(lens)])
-            k = int(ranks[b].argmin())
-            grid[b, k] = best
-            c, at = (b, k + 1) if k + 1 < lens[b] else (ahead[b], 0)
-            grid[c, at : lens[c] - 1] = grid[c, at + 1 : lens[c]]
-            ranks[c, at : lens[c] - 1] = ranks[c, at + 1 : lens[c]]
-            lens[c] -= 1
-            ranks[c, lens[c]] = NONE
-            if not lens[c]:
-                p, q = behind[c], ahead[c]
-                ahead[p] = q
-                if q >= 0:
-                    behind[q] = p
-            d, at = (b, k + 1) if k + 1 < lens[b] else (ahead[b], 0)
-            ranks[b, k] = rank(best, int(grid[d, at])) if d >= 0 else NONE
-            e, at = (b, k - 1) if k else (behind[b], lens[behind[b]] - 1 if behind[b] >= 0 else 0)
-            if e >= 0:
-                ranks[e, at] = rank(int(grid[e, at]), best)
-            for i in {b, c, e}:
-                if i >= 0:
-                    lowest[i] = ranks[i].min()
+                break
+            at = np.flatnonzero(ranks == best)
+            # of pairs that overlap, the first, the third and so on
+            run = np.cumsum(np.concatenate([[True], np.diff(at) > 1]))
+            first = at[np.searchsorted(run, run)]
+            at = at[(at - first) % 2 == 0]
+            # the pairs that each merge makes at once: with what stands left after the merges before it, and right
+            merged = np.full(len(at), best, np.int32)
+            before = np.where(at > 0, ids[at - 1], -1)
+            before[1:][at[1:] == at[:-1] + 2] = best
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            lower = np.flatnonzero((self.pair_ranks(before, merged) < best) | (self.pair_ranks(merged, after) < best))
+            if len(lower):
+                at = at[: lower[0] + 1]
+            ids[at] = best
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            at -= np.arange(len(at))
+            # a pair that was merged away is that of the token after it
+            ranks = np.concatenate([ranks, [NONE]])[keep][:-1]
+            touched = np.unique(np.concatenate([at - 1, at]))
+            touched = touched[(touched >= 0) & (touched + 1 < len(ids))]
+            ranks[touched] = self.pair_ranks(ids[touched], ids[touched + 1])
+        return ids
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(pieces)
@@ -191,7 +194,7 @@ class Encoder:
             if r is not None:
                 out[i] = np.array([r], np.int32)
             elif len(p) > WIDTHS[-1]:
-                out[i] = self._blocks(p)
+                out[i] = self._long(p)
             else:
                 by_width.setdefault(next(w for w in WIDTHS if len(p) <= w), []).append(i)
         for width, rows in by_width.items():
@@ -218,7 +221,7 @@ class Encoder:
             got = self.encode_pieces([p.encode() for p in new])
             n = len(self.index)
             self.index.update(zip(new, range(n, n + len(new))))
-            self.known = Ragged(np.concatenate([self.known.flat, *got]), np.concatenate([self.known.lens, [len(g) for g in got]]))
+            self.known.add(got)
         rows = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         total = np.concatenate([[0], np.cumsum(self.known.lens[rows])])
         first = np.append(np.searchsorted(at, starts), len(at))

@@ -25,6 +25,15 @@ START, S_L, S_N, S_O, S_SP, S_WS, S_SPN, S_WSN, S_AP, S_AP_E, S_AP_L = range(11)
 N_STATES = 11
 
 
+#: Letters and numbers of Unicode 16, which the tokenizers' libraries follow, that Python's older tables lack.
+NEWER = [
+    (0x1C89, 0x1C8A, L), (0xA7CB, 0xA7CD, L), (0xA7DA, 0xA7DC, L), (0x105C0, 0x105F3, L), (0x10D40, 0x10D49, N), (0x10D4A, 0x10D65, L), (0x10D6F, 0x10D85, L),
+    (0x10EC2, 0x10EC4, L), (0x11380, 0x11389, L), (0x1138B, 0x1138B, L), (0x1138E, 0x1138E, L), (0x11390, 0x113B5, L), (0x113B7, 0x113B7, L), (0x113D1, 0x113D1, L),
+    (0x113D3, 0x113D3, L), (0x116D0, 0x116E3, N), (0x11BC0, 0x11BE0, L), (0x11BF0, 0x11BF9, N), (0x13460, 0x143FA, L), (0x16100, 0x1611D, L), (0x16130, 0x16139, N),
+    (0x16D40, 0x16D6C, L), (0x16D70, 0x16D79, N), (0x18CFF, 0x18CFF, L), (0x1CCF0, 0x1CCF9, N), (0x1E5D0, 0x1E5ED, L), (0x1E5F0, 0x1E5F0, L), (0x1E5F1, 0x1E5FA, N),
+]
+
+
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """The class of every code point; 0x110000 is the separator between texts."""
@@ -35,6 +44,8 @@ def classes() -> np.ndarray:
             out[cp] = L
         elif kind == "N":
             out[cp] = N
+    for first, last, kind in NEWER:
+        out[first : last + 1] = kind
     # fixed values: code points with the property White_Space
     white = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
     out[white] = WS

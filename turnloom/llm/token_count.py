@@ -7,7 +7,12 @@ byte adds (it can be negative: one more byte can join tokens). Its state after a
 every earlier position from which a vocabulary entry could still reach past the prefix, the place
 in the vocabulary's trie, the last token before that position and the token count there relative
 to now. Such states are finitely many. They are compiled when first met, into a hash table that
-numpy reads for many chunks in lockstep, and the table is emptied when it outgrows its bound.
+numpy reads for many chunks in lockstep; a table that outgrows MAX_STATES is emptied but for the states
+that are in use. The machine begins anew at a cut, so chunks start at cuts. A piece
+that is longer is chunked as well: each chunk's map from start to end state is computed for the
+state that its LOOK bytes before it lead to, the maps are composed from left to right, and where
+the state that arrives is another one, the maps are extended by it, for all such chunks in lockstep,
+until they compose throughout.
 
 Whichever token ends the encoding of a prefix is the only one whose pair with the last token of
 the shorter prefix is stable under the merges; stable() tests it along the seam.
@@ -32,6 +37,8 @@ from turnloom.llm.common import map_texts, shared_bytes
 
 MAX_STATES = 1 << 18
 ROW_BYTES = 512
+#: Bytes ahead of a chunk inside a long piece that its first start state is guessed from.
+LOOK = 64
 _machines: dict[str, CountMachine] = {}
 
 
@@ -186,25 +193,39 @@ class CountMachine:
                 odd = odd[(got >= 0) & ((got >> 28) != keys[odd])]
         return held
 
-    def increments(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Tokens that each byte adds; starts: positions where the machine begins anew, the first 0."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        n = len(data)
-        anew = data.astype(np.int64)
-        anew[starts] |= 256
-        rows = starts[np.unique(np.searchsorted(starts, np.arange(0, n, ROW_BYTES)).clip(max=len(starts) - 1))]
-        ends = np.append(rows[1:], n)
-        out = np.zeros(n, np.int16)
-        by_len = np.argsort(rows - ends, kind="stable")
-        pos, ends = rows[by_len].copy(), ends[by_len]
-        # rows stand by falling length: how many are left after each step
-        left = len(pos) - np.searchsorted((ends - pos)[::-1], np.arange(int((ends - pos)[0])), "right")
-        state = np.zeros(len(pos), np.int64)
+    def _numbered(self, state: bytes) -> int:
+        n = self.number.get(state)
+        if n is None:
+            n = self.number[state] = len(self.states)
+            self.states.append(state)
+        return n
+
+    def _run(self, data: np.ndarray, pos: np.ndarray, ends: np.ndarray, begin: list[bytes], out: np.ndarray | None) -> list[bytes]:
+        """Runs chunks [pos, end) of data from their start states in lockstep; gives their end states.
+
+        out: where the tokens that each byte adds are written. Bytes over 255 begin anew.
+        """
+        by_len = np.argsort(pos - ends, kind="stable")
+        after = list(begin)
+        if not len(pos):
+            return after
+        where = by_len
+        pos, ends = pos[by_len].copy(), ends[by_len]
+        # chunks stand by falling length: how many are left after each step
+        left = len(pos) - np.searchsorted((ends - pos)[::-1], np.arange(int((ends - pos)[0]) + 1), "right")
+        state = np.array([self._numbered(begin[i]) for i in by_len.tolist()], np.int64)
         for m in left.tolist():
             if m < len(pos):
-                pos, state = pos[:m], state[:m]
-            b = anew[pos]
+                for i, n in zip(where[m:].tolist(), state[m:].tolist()):
+                    after[i] = self.states[n]
+                pos, state, where = pos[:m], state[:m], where[:m]
+            if not m:
+                break
+            if len(self.states) > MAX_STATES:
+                held = [self.states[n] for n in state.tolist()]
+                self.reset()
+                state = np.array([self._numbered(h) for h in held], np.int64)
+            b = data[pos].astype(np.int64)
             state[b > 255] = 0
             keys = state << 8 | (b & 255)
             found = self._find(keys)
@@ -212,9 +233,36 @@ class CountMachine:
             if len(new):
                 self._add(np.unique(keys[new]))
                 found[new] = self._find(keys[new])
-            out[pos] = (found & 255) - 128
+            if out is not None:
+                out[pos] = (found & 255) - 128
             state = found >> 8 & 0xFFFFF
             pos += 1
+        return after
+
+    def increments(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Tokens that each byte adds; starts: positions where the machine begins anew, the first 0."""
+        n = len(data)
+        anew = data.astype(np.int16)
+        anew[starts] |= 256
+        at_cut = starts[np.unique(np.searchsorted(starts, np.arange(0, n, ROW_BYTES)).clip(max=len(starts) - 1))]
+        size = np.diff(starts, append=n)
+        long = np.flatnonzero(size > 2 * ROW_BYTES)
+        inside = np.concatenate([np.zeros(0, np.int64), *[np.arange(starts[i] + ROW_BYTES, starts[i] + size[i], ROW_BYTES) for i in long.tolist()]])
+        rows = np.union1d(at_cut, inside)
+        ends = np.append(rows[1:], n)
+        out = np.zeros(n, np.int16)
+        fresh = self.states[0]
+        begin = [fresh] * len(rows)
+        open_rows = np.flatnonzero(np.isin(rows, inside))
+        for i, state in zip(open_rows.tolist(), self._run(anew, rows[open_rows] - LOOK, rows[open_rows], [fresh] * len(open_rows), None)):
+            begin[i] = state
+        after = self._run(anew, rows, ends, begin, out)
+        while len(wrong := [i for i in open_rows.tolist() if begin[i] != after[i - 1]]):
+            for i in wrong:
+                begin[i] = after[i - 1]
+            again = np.array(wrong)
+            for i, state in zip(wrong, self._run(anew, rows[again], ends[again], [begin[i] for i in wrong], out)):
+                after[i] = state
         return out
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
