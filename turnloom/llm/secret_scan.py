@@ -1,11 +1,13 @@
 """Secret scans: patterns propose candidates, a random forest drops the false positives.
 
 Candidates are values of assignments to names such as token or password, strings of known key
-formats, and long runs of letters and digits, each to the end of its token at any length. The forest looks at a candidate's length, its
-transitions between character classes, how much of it dictionary words cover, the path it was
-found under, and the words beside it. It is trained from labelled findings: a list of
-(text, start, end, path, label). labelled_findings() makes such a list of N_FINDINGS examples by
-a seeded generator; findings reviewed by people can be given instead or added.
+formats, and long runs of letters and digits, each to the end of its token at any length. The
+forest looks at a candidate's length, its transitions between character classes, how much of it
+dictionary words cover, the path it was found under, and the words beside it. It is trained from
+labelled findings: a list of (text, start, end, path, label). The dictionary has the fixed words
+below and those that stand in SEEN labelled findings outside of their secrets. labelled_findings()
+makes a list of N_FINDINGS examples by a seeded generator; findings reviewed by people can be given
+instead or added.
 
 Defined results: null and empty texts have no candidates; overlapping candidates are one finding,
 the one that starts first and then the longest; repeated rows give one row each; an empty table
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +32,7 @@ from turnloom.llm.forest import Forest
 #: Bound of the labelled sample that the forest is fitted on.
 N_FINDINGS = 3000
 THRESHOLD = 0.5
+SEEN = 5
 MASK = "[SECRET]"
 _KEYED = r"(?i:\b(?:[a-z0-9]{1,20}[_-]){0,3}(?:token|secret|passwd|password|pwd|api_?key|access_?key|auth|credential)s?\b[\"']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}[\"']?)(?!-----BEGIN )(?P<v>[^\s\"'<>,;]{8,})"
 _FORMATS = r"\b(?P<f>(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})*)[A-Za-z0-9+/_=-]*+)"
@@ -44,7 +48,7 @@ hello here index info input insert item just key know like local login make mast
 other over path password people placeholder please private production project public query real replace request result root sample secret server
 service should some string system table test than that their them then there these they this time token type undefined update user username value
 version very want what when where which with word work world would write year your""".split()
-_WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=lambda w: (-len(w), w))))
+_LETTERS = re.compile("[a-z]{4,}")
 NEAR_BAD = "token secret password passwd pwd apikey api_key key auth bearer credential private access".split()
 NEAR_GOOD = "example sample placeholder dummy test checksum sha256 sha1 md5 digest commit hash uuid guid id isbn order invoice version url file image".split()
 PATHS = "test example sample doc mock fixture spec readme".split()
@@ -57,7 +61,25 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(m.lastgroup), {"v": "assignment", "f": "format", "b": "private key", "r": "run"}[m.lastgroup]) for m in FIND.finditer(text)]
 
 
-def features(text: str, start: int, end: int, path: str) -> list[float]:
+def learned(findings: list[tuple[str, int, int, str, int]]) -> frozenset[str]:
+    """The dictionary: fixed words of four letters and more, and such words beside or in place of secrets."""
+    seen = Counter(w for t, a, b, _, secret in findings for w in set(_LETTERS.findall((t[:a] + " " + t[b:] if secret else t).lower())))
+    return frozenset(w for w in DICTIONARY if len(w) > 3) | {w for w, n in seen.items() if n >= SEEN}
+
+
+def covered(low: str, words: frozenset[str], longest: int) -> int:
+    """Characters of low that words cover, the longest word first at each place."""
+    total = 0
+    for run in _LETTERS.finditer(low):
+        at, end = run.span()
+        while at < end - 3:
+            n = next((n for n in range(min(longest, end - at), 3, -1) if low[at : at + n] in words), 0)
+            total += n
+            at += n or 1
+    return total
+
+
+def features(text: str, start: int, end: int, path: str, words: frozenset[str], longest: int) -> list[float]:
     s = text[start:end]
     n = len(s)
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in s]
@@ -70,7 +92,7 @@ def features(text: str, start: int, end: int, path: str) -> list[float]:
     return [
         n, sum(a != b for a, b in zip(kind, kind[1:])) / max(1, n - 1), entropy, entropy / np.log2(max(2, n)),
         kind.count("d") / n, kind.count("u") / n, kind.count("o") / n, max(counts.values()) / n, len(counts),
-        sum(len(m[0]) for m in _WORDS.finditer(low)) / n, float(bool(re.fullmatch("[0-9a-f]+", low))), float(bool(re.fullmatch("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
+        covered(low, words, longest) / n, float(bool(re.fullmatch("[0-9a-f]+", low))), float(bool(re.fullmatch("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
         float("/" in s), float(bool(re.search(r"\.[a-z]{2,4}$", low))), float(any(p in path.lower() for p in PATHS)), float(bool(re.search("[=:]", before[-4:]))), float(before[-1:] in ("'", '"')),
         float(any(w in joined for w in NEAR_BAD)), float(any(w in near for w in NEAR_GOOD)), float(bool(re.match("AKIA|gh[pousr]_|xox|sk-|AIza|eyJ|-----BEGIN", s))), float(len(set(re.findall(r"(.)\1\1", s))) > 0),
     ]
@@ -129,22 +151,35 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = 11) -> list[tuple[str, in
     return out
 
 
-def train(findings: list[tuple[str, int, int, str, int]]) -> Forest:
-    x = np.array([features(t, a, b, p) for t, a, b, p, _ in findings])
-    return Forest().fit(x, np.array([f[-1] for f in findings]))
+class Detector:
+    """A dictionary and a forest, both learned from labelled findings."""
+
+    def __init__(self, findings: list[tuple[str, int, int, str, int]]) -> None:
+        self.words = learned(findings)
+        self.longest = max(map(len, self.words))
+        self.forest = Forest().fit(self._features([f[:4] for f in findings]), np.array([f[4] for f in findings]))
+
+    def _features(self, found: list[tuple[str, int, int, str]]) -> np.ndarray:
+        return np.array([features(*f, self.words, self.longest) for f in found])
+
+    def probability(self, found: list[tuple[str, int, int, str]]) -> np.ndarray:
+        """Probability of a secret for each (text, start, end, path)."""
+        return self.forest.probability(self._features(found)) if found else np.zeros(0)
+
+
+def train(findings: list[tuple[str, int, int, str, int]]) -> Detector:
+    return Detector(findings)
 
 
 @lru_cache(maxsize=1)
-def default_model() -> Forest:
+def default_model() -> Detector:
     return train(labelled_findings())
 
 
-def judge(model: Forest, text: str, path: str | None, kinds: list[tuple[int, int, str]] | None = None) -> list[tuple[int, int, str, float]]:
+def judge(model: Detector, text: str, path: str | None) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, probability) of every candidate of one text."""
-    found = candidates(text) if kinds is None else kinds
-    if not found:
-        return []
-    p = model.probability(np.array([features(text, a, b, path or "") for a, b, _ in found]))
+    found = candidates(text)
+    p = model.probability([(text, a, b, path or "") for a, b, _ in found])
     return [(*c, float(q)) for c, q in zip(found, p)]
 
 
@@ -156,13 +191,12 @@ def masked(text: str, secrets: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(df: DataFrame, keep: list[str], text: str = "text", path: str | None = "source", model: Forest | None = None, mask: bool = False) -> DataFrame:
+def scan(df: DataFrame, keep: list[str], text: str = "text", path: str | None = "source", model: Detector | None = None, mask: bool = False) -> DataFrame:
     """keep, n_candidates, n_secrets, findings and (if mask) the masked text of every row."""
     sent = df.sparkSession.sparkContext.broadcast(model or default_model())  # some hundred kB
 
     def run(texts: list[str], paths: list[str | None] | None = None) -> dict[str, pa.Array]:
-        forest = sent.value
-        all_found = [judge(forest, t, p) for t, p in zip(texts, paths or [""] * len(texts))]
+        all_found = [judge(sent.value, t, p) for t, p in zip(texts, paths or [""] * len(texts))]
         secret = [[f for f in found if f[3] >= THRESHOLD] for found in all_found]
         item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("probability", pa.float64())])
         out = {
