@@ -5,9 +5,10 @@ consecutive item words is a pattern " w1 ... w10 "; an item of fewer words is on
 automaton scans each document's normalised text once; a match's end gives the words it covers,
 and word offsets map back to the original text.
 
-The patterns are sent to the executors only while the items' texts have at most MAX_ITEM_BYTES
-together (counted first). A larger benchmark is dealt into groups of at most that size by running
-totals; each group has its automaton and its pass, and the hits of the passes are united.
+The patterns are sent to the executors only while the items' texts and ids have at most
+MAX_ITEM_BYTES together (counted first, equal rows once, items without words not at all). A larger
+benchmark is read in parts and dealt into groups by running totals, none larger than that unless
+one item alone is; each group has its automaton and its pass, and the hits of the passes are united.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items have no
 windows; items with equal texts or ids are each counted by their id; a null item_id counts as the
@@ -17,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import sha256
 
 import ahocorasick
@@ -31,6 +33,8 @@ WINDOW = 10
 MAX_ITEM_BYTES = 4 << 20
 #: Bytes of words stay (A-Z in lower case), all others become blanks; bytes over 127 are of words.
 _TO = bytes(b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+#: A character of a word.
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 _held: dict[str, tuple] = {}
 
 
@@ -74,7 +78,7 @@ def automaton(items: list[tuple[str, str | None]]) -> ahocorasick.Automaton | No
 
 
 def scan(a: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, hit word ranges [start, end) in order of their ends, items with hits."""
+    """Number of words, the word ranges [start, end) that hits cover (apart from each other), items with hits."""
     w = words_of(text)
     ranges: list[tuple[int, int]] = []
     items: set[str] = set()
@@ -89,35 +93,43 @@ def scan(a: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[t
         k = int(np.searchsorted(ends, at)) + 1
         ranges.append((k - n, k))
         items.update(ids)
-    return len(w), ranges, items
+    return len(w), united(ranges), items
 
 
-def covered(ranges: list[tuple[int, int]]) -> int:
-    total = last = 0
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
-        total += max(0, b - max(a, last))
-        last = max(last, b)
-    return total
-
-
-def _groups(items: DataFrame, key: str, text: str) -> list[list[tuple[str, str | None]]]:
-    """Items in groups of bounded size; only one group's texts are held at a time if there are several."""
-    rows = items.select(F.coalesce(items[key].cast("string"), F.lit("")).alias("k"), items[text].alias("t"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = 1 + size // MAX_ITEM_BYTES
-    if n == 1:
-        yield [(r.k, r.t) for r in rows.collect()]
-        return
-    n *= 2
-    bucket = F.pmod(F.xxhash64("k", "t"), F.lit(n))
-    for i in range(n):
-        yield [(r.k, r.t) for r in rows.where(bucket == i).toLocalIterator()]
-
-
-def hits(df: DataFrame, items: list[tuple[str, str | None]], keep: list[str], text: str = "text") -> DataFrame:
-    """keep, n_words, ranges (hit words as [start, end)) and items (ids) of every row's whole text."""
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _groups(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, str]]]:
+    """Items with words in groups of bounded size; only one group's texts are held at a time."""
+    rows = items.select(F.coalesce(items[key].cast("string"), F.lit("")).alias("k"), items[text].alias("t")).where(F.col("t").rlike(_WORD)).distinct()
+    size = F.octet_length("k") + F.octet_length("t")
+    n = 1 + (rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) // MAX_ITEM_BYTES
+    group, held = [], 0
+    for r in rows.repartition(n, "k", "t").toLocalIterator() if n > 1 else rows.collect():
+        more = len(r.k.encode()) + len(r.t.encode())
+        if group and held + more > MAX_ITEM_BYTES:
+            yield group
+            group, held = [], 0
+        group.append((r.k, r.t))
+        held += more
+    yield group
+
+
+def hits(df: DataFrame, items: list[tuple[str, str]], keep: list[str], text: str = "text") -> DataFrame:
+    """keep, n_words, ranges and items (ids) of every row's whole text.
+
+    ranges: hit words [s, e), and the characters [start, end) of the original text that they stand in.
+    """
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(items)  # at most MAX_ITEM_BYTES of texts
+    sent = spark.sparkContext.broadcast(items)  # at most MAX_ITEM_BYTES of texts and ids, or one item
     name = sha256(repr(items).encode()).hexdigest()
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
@@ -126,23 +138,31 @@ def hits(df: DataFrame, items: list[tuple[str, str | None]], keep: list[str], te
             _held[name] = (automaton(sent.value),)
         a = _held[name][0]
         got = [scan(a, t) for t in texts]
-        pair = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        rows = []
+        for t, (_, ranges, _) in zip(texts, got):
+            at = word_spans(t) if ranges else []
+            rows.append([{"s": x, "e": y, "start": at[x][0], "end": at[y - 1][1]} for x, y in ranges])
         return {
             "n_words": pa.array([g[0] for g in got], pa.int64()),
-            "ranges": pa.array([[{"s": s, "e": e} for s, e in g[1]] for g in got], pair),
+            "ranges": pa.array(rows, pa.list_(pa.struct([(c, pa.int64()) for c in ("s", "e", "start", "end")]))),
             "items": pa.array([sorted(g[2]) for g in got], pa.list_(pa.string())),
         }
 
-    return map_texts(df, text, keep, run, "n_words bigint, ranges array<struct<s:bigint,e:bigint>>, items array<string>")
+    return map_texts(df, text, keep, run, f"n_words bigint, ranges {_RANGES}, items array<string>")
 
 
-def _n_hit(ranges: str) -> str:
-    """SQL: words that sorted ranges cover."""
-    return f"aggregate(array_sort({ranges}), struct(0L AS n, 0L AS last), (a, r) -> struct(a.n + greatest(0L, r.e - greatest(r.s, a.last)) AS n, greatest(a.last, r.e) AS last), a -> a.n)"
+_RANGES = "array<struct<s:bigint,e:bigint,start:bigint,end:bigint>>"
+#: SQL: ranges of several passes in order, those that overlap or touch made one.
+_UNITED = f"""aggregate(array_sort(ranges), CAST(array() AS {_RANGES}), (a, r) -> CASE WHEN r.s <= try_element_at(a, -1).e
+    THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', try_element_at(a, -1).s, 'e', greatest(try_element_at(a, -1).e, r.e), 'start', try_element_at(a, -1).start, 'end', greatest(try_element_at(a, -1).end, r.end))))
+    ELSE concat(a, array(r)) END)"""
 
 
 def report(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of df."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans of every row of df.
+
+    spans: the characters [start, end) of the original text that runs of hit words stand in.
+    """
     out = None
     for group in _groups(benchmark, item, item_text):
         if out is None:
@@ -153,9 +173,10 @@ def report(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
             got = hits(prev, group, ["doc_id", "text", "r", "i"])
             out = got.select("doc_id", "text", "n_words", F.concat("r", "ranges").alias("ranges"), F.concat("i", "items").alias("items"))
     ids = F.array_sort(F.array_distinct("items"))
+    out = out.withColumn("runs", F.expr(_UNITED))
     return out.select(
-        "doc_id", "n_words", F.expr(_n_hit("ranges")).alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"),
+        "doc_id", "n_words", F.expr("aggregate(runs, 0L, (a, r) -> a + r.e - r.s)").alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), F.transform("runs", lambda r: F.struct(r.start, r.end)).alias("spans"),
     )
 
 

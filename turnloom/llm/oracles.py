@@ -16,7 +16,8 @@ def _quoted(s: str) -> str:
 
 def _canonical(text: str) -> str:
     t = f"lower(coalesce({text}, ''))"
-    t = f"CASE WHEN contains({t}, 'opyright') OR contains({t}, '©') OR contains({t}, '(c)') THEN regexp_replace({t}, {_quoted(license_scan._COPYRIGHT)}, '', 'g') ELSE {t} END"
+    lines = f"regexp_replace(regexp_replace({t}, {_quoted(license_scan._PROSE)}, 'cpr \\1', 'g'), {_quoted(license_scan._COPYRIGHT)}, '', 'g')"
+    t = f"CASE WHEN contains({t}, 'opyright') OR contains({t}, '©') OR contains({t}, '(c)') OR contains({t}, 'all rights reserved') THEN {lines} ELSE {t} END"
     t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     for a, b in license_scan.SPELLINGS:
         t = f"replace({t}, {_quoted(a)}, {_quoted(b)})"
@@ -26,7 +27,8 @@ def _canonical(text: str) -> str:
 def licenses() -> str:
     rows = ", ".join(f"({_quoted(i)}, {_quoted(k)}, {_quoted(t)})" for i, k, t in license_scan.KNOWN)
     whole = "sha256(trim(regexp_replace(canon, '[ \\n]+', ' ', 'g'), ' '))"
-    return f"""WITH known AS (SELECT kind, {whole} AS digest, min(license_id) AS license_id FROM (SELECT license_id, kind, {_canonical("text")} AS canon FROM (VALUES {rows}) v(license_id, kind, text)) k GROUP BY 1, 2),
+    return f"""WITH known AS (SELECT replace(kind, 'digest', 'text') AS kind, CASE WHEN kind = 'digest' THEN text ELSE {whole} END AS digest, min(license_id) AS license_id
+            FROM (SELECT license_id, kind, text, {_canonical("text")} AS canon FROM (VALUES {rows}) v(license_id, kind, text)) k GROUP BY 1, 2),
         d AS (SELECT doc_id, {_canonical("text")} AS canon FROM documents),
         seen AS (SELECT doc_id, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices FROM (SELECT doc_id, trim(unnest(string_split(canon, chr(10))), ' ') AS line FROM d) l JOIN known k ON k.kind = 'notice' AND sha256(l.line) = k.digest GROUP BY doc_id)
         SELECT d.doc_id, {whole} AS digest, k.license_id, coalesce(s.notices, '') AS notices FROM d LEFT JOIN known k ON k.kind = 'text' AND k.digest = {whole} LEFT JOIN seen s ON s.doc_id = d.doc_id"""
@@ -38,10 +40,15 @@ def decontamination() -> str:
         items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w, least({WINDOW}, len(w)) AS n FROM (SELECT item_id, {words} AS w FROM benchmark) b WHERE len(w) > 0),
         win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM items, unnest(range(1, len(w) - n + 2)) AS t(i)),
         found AS (SELECT DISTINCT x.doc_id, x.i, x.n, win.item FROM (SELECT doc_id, z.n, i, array_to_string(w[i:i + z.n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM win) z, unnest(range(1, len(w) - z.n + 2)) AS t(i)) x JOIN win ON win.n = x.n AND win.s = x.s),
-        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) q GROUP BY doc_id),
+        places AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) q),
+        hit AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+        chunks AS (SELECT doc_id, i, sum(length(c[i])) OVER (PARTITION BY doc_id ORDER BY i) AS until, length(w[i]) AS n
+            FROM (SELECT doc_id, {words.replace("'[^", "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*[^")} AS c, {words} AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM hit)) q, unnest(range(1, len(w) + 1)) AS t(i)),
+        runs AS (SELECT c.doc_id, min(until - n) AS a, max(until) AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM places) s JOIN chunks c ON c.doc_id = s.doc_id AND c.i = s.p GROUP BY c.doc_id, run),
+        spans AS (SELECT doc_id, string_agg(concat(a, '-', b), ',' ORDER BY a) AS spans FROM runs GROUP BY doc_id),
         ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) q GROUP BY doc_id)
-        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id"""
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id LEFT JOIN spans ON spans.doc_id = d.doc_id"""
 
 
 def archives() -> str:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnloom.llm import bpe, decontaminate, language_id, license_scan, oracles, quality, secret_scan, simhash, substring_dedup, token_count, warc
 
@@ -45,7 +46,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The contract's columns, and spans: the original characters of hit runs as start-end, comma-joined."""
+    d = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.withColumn("spans", F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x.start, x.end)), ","))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
