@@ -3,19 +3,24 @@
 Writing. Each page is one record with its whole payload's SHA-256; of equal payloads of at least
 MIN_REVISIT bytes the one of the smallest page_id is a response and the others revisit it. The
 records are written by Spark's own text sink into the shared folder, so archives can lie in any
-store that Spark writes: a record ends in CR LF CR LF, whose last LF is the sink's line end.
+store that Spark writes. A record is one or two gzip members; the last byte of a member is the top
+byte of its length, which is zero below 16 MiB, and the sink writes that byte as its line's end.
 
 Index. Lines "reversed-host-key page_id file offset length" are sorted by key and packed into
-zlib-compressed blocks of BLOCK lines each; the sparse directory holds the first key of every
-block. A lookup searches the directory by bisection, opens one block (and those after it that
-start with the same key), and reads the records' byte ranges.
+zlib-compressed blocks of BLOCK lines each, or more lines where there would be over DIRECTORY
+blocks. The sparse directory holds the first DIRECTORY_KEY characters of each block's first key,
+so it has a fixed bound and is broadcast.
 
-Reading. Archives are read back in byte ranges of whole records, which the index gives.
+Look-up. The directory is searched by bisection for the blocks that can hold a key. Keys are dealt
+to these blocks; a task opens a block once and finds each key in it by bisection. The captures'
+byte ranges are then dealt by archive and place, and neighbouring ones are read together.
+
+Reading back. round_trip() looks up every page's url in the index and reads what it finds.
 
 Defined results: a null payload is empty (0 bytes, its own response); a null url is the empty
-url; a null page_id is written and read as an empty id and comes back null; equal page_ids are
-kept apart as rows; an empty table gives empty archives, index and result; extra columns are
-ignored.
+url; ids can be of any type and hold any characters, and a null one is told from an empty one; equal
+page_ids are kept apart as rows; an empty table gives empty archives, index and result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +28,22 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import prepare, shared_dir
+from turnloom.llm.common import dropped, prepare, shared_dir, written
 
 MIN_REVISIT = 100
 BLOCK = 3000
+#: Bounds of the directory: blocks (and one more for each task that wrote some), and characters of a key.
+DIRECTORY = 500_000
+DIRECTORY_KEY = 200
 #: An archive file holds about as many bytes; one record can be longer.
 FILE_BYTES = 8 << 20
 _CR = b"\r\n"
@@ -44,32 +52,39 @@ _END = b"\r\n\r\n"
 
 def reversed_host_key(url: str) -> str:
     """com,example,www)/path?query: captures of a site and its subdomains stand together."""
+    url = _one_line(url)
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(url)
         host, port = (parts.hostname or ""), parts.port
     except ValueError:
-        return ")" + _one_line(url)
+        return ")" + url
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port else "")
     return _one_line(f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else ""))
 
 
 def _one_line(s: str) -> str:
-    """Controls and blanks as percent codes."""
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", s)
+    """Without white space around it, and with controls and blanks as percent codes."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", s.strip())
+
 
+def _escaped(page_id: str) -> str:
+    return quote(page_id, safe="")
 
-def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+
+def record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record; a revisit has no payload."""
     rid = uuid.UUID(sha256(f"{page_id}|{url}|{digest}".encode()).hexdigest()[:32])
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{rid}>", "WARC-Date: 2024-01-01T00:00:00Z",
-        f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"Page-Id: {page_id}", f"Payload-Bytes: {len(payload)}",
+        f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"Payload-Bytes: {len(payload)}",
     ]
+    if page_id is not None:
+        head.append(f"Page-Id: {_escaped(page_id)}")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if refers_to is None:
         block += payload
     else:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Page-Refers-To: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Page-Refers-To: {_escaped(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + _END + block + _END
 
@@ -153,7 +168,7 @@ def write_archives(df: DataFrame, where: str, key: str = "page_id", url: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # the sink ends each line with a zero byte, which is the member's own last one
-            got = [packed(record(i or "", u, p, d, r))[:-1] for i, u, p, d, r in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "digest", "refers")))]
+            got = [packed(record(i, u, p, d, r))[:-1] for i, u, p, d, r in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "digest", "refers")))]
             yield pa.RecordBatch.from_pydict({"value": pa.array(got, pa.binary())})
 
     joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(where)
@@ -172,70 +187,95 @@ def write_index(spark: SparkSession, archives: str, where: str) -> None:
                 yield pa.RecordBatch.from_pydict({c: [g[i] for g in got] for i, c in enumerate(("key", "id", "path", "at", "size"))}, schema=pa.schema([("key", pa.string()), ("id", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64())]))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
         held: list[str] = []
         keys: list[str] = []
 
         def block() -> pa.RecordBatch:
-            lines = held[:BLOCK]
-            first = keys[0]
-            del held[:BLOCK], keys[:BLOCK]
-            return pa.RecordBatch.from_pydict({"first_key": [first], "lines": pa.array([len(lines)], pa.int32()), "block": [zlib.compress("\n".join(lines).encode(), 6)]})
+            nonlocal n
+            lines, first = held[:size], keys[0]
+            del held[:size], keys[:size]
+            n += 1
+            return pa.RecordBatch.from_pydict({"first_key": [first[:DIRECTORY_KEY]], "block_id": pa.array([task << 32 | n], pa.int64()), "block": [zlib.compress("\n".join(lines).encode(), 6)]})
 
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("key", "id", "path", "at", "size")]
             held += ["\t".join(map(str, x)) for x in zip(*cols)]
             keys += cols[0]
-            while len(held) >= BLOCK:
+            while len(held) >= size:
                 yield block()
         if held:
             yield block()
 
-    from turnloom.llm.common import written
-
     lines = written(files.mapInArrow(capture, "key string, id string, path string, at bigint, size bigint"), "captures")
+    size = max(BLOCK, -(-lines.count() // DIRECTORY))
     order = ["key", "id", "path", "at"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, "first_key string, lines int, block binary").write.parquet(where)
+    # tasks follow each other in the keys' order, so (task, number) is the blocks' order
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, BLOCKS).write.parquet(where)
+    dropped(lines)
 
 
-def entries(spark: SparkSession, index: str) -> DataFrame:
-    """(key, id, path, at, size) of all captures."""
-    schema = "key string, id string, path string, at bigint, size bigint"
+BLOCKS = "first_key string, block_id bigint, block binary"
+CAPTURES = "key string, id string, path string, at bigint, size bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column("block").to_pylist():
-                rows = [x.split("\t") for x in zlib.decompress(raw).decode().split("\n")]
-                k, i, p, a, s = zip(*rows)
-                yield pa.RecordBatch.from_pydict({"key": list(k), "id": list(i), "path": list(p), "at": pa.array(map(int, a), pa.int64()), "size": pa.array(map(int, s), pa.int64())})
 
-    return spark.read.schema("first_key string, lines int, block binary").parquet(index).mapInArrow(run, schema)
+def _found(lines: list[str], key: str) -> list[list[str]]:
+    """The captures of key among a block's sorted lines, by bisection."""
+    i = lo = bisect_left(lines, key + "\t")
+    while i < len(lines) and lines[i].startswith(key + "\t"):
+        i += 1
+    return [x.split("\t") for x in lines[lo:i]]
 
 
 class Index:
-    """Lookups: the sparse directory is held here (one key for BLOCK captures; its size is checked)."""
-
-    def __init__(self, spark: SparkSession, index: str, limit: int = 5_000_000) -> None:
-        self.spark, self.index = spark, spark.read.schema("first_key string, lines int, block binary").parquet(index)
-        if (n := self.index.count()) > limit:
-            raise ValueError(f"the directory has {n} keys; look captures up with entries() then")
-        self.directory = sorted(r[0] for r in self.index.select("first_key").collect())
+    """Look-ups of many urls at once."""
+
+    def __init__(self, spark: SparkSession, index: str) -> None:
+        self.spark, self.blocks = spark, spark.read.schema(BLOCKS).parquet(index)
+        # DIRECTORY rows of DIRECTORY_KEY characters, and a row a task, at most
+        rows = sorted((r["block_id"], r["first_key"]) for r in self.blocks.select("block_id", "first_key").collect())
+        self.ids, self.keys = [r[0] for r in rows], [r[1] for r in rows]
+
+    def captures(self, urls: DataFrame, url: str = "url") -> DataFrame:
+        """(key, id, path, at, size) of all captures of the urls of a table, each capture once."""
+        prepare(self.spark)
+        directory = self.spark.sparkContext.broadcast((self.ids, self.keys))
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, first = directory.value
+            for b in batches:
+                keys, blocks = [], []
+                for key in {reversed_host_key(u) for u in b.column("url").to_pylist()}:
+                    # the directory has beginnings of keys: the block before the first equal one can hold key as well
+                    lo, hi = max(0, bisect_left(first, key[:DIRECTORY_KEY]) - 1), bisect_right(first, key)
+                    keys += [key] * (hi - lo)
+                    blocks += ids[lo:hi]
+                yield pa.RecordBatch.from_pydict({"block_id": pa.array(blocks, pa.int64()), "key": pa.array(keys, pa.string()), "block": pa.nulls(len(keys), pa.binary())})
+
+        def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, lines = None, []
+            for b in batches:
+                got = []
+                for number, key, block in zip(*(b.column(c).to_pylist() for c in ("block_id", "key", "block"))):
+                    if key is None:  # a block stands ahead of its keys
+                        at, lines = number, zlib.decompress(block).decode().split("\n")
+                    elif number == at:
+                        got += _found(lines, key)
+                k, i, p, a, n = zip(*got) if got else ((),) * 5
+                yield pa.RecordBatch.from_pydict({"key": pa.array(k, pa.string()), "id": pa.array(i, pa.string()), "path": pa.array(p, pa.string()), "at": pa.array(map(int, a), pa.int64()), "size": pa.array(map(int, n), pa.int64())})
+
+        asked = urls.select(F.coalesce(urls[url], F.lit("")).alias("url")).distinct().mapInArrow(dealt, "block_id bigint, key string, block binary").distinct()
+        both = asked.union(self.blocks.select("block_id", F.lit(None).cast("string"), "block"))
+        return both.repartition("block_id").sortWithinPartitions("block_id", F.asc_nulls_first("key")).mapInArrow(searched, CAPTURES)
 
     def find(self, url: str) -> list[tuple[str, str, int, int]]:
-        """(id, path, offset, length) of all captures of url."""
-        key = reversed_host_key(url)
-        lo = max(0, bisect_left(self.directory, key) - 1)
-        hi = lo
-        while hi < len(self.directory) and self.directory[hi] <= key:
-            hi += 1
-        found = []
-        if self.directory[lo:hi]:
-            for r in self.index.where(F.col("first_key").between(self.directory[lo], self.directory[hi - 1])).select("block").toLocalIterator():
-                lines = zlib.decompress(r[0]).decode().split("\n")
-                i = bisect_left(lines, key + "\t")
-                while i < len(lines) and lines[i].startswith(key + "\t"):
-                    _, page, path, at, size = lines[i].split("\t")
-                    found.append((page, path, int(at), int(size)))
-                    i += 1
+        """(id, path, offset, length) of all captures of one url; only its blocks are read."""
+        key, found = reversed_host_key(url), []
+        lo, hi = max(0, bisect_left(self.keys, key[:DIRECTORY_KEY]) - 1), bisect_right(self.keys, key)
+        for r in self.blocks.where(F.col("block_id").between(self.ids[lo], self.ids[hi - 1])).select("block").toLocalIterator() if lo < hi else ():
+            found += [(unquote(i), path, int(at), int(size)) for _, i, path, at, size in _found(zlib.decompress(r[0]).decode().split("\n"), key)]
         return sorted(found)
 
     def read(self, url: str) -> list[tuple[dict[str, str], bytes]]:
@@ -244,11 +284,11 @@ class Index:
         return [(f, payload_of(block)) for _, path, at, size in self.find(url) for _, _, f, block in records(store.chunks(path, at, size), at)]
 
 
-def read_back(spark: SparkSession, index: str, id_type: str = "bigint", payload: bool = False) -> DataFrame:
-    """One row a capture: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload).
+def read_back(captures: DataFrame, id_type: str = "bigint", payload: bool = False) -> DataFrame:
+    """One row a capture (path, at, size): page_id, payload_bytes, payload_digest, record_type, refers_to (and payload).
 
-    The index's entries are dealt by archive and sorted by place, and neighbouring ranges are read
-    together. A response's bytes and digest are taken from the payload that was read.
+    Captures are dealt by archive and sorted by place, and neighbouring ranges are read together. A
+    response's bytes and digest are taken from the payload that was read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +299,7 @@ def read_back(spark: SparkSession, index: str, id_type: str = "bigint", payload:
             for _, _, f, block in records(store.chunks(path, start, length), start):
                 kind, data = f["WARC-Type"], payload_of(block)
                 own = kind == "response"
-                got.append((f["Page-Id"] or None, len(data) if own else int(f["Payload-Bytes"]), sha256(data).hexdigest() if own else f["WARC-Payload-Digest"].removeprefix("sha256:"), kind, f.get("Page-Refers-To"), data if payload and own else None))
+                got.append((unquote(f["Page-Id"]) if "Page-Id" in f else None, len(data) if own else int(f["Payload-Bytes"]), sha256(data).hexdigest() if own else f["WARC-Payload-Digest"].removeprefix("sha256:"), kind, unquote(f["Page-Refers-To"]) if "Page-Refers-To" in f else None, data if payload and own else None))
             names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
             types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
             return pa.RecordBatch.from_pydict({n: pa.array([g[i] for g in got], t) for i, (n, t) in enumerate(zip(names, types)) if payload or n != "payload"})
@@ -276,8 +316,8 @@ def read_back(spark: SparkSession, index: str, id_type: str = "bigint", payload:
         if path is not None:
             yield rows(path, start, end - start)
 
-    found = entries(spark, index).select("path", "at", "size")
-    # entries are small and what they stand for is not: the number of tasks follows the archives' bytes
+    found = written(captures.select("path", "at", "size"), "found")
+    # captures are small and what they stand for is not: the number of tasks follows the archives' bytes
     total = found.agg(F.sum("size")).first()[0] or 0
     places = found.repartition(1 + total // (2 * FILE_BYTES), "path", F.expr(f"at div {FILE_BYTES}")).sortWithinPartitions("path", "at")
     out = places.mapInArrow(run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload)
@@ -294,6 +334,6 @@ def archive(df: DataFrame, key: str = "page_id", url: str = "url", payload: str
 
 
 def round_trip(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Writes one record for each row of df and reads all records back by the index."""
+    """Writes one record for each row of df, looks all rows' urls up in the index and reads what it has."""
     _, index = archive(df, key, url, payload)
-    return read_back(df.sparkSession, index, dict(df.dtypes)[key])
+    return read_back(Index(df.sparkSession, index).captures(df, url), dict(df.dtypes)[key])
