@@ -28,7 +28,7 @@ def test_two_agents_interleave(spark):
 def test_tampered_streams_fail_their_rules(spark):
     s = training.record_to_streams(spark.createDataFrame([("s", "p", 0, 1, [1], [2], [-0.5], "primary", "7")], TURN))
     ok = training.validate_streams(s).first()
-    assert all(ok[c] for c in ("aligned", "binary_mask", "finite", "ordered", "covers", "mask_in_spans"))
+    assert all(ok[c] for c in ("aligned", "binary_mask", "finite", "ordered", "covers", "mask_in_spans", "quiet_prompts"))
     bad = s.withColumn("loss_mask", F.array(F.lit(1), F.lit(2))).withColumn("logprobs", F.array(F.lit(float("nan"))))
     r = training.validate_streams(bad).first()
     assert not (r.aligned or r.binary_mask or r.finite or r.mask_in_spans)
@@ -107,9 +107,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, recorder.record(d).collect()), key=repr)
 
 
-def test_live_streams():
-    uses = [("a", "use"), ("b", "use"), ("a", "use"), ("c", "use"), ("b", "use"), ("b", "delete"), ("b", "use"), ("a", "use")]
-    assert [u[2] for u in recorder.live_streams(uses, 2)] == [True, True, True, True, False, True, True, False]
+def test_live_streams(spark):
+    r = random.Random(2)
+    for limit, n, names in ((2, 60, "abcd"), (3, 200, "abcdefgh")):
+        log = [(r.choice("pq"), r.choice(names), i, r.choice(["use", "use", "use", "delete"])) for i in range(n)]
+        held, gone, want = {"p": [], "q": []}, {"p": [], "q": []}, {}
+        for profile, stream, i, action in log:  # lists, searched whole
+            h, g = held[profile], gone[profile]
+            want[i] = action == "delete" or stream not in g
+            if action == "delete":
+                h[:], g[:] = [x for x in h if x != stream], [x for x in g if x != stream]
+            elif stream not in g:
+                h[:] = [x for x in h if x != stream] + [stream]
+                if len(h) > limit:
+                    g.append(h.pop(0))
+        r.shuffle(log)
+        got = recorder.live_streams(spark.createDataFrame(log, "profile string, stream string, ordinal bigint, action string"), limit).collect()
+        assert {x.ordinal: x.admitted for x in got} == want and not all(want.values())
 
 
 def test_raw_ids_and_sinks(spark, tmp_path):
@@ -126,11 +140,23 @@ def test_raw_ids_and_sinks(spark, tmp_path):
 
 
 def test_prompts_extend_the_stream():
-    from turnloom.streaming.continuation import code_points, prompts
-
-    rows = prompts([(1, "ab", "c~", "t"), (2, "d", "e", "t"), (3, "x", "y", "other"), (4, "f", "", "t")], code_points, [ord("~"), ord("\n")], code_points("P"))
-    text = ["".join(map(chr, ids)) if ids else None for _, ids, _ in rows]
-    assert text == ["Pab", "Pabc~\nd", None, "Pabc~\nde~\nf"] and rows[2][2] == "tools changed"
+    from turnloom.streaming.continuation import Profile, Stream, code_points
+
+    s = Stream(Profile("x", prefix="P", ending="~\n"), code_points)
+    turns = [("Pab", "c~", "t"), ("Pd", "e", "t"), ("Px", "y", "other"), ("Pf", "", "t"), ("g", "", "t")]
+    text, got = "", []
+    for prompt, completion, tools in turns:
+        n, ids, why = s.turn("user", prompt, completion, tools)
+        got.append((None if ids is None else "".join(map(chr, ids)), why))
+        if ids is not None:
+            text += got[-1][0]
+            assert n == len(text)
+            text += completion
+    assert got == [("Pab", None), ("\nd", None), (None, "tools changed"), ("~\nf", None), (None, "delta without the render's prefix")]
+    guard = Stream(Profile("y", prefix=None, system_header="S:", generation="A", headers=("<u>",)), code_points)
+    assert guard.turn("user", "hi", "<u>", "t")[0] == 3
+    assert guard.turn("user", "S:hi", "", "t")[2] == "delta with a system prefix" and guard.turn("user", "<o>", "", "t")[2] == "sampled header of another role"
+    assert "".join(map(chr, guard.turn("user", "<u>on", "", "t")[1])) == "~onA"
 
 
 def test_settings():

@@ -1,5 +1,8 @@
 """Scalar functions: keys, finish reasons, budgets, sampling layers, messages and stop ids."""
 
+#: White space, as a text in SQL.
+WHITE = "' \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000'"
+
 QUERIES = {
     # the last two delimiters split a composed key, so the real key may contain the delimiter
     "session_keys": """
@@ -29,7 +32,9 @@ QUERIES = {
         SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND shown IS NULL THEN '' WHEN turn % 2 = 0 OR shown IS NULL THEN shown ELSE concat(shown, chr(10), 'part') END AS content, role IN ('system', 'user', 'assistant', 'tool') AND NOT (role <> 'assistant' AND shown IS NULL) AS accepted
         FROM (SELECT conv_id, turn, CASE WHEN conv_id % 20 = 3 THEN 'critic' ELSE role END AS role, CASE WHEN conv_id % 8 = 2 AND turn % 4 = 1 THEN NULL ELSE text END AS shown FROM conversations) q""",
     # what an agent sees: beside calls the stripped text or nothing, else the text as it is
-    "visible_content": "SELECT conv_id, tn, CASE WHEN conv_id % 5 = 1 THEN nullif(trim(completion), '') ELSE completion END AS visible FROM turns",
+    "visible_content": f"""
+        SELECT conv_id, tn, CASE WHEN conv_id % 5 = 1 THEN nullif(@strip(shown, {WHITE}), '') ELSE shown END AS visible
+        FROM (SELECT conv_id, tn, CASE tn % 4 WHEN 0 THEN concat({WHITE}, completion, {WHITE}) WHEN 1 THEN {WHITE} WHEN 2 THEN concat(chr(10), chr(10), completion, chr(9)) ELSE completion END AS shown FROM turns) q""",
     # a missing version stays missing; zero is the text 0
     "weight_version_text": "SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 4 - 1 END AS @text) AS weight_version FROM documents",
     # first positive of two reported context lengths
@@ -42,6 +47,24 @@ QUERIES = {
     "sampling_matches": "SELECT event_id, top_k = 5 AND temperature = 1 AS matches FROM (SELECT event_id, CAST(@json(props, '$.k') AS BIGINT) AS top_k, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS temperature FROM events) q",
     # digest of a canonical serialisation, compared with the one pinned first
     "fingerprints": "SELECT source, @sha(concat('{\"model\":\"', source, '\",\"n\":', CAST(count(*) AS @text), '}')) AS fingerprint FROM documents GROUP BY source",
+    # what a server reports against the local tokenizer: another model, another protocol, another fingerprint or no pin refuse, in this order
     "fingerprint_agreement": """
-        SELECT a.source, a.f = b.f AS same FROM (SELECT source, @sha(concat(source, min(lang))) AS f FROM documents GROUP BY source) a JOIN (SELECT source, @sha(concat(source, max(lang))) AS f FROM documents GROUP BY source) b ON a.source = b.source""",
+        SELECT l.doc_id, CASE WHEN coalesce(r.model, '') <> l.model THEN 'model' WHEN coalesce(r.algorithm, '') <> l.algorithm OR coalesce(r.corpus, '') <> l.corpus THEN 'protocol' WHEN coalesce(r.fingerprint, '') <> l.fingerprint THEN 'fingerprint' WHEN coalesce(r.pin, '') = '' THEN 'pin' ELSE 'ok' END AS verdict
+        FROM (SELECT doc_id, source AS model, 'v1' AS algorithm, 'c0' AS corpus, @sha(concat(source, lang)) AS fingerprint FROM documents) l
+        LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN lang ELSE source END AS model, CASE WHEN doc_id % 7 = 1 THEN 'v0' WHEN doc_id % 13 <> 2 THEN 'v1' END AS algorithm, CASE WHEN doc_id % 17 = 3 THEN 'c1' ELSE 'c0' END AS corpus,
+            @sha(concat(CASE WHEN doc_id % 5 = 4 THEN lang ELSE source END, lang)) AS fingerprint, CASE doc_id % 19 WHEN 5 THEN '' WHEN 6 THEN NULL ELSE 'pin' END AS pin FROM documents WHERE doc_id % 23 <> 0) r ON l.doc_id = r.doc_id""",
+}
+
+_EDGE = "[\\x09-\\x0D\\x1C-\\x1F\\x85\\p{Z}]+"
+#: SQL for DuckDB that says the same in another way.
+ORACLES = {
+    "visible_content": f"""
+        SELECT conv_id, tn, CASE WHEN conv_id % 5 <> 1 THEN shown WHEN regexp_matches(shown, '[^\\x09-\\x0D\\x1C-\\x1F\\x85\\p{{Z}}]') THEN regexp_replace(regexp_replace(shown, '^{_EDGE}', ''), '{_EDGE}$', '') END AS visible
+        FROM (SELECT conv_id, tn, CASE tn % 4 WHEN 0 THEN {WHITE} || completion || {WHITE} WHEN 1 THEN {WHITE} WHEN 2 THEN chr(10) || chr(10) || completion || chr(9) ELSE completion END AS shown FROM turns) q""",
+    "stream_ids": "SELECT DISTINCT session_id, agent_id, concat_ws('-', session_id, agent_id) AS stream_id FROM turns",
+    "usage_totals": "SELECT session_id, p AS prompt_tokens, c AS completion_tokens, p + c AS total_tokens FROM (SELECT session_id, CAST(sum(length(prompt)) AS BIGINT) AS p, CAST(sum(length(completion)) AS BIGINT) AS c FROM turns GROUP BY session_id) q",
+    "session_keys": """
+        SELECT conv_id, tn, composed, array_to_string(p[1:len(p) - 2], '|') AS real_key, p[len(p) - 1] AS session_part, p[len(p)] AS agent_part,
+            regexp_full_match(p[len(p) - 1], '[A-Za-z0-9._]{1,256}') AND regexp_full_match(p[len(p)], '[A-Za-z0-9._]{1,256}') AS valid
+        FROM (SELECT conv_id, tn, composed, string_split(composed, '|') AS p FROM (SELECT conv_id, tn, concat_ws('|', CASE WHEN conv_id % 2 = 0 THEN 'key' ELSE 'k|e|y' END, session_id, coalesce(agent_id, 'no agent')) AS composed FROM turns) a) b""",
 }

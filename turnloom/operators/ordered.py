@@ -1,37 +1,52 @@
 """Operators over one global order without one global task.
 
 A window without a partition key would send all rows to one task. Here the order is cut into
-buckets of the leading order column; windows run inside buckets, and only one row a bucket (a
-total or a last value) is carried across them.
+BUCKETS ranges of the leading order column, at its quantiles, so the buckets are of like size
+whatever the values; windows run inside buckets, and only one row a bucket (a total or a last value)
+is carried across them. Rows of one value of the leading column share a bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnloom.sources import adapter
 
-WIDTH = 10_000
+BUCKETS = 256
 
 
-def _before(totals: DataFrame, value) -> DataFrame:
-    """totals (bucket, v) with the fold of v over the earlier buckets; one row a bucket."""
+def bucket_of(value: Column, cuts: list, first: int = 0) -> Column:
+    """How many of the sorted cuts are at most value, by bisection; null counts as before all."""
+    if not cuts:
+        return F.lit(first).cast("bigint")
+    mid = len(cuts) // 2
+    return F.when(value >= F.lit(cuts[mid]), bucket_of(value, cuts[mid + 1 :], first + mid + 1)).otherwise(bucket_of(value, cuts[:mid], first))
+
+
+def bucketed(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
+    """df with a column bucket that rises with an integer column; buckets - 1 quantiles come to the driver."""
+    found = df.select(column).approxQuantile(column, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
+    return df.withColumn("bucket", bucket_of(F.col(column), sorted({int(x) for x in found})))
+
+
+def _before(totals: DataFrame, value: Column) -> DataFrame:
+    """totals (bucket, v) with the fold of v over the earlier buckets: BUCKETS rows at most."""
     return totals.select("bucket", value.over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
 
 
-def global_row_number(df: DataFrame, order: list[str], name: str = "place", width: int = WIDTH) -> DataFrame:
+def global_row_number(df: DataFrame, order: list[str], name: str = "place", buckets: int = BUCKETS) -> DataFrame:
     """df with its 1-based place by order; order[0] is an integer column, nulls come first."""
-    d = df.withColumn("bucket", F.floor(F.coalesce(F.col(order[0]), F.lit(-(1 << 62))) / width).cast("bigint"))
+    d = bucketed(df, order[0], buckets)
     carried = _before(d.groupBy("bucket").agg(F.count("*").alias("v")), F.sum("v"))
     inside = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
     return d.withColumn("inside", inside).join(carried, "bucket").withColumn(name, F.col("inside") + F.coalesce("carried", F.lit(0))).drop("bucket", "inside", "carried")
 
 
-def last_before(rows: DataFrame, at: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
+def last_before(rows: DataFrame, at: str, value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
     """rows with the last non-null value at or before each row's place in the order of at (unique integers)."""
-    d = rows.withColumn("bucket", F.floor(F.col(at) / width).cast("bigint"))
+    d = bucketed(rows, at, buckets)
     pushed = F.when(F.col(value).isNotNull(), F.struct(F.col(at), F.col(value)))
     carried = _before(d.groupBy("bucket").agg(F.max(pushed).alias("v")), F.max("v"))
     inside = F.max(pushed).over(Window.partitionBy("bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))

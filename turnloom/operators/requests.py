@@ -37,3 +37,6 @@ QUERIES = {
         seen AS (SELECT source AS model, max(lang) AS pin FROM documents WHERE doc_id % 2 = 1 OR source = 'src3' GROUP BY source)
         SELECT coalesce(h.model, s.model) AS model, coalesce(h.pin, s.pin) AS pin, h.pin IS NOT NULL AND s.pin IS NOT NULL AND h.pin <> s.pin AS conflict FROM held h FULL OUTER JOIN seen s ON h.model = s.model""",
 }
+
+#: SQL for DuckDB that says the same in another way.
+ORACLES: dict[str, str] = {}

@@ -4,6 +4,17 @@ first_error keeps the precedence of validators that stop at the first failure: t
 of the least number.
 """
 
+_FAULTY = """faulty AS (SELECT session_id, agent_id, turn_ordinal, conv_id, tn, n_prompt, n_completion, segment_index,
+                CASE WHEN conv_id % 13 = 0 THEN n_completion - 1 ELSE n_completion END AS n_logprobs,
+                CASE WHEN conv_id % 29 = 3 THEN 'unknown' ELSE purpose END AS purpose,
+                CASE WHEN conv_id % 31 = 7 THEN -1 ELSE 5 END AS least_token,
+                CASE WHEN conv_id % 37 = 2 THEN CAST('Infinity' AS DOUBLE) ELSE top_p END AS top_p
+            FROM turns),
+        rules AS (SELECT session_id, turn_ordinal, 1 AS rule_no, 'token_ids' AS rule_id, least_token >= 0 AS ok FROM faulty
+            UNION ALL SELECT session_id, turn_ordinal, 2, 'purpose', purpose IN ('primary', 'compaction', 'auxiliary') FROM faulty
+            UNION ALL SELECT session_id, turn_ordinal, 3, 'logprobs', n_logprobs = n_completion FROM faulty
+            UNION ALL SELECT session_id, turn_ordinal, 4, 'sampling', abs(top_p) < CAST('Infinity' AS DOUBLE) FROM faulty)"""
+
 QUERIES = {
     # token count of each segment
     "segment_lengths": "SELECT session_id, agent_id, segment_index, CAST(sum(n_prompt + n_completion) AS BIGINT) AS n_tokens FROM turns GROUP BY session_id, agent_id, segment_index",
@@ -14,31 +25,22 @@ QUERIES = {
         SELECT session_id, agent_id, segment_index, turn_ordinal, NOT (n_completion > 0 AND shown = 0 AND before_len = 0) AS ok
         FROM (SELECT *, CASE WHEN conv_id % 9 = 1 THEN 0 ELSE n_prompt END AS shown, coalesce(sum(n_prompt + n_completion) OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_len FROM turns) q""",
     # structural rules of records, one row for each record and rule, on records with planted faults
-    "record_rules": """
-        WITH faulty AS (SELECT session_id, agent_id, turn_ordinal, conv_id, tn, n_prompt, n_completion, segment_index,
-                CASE WHEN conv_id % 13 = 0 THEN n_completion - 1 ELSE n_completion END AS n_logprobs,
-                CASE WHEN conv_id % 29 = 3 THEN 'unknown' ELSE purpose END AS purpose,
-                CASE WHEN conv_id % 31 = 7 THEN -1 ELSE 5 END AS least_token,
-                CASE WHEN conv_id % 37 = 2 THEN CAST('Infinity' AS DOUBLE) ELSE top_p END AS top_p
-            FROM turns),
-        rules AS (SELECT session_id, turn_ordinal, 1 AS rule_no, 'token_ids' AS rule_id, least_token >= 0 AS ok FROM faulty
-            UNION ALL SELECT session_id, turn_ordinal, 2, 'purpose', purpose IN ('primary', 'compaction', 'auxiliary') FROM faulty
-            UNION ALL SELECT session_id, turn_ordinal, 3, 'logprobs', n_logprobs = n_completion FROM faulty
-            UNION ALL SELECT session_id, turn_ordinal, 4, 'sampling', abs(top_p) < CAST('Infinity' AS DOUBLE) FROM faulty)
+    "record_rules": f"""
+        WITH {_FAULTY}
         SELECT session_id, rule_id, count(*) AS n_checked, sum(CASE WHEN ok THEN 0 ELSE 1 END) AS n_failed, min(CASE WHEN ok THEN NULL ELSE turn_ordinal END) AS first_failed
-        FROM (SELECT session_id, turn_ordinal, rule_id, ok FROM rules) q GROUP BY session_id, rule_id""",
-    "first_error": """
-        SELECT session_id, min(rule_no * 1000 + turn_ordinal) AS first_error, count(*) AS n_errors
-        FROM (SELECT session_id, turn_ordinal, 1 AS rule_no FROM turns WHERE conv_id % 31 = 7
-            UNION ALL SELECT session_id, turn_ordinal, 2 FROM turns WHERE conv_id % 29 = 3
-            UNION ALL SELECT session_id, turn_ordinal, 3 FROM turns WHERE conv_id % 13 = 0 AND n_completion > 0) q
-        GROUP BY session_id""",
+        FROM rules GROUP BY session_id, rule_id""",
+    # turns are checked in order, each by the rules in order: the first failure is that of the least (turn, rule)
+    "first_error": f"""
+        WITH {_FAULTY}
+        SELECT session_id, turn_ordinal AS first_turn, rule_id AS first_rule, n_errors
+        FROM (SELECT session_id, turn_ordinal, rule_id, row_number() OVER (PARTITION BY session_id ORDER BY turn_ordinal, rule_no) AS place, count(*) OVER (PARTITION BY session_id) AS n_errors FROM rules WHERE NOT ok) q
+        WHERE place = 1""",
     # every nonempty completion of a trained agent must have the expected version and policy; a missing one fails
     "sampling_policy": """
         WITH expected AS (SELECT 'top_p' AS param, CAST(1 AS DOUBLE) AS wanted UNION ALL SELECT 'temperature', CAST(1 AS DOUBLE)),
         actual AS (SELECT session_id, agent_id, turn_ordinal, weight_version, 'top_p' AS param, top_p AS got FROM turns WHERE n_completion > 0
             UNION ALL SELECT session_id, agent_id, turn_ordinal, weight_version, 'temperature', CASE WHEN conv_id % 15 = 4 THEN NULL ELSE CAST(1 AS DOUBLE) END FROM turns WHERE n_completion > 0)
-        SELECT a.session_id, a.agent_id, count(*) AS n_checked, sum(CASE WHEN a.got = e.wanted THEN 0 ELSE 1 END) AS n_policy_failed, sum(CASE WHEN a.weight_version = '7' THEN 0 ELSE 1 END) AS n_version_failed
+        SELECT a.session_id, a.agent_id, count(*) AS n_checked, sum(CASE WHEN a.got = e.wanted THEN 0 ELSE 1 END) AS n_policy_failed, count(DISTINCT CASE WHEN a.weight_version = '7' THEN NULL ELSE a.turn_ordinal END) AS n_version_failed
         FROM actual a JOIN expected e ON a.param = e.param WHERE a.agent_id IN ('a0', 'a1') GROUP BY a.session_id, a.agent_id""",
     # a null agent is a key of its own: joined null-safely
     "agent_roles": """
@@ -87,3 +89,21 @@ QUERIES = {
         SELECT conv_id, tn, n_completion AS n_tokens, n_logprobs, n_tokens_ok AND n_completion = n_logprobs AND n_completion > 0 AS accepted, CASE WHEN n_completion = 0 THEN 'empty' WHEN n_completion <> n_logprobs THEN 'length' WHEN NOT n_tokens_ok THEN 'token' ELSE NULL END AS reason
         FROM (SELECT conv_id, tn, n_completion, CASE WHEN conv_id % 12 = 5 THEN n_completion + 1 ELSE n_completion END AS n_logprobs, conv_id % 16 <> 9 AS n_tokens_ok FROM turns) q""",
 }
+
+_EACH = """SELECT session_id, turn_ordinal, n_completion, conv_id,
+        list_filter([CASE WHEN conv_id % 31 = 7 THEN 'token_ids' END, CASE WHEN conv_id % 29 = 3 THEN 'purpose' END, CASE WHEN conv_id % 13 = 0 THEN 'logprobs' END, CASE WHEN conv_id % 37 = 2 THEN 'sampling' END], lambda x: x IS NOT NULL) AS failed FROM turns"""
+#: SQL for DuckDB that says the same in another way.
+ORACLES = {
+    "first_error": f"""SELECT session_id, min(turn_ordinal) AS first_turn, arg_min(failed[1], turn_ordinal) AS first_rule, CAST(sum(len(failed)) AS BIGINT) AS n_errors FROM ({_EACH}) q WHERE len(failed) > 0 GROUP BY session_id""",
+    "record_rules": f"""SELECT s.session_id, r.rule_id, n_turns AS n_checked, CAST(count(f.turn_ordinal) AS BIGINT) AS n_failed, min(f.turn_ordinal) AS first_failed
+        FROM (SELECT session_id, count(*) AS n_turns FROM turns GROUP BY session_id) s CROSS JOIN (VALUES ('token_ids'), ('purpose'), ('logprobs'), ('sampling')) r(rule_id)
+        LEFT JOIN ({_EACH}) f ON f.session_id = s.session_id AND list_contains(f.failed, r.rule_id) GROUP BY s.session_id, r.rule_id, n_turns""",
+    "segment_contiguity": """SELECT session_id, agent_id, list_min(s) AS first_segment, list_max(s) AS last_segment, s = list_sort(s) AND s = range(len(s)) AS contiguous
+        FROM (SELECT session_id, agent_id, list(DISTINCT segment_index ORDER BY segment_index) AS s FROM turns WHERE NOT (conv_id % 14 = 6 AND segment_index = 0) GROUP BY session_id, agent_id) q""",
+    "capture_blobs": """SELECT doc_id, d[1] AS data, d[2] AS n_rows, 1 AS n_cols, d[3] AS strict, d[4] AS ok FROM (SELECT doc_id, CASE doc_id % 6
+        WHEN 0 THEN row('AQID', 3, TRUE, TRUE) WHEN 1 THEN row('AQI=', 2, TRUE, TRUE) WHEN 2 THEN row('AQI', 6, FALSE, FALSE) WHEN 3 THEN row('!', 6, FALSE, FALSE) WHEN 4 THEN row('', 0, TRUE, TRUE) ELSE row('AQIDBAUG', 6, TRUE, TRUE) END AS d FROM documents) q""",
+    "allocation_uniqueness": "SELECT 's' || a.doc_id AS session_id, CAST(2 AS BIGINT) AS n_slots FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND b.doc_id % 25 = 1",
+    "weight_versions": "SELECT session_id, CAST(len(v) AS BIGINT) AS n_versions, len(v) > 1 AS straddles FROM (SELECT session_id, list(DISTINCT weight_version) AS v FROM turns GROUP BY session_id) q",
+    "sampling_policy": """SELECT session_id, agent_id, 2 * count(*) AS n_checked, CAST(sum(CASE WHEN top_p <> 1 THEN 1 ELSE 0 END) + sum(CASE WHEN conv_id % 15 = 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_policy_failed, CAST(sum(CASE WHEN weight_version <> '7' THEN 1 ELSE 0 END) AS BIGINT) AS n_version_failed
+        FROM turns WHERE n_completion > 0 AND agent_id IN ('a0', 'a1') GROUP BY session_id, agent_id""",
+}

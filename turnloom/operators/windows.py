@@ -63,3 +63,6 @@ QUERIES = {
                 UNION ALL SELECT conv_id, tn, n_completion, 1, CAST(floor(n_completion / 2) AS BIGINT) + CASE WHEN conv_id % 19 = 2 THEN 1 ELSE 0 END, n_completion, CASE WHEN conv_id % 23 = 5 THEN '9' ELSE weight_version END FROM turns WHERE n_completion > 1) a) b
         GROUP BY conv_id, tn""",
 }
+
+#: SQL for DuckDB that says the same in another way.
+ORACLES: dict[str, str] = {}

@@ -26,4 +26,6 @@ def _shipped(run):
 
 
 QUERIES = {name: query(sql) for name, sql in SQL.items()} | ordered.QUERIES | training.QUERIES | {name: _shipped(run) for name, run in (texts.QUERIES | continuation.QUERIES).items()}
-ORACLE = {name: for_duck(sql) for name, sql in SQL.items()} | training.ORACLE | texts.ORACLE | continuation.ORACLE
+#: Where there is another formulation for DuckDB, it takes the place of the shared one.
+OWN = scalars.ORACLES | validation.ORACLES | lookups.ORACLES | windows.ORACLES | requests.ORACLES | history.ORACLES
+ORACLE = {name: for_duck(OWN.get(name, sql)) for name, sql in SQL.items()} | training.ORACLE | texts.ORACLE | continuation.ORACLE

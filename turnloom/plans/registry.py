@@ -20,6 +20,7 @@ WORDS = {
     "@json(": ("get_json_object(", "json_extract_string("),
     "@sha(": ("turnloom_sha(", "sha256("),
     "@size(": ("size(", "len("),
+    "@strip(": ("btrim(", "trim("),
     "@text": ("STRING", "VARCHAR"),
 }
 

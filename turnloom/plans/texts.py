@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,25 +14,110 @@ from turnloom.sources import adapter, records
 from turnloom.sources.adapter import DUCK_TURNS, read
 from turnloom.streaming import recorder
 
-#: A well-formed completion of each dialect, in SQL over documents that both engines read.
-MARKUP = {
-    "hermes": """concat('<think>', lang, '</think>', chr(10), chr(10), 'say ', source, ' <tool_call>', chr(10), '{"name": "look", "arguments": {"n": ', CAST(n_chars AS VARCHAR(20)), '}}', chr(10), '</tool_call>')""",
-    "qwen3_coder": """concat(lang, '</think>', chr(10), 'say ', source, ' <tool_call>', chr(10), '<function=look>', chr(10), '<parameter=n>', chr(10), CAST(n_chars AS VARCHAR(20)), chr(10), '</parameter>', chr(10), '</function>', chr(10), '</tool_call>')""",
-    "glm47": """concat('<think>', lang, '</think>', 'say ', source, ' <tool_call>look<arg_key>n</arg_key><arg_value>', CAST(n_chars AS VARCHAR(20)), '</arg_value></tool_call>')""",
-    "gpt_oss": """concat('<|channel|>analysis<|message|>', lang, '<|end|><|start|>assistant<|channel|>commentary<|message|>say ', source, '<|end|><|start|>assistant to=functions.look<|channel|>commentary<|message|>{"n": ', CAST(n_chars AS VARCHAR(20)), '}<|call|>')""",
-}
-_EXPECT = """SELECT doc_id, concat('say ', source) AS content, lang AS reasoning, CAST(1 AS BIGINT) AS n_calls, 'look' AS name, concat('{"n": ', CAST(n_chars AS VARCHAR), '}') AS arguments FROM documents"""
+#: Completions of each dialect: (text, content, reasoning, number of calls, first call's arguments). @n is a
+#: document's n_chars and @s its source; the tools below are declared.
+TOOLS = [
+    {"type": "function", "function": {"name": "look", "parameters": {"properties": {"n": {"type": "integer"}, "code": {"type": " String "}, "either": {"type": ["null", "str"]}, "mixed": {"type": ["number", "string"]}}}}},
+    {"name": "flat", "parameters": {"properties": {"code": {"type": "string"}, "kind": {"type": "enum"}}}},
+]
+_OPEN, _SHUT = "<tool_call>", "</tool_call>"
+
+
+def _xml(name: str, *pairs: tuple[str, str]) -> str:
+    return f"\n<function={name}>\n" + "".join(f"<parameter={k}>\n{v}\n</parameter>\n" for k, v in pairs) + "</function>\n"
+
+
+def _pairs(name: str, *pairs: tuple[str, str]) -> str:
+    return name + "".join(f"<arg_key>{k}</arg_key><arg_value>{v}</arg_value>" for k, v in pairs)
+
+
+def _as_content(text: str) -> tuple:
+    return text, text, None, 0, None
+
+
+CASES = {
+    "hermes": [
+        ('<think>@s</think>\n\nsay @s <tool_call>\n{"name": "look", "arguments": {"n": @n}}\n</tool_call>', "say @s", "@s", 1, '{"n": @n}'),
+        ('<tool_call>{"name": "look", "arguments": "{\\"n\\": @n}"}</tool_call> after', "after", None, 1, '{"n": @n}'),
+        ('<tool_call>{"name": "look", "arguments": [@n]}</tool_call><tool_call>{"name": "look"}</tool_call>', "", None, 2, "{}"),
+        _as_content('<tool_call>{"name": "", "arguments": {}}</tool_call>'), _as_content('<tool_call>{"name": "look", "arguments": {"n": NaN}}</tool_call>'), _as_content('<tool_call>{"name": "look", "arguments": {"n": @n}}'),
+        ('<tool_call>wait @s <tool_call>{"name": "look", "parameters": {"n": @n}}</tool_call>', "<tool_call>wait @s", None, 1, '{"n": @n}'),
+    ],
+    "qwen3_coder": [
+        ("@s</think>\n\nsay @s " + _OPEN + _xml("look", ("n", "@n")) + _SHUT, "say @s", "@s", 1, '{"n": @n}'),
+        (_OPEN + _xml("look", ("code", "@n"), ("either", "@n"), ("mixed", "@n"), ("other", "[@n]")) + _SHUT, "", None, 1, '{"code": "@n", "either": "@n", "mixed": @n, "other": [@n]}'),
+        (_OPEN + _xml("flat", ("code", "@n"), ("kind", "@n")) + _SHUT, "", None, 1, '{"code": "@n", "kind": @n}'),
+        ("a " + _OPEN + _xml("look", ("n", "@n")) + _xml("flat") + _SHUT + " b", "a  b", None, 2, '{"n": @n}'),
+        _as_content(_OPEN + _xml("look", ("code", "x</parameter>y @n")) + _SHUT), _as_content(_OPEN + "\n<function=look>loose @n</function>\n" + _SHUT), _as_content(_OPEN + _xml("look", ("n", "@n"))[:-12] + _SHUT),
+        (_OPEN + _xml("look", ("code", "see <parameter=n> @n")) + _SHUT, "", None, 1, '{"code": "see <parameter=n> @n"}'),
+        (_OPEN + _xml("look", ("n", "NaN")) + _SHUT, "", None, 1, '{"n": "NaN"}'),
+    ],
+    "glm47": [
+        ("<think>@s</think>say @s " + _OPEN + _pairs("look", ("n", "@n")) + _SHUT, "say @s", "@s", 1, '{"n": @n}'),
+        (_OPEN + _pairs("look", ("code", " @n\n"), ("mixed", "@n")) + _SHUT + _OPEN + "flat" + _SHUT, "", None, 2, '{"code": " @n\\n", "mixed": @n}'),
+        ("<think>@s" + _OPEN + _pairs("look", ("n", "@n")) + _SHUT, "", "@s", 1, '{"n": @n}'),
+        _as_content(_OPEN + _pairs("look", ("n", "@n"), ("n", "@n")) + _SHUT), _as_content(_OPEN + _pairs("look", ("n", "@n")) + "left" + _SHUT), _as_content(_OPEN + _pairs("two words", ("n", "@n")) + _SHUT),
+    ],
+    "gpt_oss": [
+        ('<|channel|>analysis<|message|>@s<|end|><|start|>assistant<|channel|>commentary<|message|>say @s<|end|><|start|>assistant to=functions.look<|channel|>commentary<|message|>{"n": @n}<|call|>', "say @s", "@s", 1, '{"n": @n}'),
+        ('<|channel|>commentary to=functions.look<|constrain|>json<|message|> {"n": @n} <|call|><|start|>assistant<|message|>unread<|end|>', "", None, 1, '{"n": @n}'),
+        ('<|channel|>commentary to=functions.look<|message|>{"n": @n}<|end|>', '{"n": @n}', None, 0, None), ("<|channel|>commentary to=functions.look<|message|>[@n]<|call|>", "[@n]", None, 0, None),
+        ("<|channel|>analysis<|message|>one @n<|start|>assistant<|channel|>analysis<|message|> two <|end|><|start|>assistant<|channel|>final<|message|>said @s<|return|>", "said @s", "one @n\n\ntwo", 0, None),
+        ("<|channel|>final<|end|><|start|>assistant<|message|>lost @n", "", None, 0, None), ("<|start|>user<|message|>@n<|end|>", "", None, 0, None),
+    ],
+}
+
+
+def _sql(text: str | None, kind: str) -> str:
+    """SQL of a text with @n and @s in it."""
+    if text is None:
+        return f"CAST(NULL AS {kind})"
+    parts = []
+    for piece in re.split("(@n|@s)", text):
+        if piece in ("@n", "@s"):
+            parts.append(f"CAST(n_chars AS {kind})" if piece == "@n" else "source")
+        elif piece:
+            lines = [f"'{line}'".replace("\\", "\\\\" if kind == "STRING" else "\\") for line in piece.replace("'", "''").split("\n")]
+            parts.append(", chr(10), ".join(lines))
+    return f"concat({', '.join(parts)})" if parts else "''"
+
+
+def _case(values: list[str]) -> str:
+    return f"CASE doc_id % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
 
+def _expected(dialect: str) -> str:
+    """SQL for DuckDB of what each completion becomes."""
+    rows = CASES[dialect]
+    column = lambda i, name: f"{_case([_sql(r[i], 'VARCHAR') for r in rows])} AS {name}"
+    return f"SELECT doc_id, {column(1, 'content')}, {column(2, 'reasoning')}, CAST({_case([str(r[3]) for r in rows])} AS BIGINT) AS n_calls, {column(4, 'arguments')} FROM documents"
 
-def _calls(dialect: str, markup: str):
+
+def _calls(dialect: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = read(spark, sf_dir, "documents").select("doc_id", F.expr(markup.replace("VARCHAR(20)", "STRING")).alias("t"))
-        d = d.withColumn("p", completion.parsed(dialect, F.col("t")))
-        return d.select("doc_id", "p.content", "p.reasoning", F.size("p.calls").cast("bigint").alias("n_calls"), F.col("p.calls")[0]["name"].alias("name"), F.col("p.calls")[0]["arguments"].alias("arguments"))
+        d = read(spark, sf_dir, "documents").select("doc_id", F.expr(_case([_sql(r[0], "STRING") for r in CASES[dialect]])).alias("t"))
+        d = d.withColumn("p", completion.parsed(dialect, F.col("t"), TOOLS))
+        return d.select("doc_id", "p.content", "p.reasoning", F.size("p.calls").cast("bigint").alias("n_calls"), F.get("p.calls", F.lit(0))["arguments"].alias("arguments"))
 
     return run
 
 
+def harmony_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled ids, code points but for the markers' own: a source spelled as a marker stays text."""
+    marks = {text: i for text, i, _ in completion.HARMONY_MARKERS}
+    points = lambda c: F.transform(F.split(c, ""), lambda x: F.ascii(x))
+    piece = lambda text: F.array(*[F.lit(ord(c)) for c in text])
+    mark = lambda text: F.array(F.lit(marks[text]))
+    spelled = F.concat(F.lit("<|end|>"), "source")
+    ids = F.concat(mark("<|channel|>"), piece("analysis"), mark("<|message|>"), points(spelled), mark("<|end|>"), mark("<|start|>"), piece("assistant"), mark("<|channel|>"), piece("final"), mark("<|message|>"), points(F.concat(F.lit("<|return|>"), "lang")), F.when(F.col("doc_id") % 2 == 0, mark("<|return|>")).otherwise(mark("<|end|>")))
+    d = read(spark, sf_dir, "documents").where("lang IS NOT NULL").withColumn("p", completion.parsed_ids(ids, _points_text))
+    return d.select("doc_id", "p.content", "p.reasoning", F.size("p.calls").cast("bigint").alias("n_calls"))
+
+
+def _points_text(ids: list[int]) -> str:
+    return "".join(map(chr, ids))
+
+
 def bare_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"name": "look", "parameters": {"n": '), F.col("n_chars").cast("string"), F.lit("}}"))).otherwise(F.concat(F.lit("plain "), "source"))
     p = completion.parsed("llama3_json", t)
@@ -88,7 +175,7 @@ def capture_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("session_id", "agent_id", "segment_index").orderBy("turn_ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = before + F.when(F.col("conv_id") % 6 == 1, 1).otherwise(0)
     blobs = t.select("session_id", "agent_id", "segment_index", F.col("turn_ordinal").alias("ordinal"), F.base64(F.concat("prompt", "completion").cast("binary")).alias("data"), F.col("n").alias("rows"), F.lit(1).cast("bigint").alias("cols"), F.when(before == 0, F.lit(0)).otherwise(start).cast("bigint").alias("start"))
-    return captures.fold(blobs).drop("data")
+    return captures.fold(blobs).withColumn("data_sha", F.sha2(F.unbase64("data"), 256)).drop("data")
 
 
 def capture_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +194,19 @@ def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapter.turns(spark, sf_dir)
     before = Window.partitionBy("session_id", "agent_id", "segment_index").orderBy("turn_ordinal").rowsBetween(Window.unboundedPreceding, -1)
     d = t.withColumn("n_full_prompt", F.coalesce(F.sum(F.col("n_prompt") + F.col("n_completion")).over(before), F.lit(0)) + F.col("n_prompt"))
+    d = d.withColumn("n_messages", F.coalesce(F.sum("n_messages").over(before), F.lit(0)) + F.col("n_messages"))
     d = d.select("session_id", "agent_id", "segment_index", "new_conversation", "purpose", "n_messages", "n_completion", "n_full_prompt", F.sha2("completion", 256).alias("completion_sha"), (F.col("turn_ordinal") * 2).alias("ordinal"), "conv_id")
     again = d.where("conv_id % 3 = 0").withColumn("ordinal", F.col("ordinal") + 1)
     return recorder.record(d.union(again).drop("conv_id"))
 
 
+def live_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses and deletes of streams in the control log, by profile, with 4096 streams held in each."""
+    e = read(spark, sf_dir, "events")
+    uses = e.select(F.concat(F.lit("p"), F.col("event_id") % 4).alias("profile"), F.concat(F.lit("s"), "user_id").alias("stream"), F.col("event_id").alias("ordinal"), F.when(F.col("event_type") == "error", "delete").otherwise("use").alias("action"))
+    return recorder.live_streams(uses)
+
+
 def chat_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapter.turns(spark, sf_dir)
     content, finish = F.concat(F.lit("turn "), F.col("conv_id").cast("string")), F.lit("stop")
@@ -132,16 +227,41 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = t.groupBy("session_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     r = r.select("session_id", F.struct("session_id", "turns", F.lit(None).cast("string").alias("segment_routed_experts")).alias("r"))
     full, lean = records.snapshot(F.col("r"), True, True), records.snapshot(F.col("r"), False, False)
-    return r.select("session_id", F.length(full).cast("bigint").alias("n_full"), F.length(lean).cast("bigint").alias("n_lean"), lean.contains("logprobs").alias("has_logprobs"))
+    return r.select("session_id", F.sha2(full, 256).alias("full_sha"), F.sha2(lean, 256).alias("lean_sha"))
 
 
-QUERIES = {f"tool_calls_{d}": _calls(d, m) for d, m in MARKUP.items()} | {
+QUERIES = {f"tool_calls_{d}": _calls(d) for d in CASES} | {
+    "harmony_ids": harmony_ids, "live_streams": live_streams,
     "tool_calls_llama3_json": bare_calls, "cleaned_texts": cleaned_texts, "json_equality": json_equality, "raw_token_ids": raw_token_ids, "turn_gaps": turn_gaps, "implicit_prefixes": implicit_prefixes,
     "sampled_headers": sampled_headers, "capture_fold": capture_fold, "capture_pack": capture_pack, "recorded_deliveries": recorded, "chat_responses": chat_responses, "event_streams": event_streams, "snapshots": snapshots,
 }
 
 _USAGE = """'"usage":{"prompt_tokens":' || n_prompt || ',"completion_tokens":' || n_completion || ',"total_tokens":' || (n_prompt + n_completion) || '}}'"""
-ORACLE = {f"tool_calls_{d}": _EXPECT for d in MARKUP} | {
+ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
+    "harmony_ids": "SELECT doc_id, '<|return|>' || lang AS content, '<|end|>' || source AS reasoning, CAST(0 AS BIGINT) AS n_calls FROM documents WHERE lang IS NOT NULL",
+    "recorded_deliveries": f"""WITH RECURSIVE {DUCK_TURNS},
+        t AS (SELECT *, sum(n_prompt + n_completion) OVER w - n_completion AS n_full, sum(n_messages) OVER w AS n_seen FROM turns WINDOW w AS (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal)),
+        d AS (SELECT *, row_number() OVER (PARTITION BY session_id, agent_id ORDER BY ordinal) AS place FROM (SELECT *, turn_ordinal * 2 AS ordinal FROM t UNION ALL SELECT *, turn_ordinal * 2 + 1 FROM t WHERE conv_id % 3 = 0) x),
+        f AS (SELECT session_id, agent_id, place, ordinal, segment_index = 0 AS accepted, CASE WHEN segment_index <> 0 THEN 'segment' END AS reason, CASE WHEN segment_index = 0 THEN struct_pack(m := n_seen, c := completion, p := purpose, l := n_completion, s := n_full + n_completion, g := segment_index) ELSE struct_pack(m := CAST(-1 AS HUGEINT), c := '', p := '', l := CAST(0 AS BIGINT), s := CAST(0 AS HUGEINT), g := CAST(-1 AS BIGINT)) END AS st FROM d WHERE place = 1
+            UNION ALL SELECT session_id, agent_id, place, ordinal, why IS NULL, why, CASE WHEN why IS NULL THEN struct_pack(m := n_seen, c := completion, p := purpose, l := n_completion, s := n_full + n_completion, g := segment_index) ELSE st END
+            FROM (SELECT d.*, f.st, CASE WHEN d.segment_index = f.st.g AND d.n_seen = f.st.m AND d.completion = f.st.c AND d.purpose = f.st.p AND d.n_full = f.st.s - f.st.l THEN 'repeat' WHEN d.segment_index <> f.st.g + CASE WHEN d.new_conversation OR f.st.g < 0 THEN 1 ELSE 0 END THEN 'segment'
+                WHEN NOT d.new_conversation AND f.st.g >= 0 AND (d.n_seen <= f.st.m OR d.n_full < f.st.s) THEN 'short' END AS why FROM f JOIN d ON d.session_id = f.session_id AND d.agent_id IS NOT DISTINCT FROM f.agent_id AND d.place = f.place + 1) q)
+        SELECT session_id, agent_id, CAST(ordinal AS BIGINT) AS ordinal, accepted, reason, CAST(st.s AS BIGINT) AS stream_len FROM f""",
+    "capture_fold": f"""WITH RECURSIVE {DUCK_TURNS},
+        t AS (SELECT *, n_prompt + n_completion AS n, sum(n_prompt + n_completion) OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) - n_prompt - n_completion AS before, row_number() OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) AS place FROM turns),
+        b AS (SELECT session_id, agent_id, segment_index, place, prompt || completion AS data, n, CASE WHEN before = 0 THEN 0 ELSE before + CASE WHEN conv_id % 6 = 1 THEN 1 ELSE 0 END END AS start FROM t),
+        f AS (SELECT session_id, agent_id, segment_index, place, data, n AS "rows", 1 AS accepted, 0 AS dropped FROM b WHERE place = 1
+            UNION ALL SELECT b.session_id, b.agent_id, b.segment_index, b.place, CASE WHEN b.start > 0 AND b.start = f."rows" THEN f.data || b.data WHEN b.start = 0 AND b.n >= f."rows" THEN b.data ELSE f.data END,
+                CASE WHEN b.start > 0 AND b.start = f."rows" THEN f."rows" + b.n WHEN b.start = 0 AND b.n >= f."rows" THEN b.n ELSE f."rows" END,
+                f.accepted + CASE WHEN b.start > 0 AND b.start = f."rows" OR b.start = 0 AND b.n >= f."rows" THEN 1 ELSE 0 END, f.dropped + CASE WHEN b.start > 0 AND b.start = f."rows" OR b.start = 0 AND b.n >= f."rows" THEN 0 ELSE 1 END
+            FROM f JOIN b ON b.session_id = f.session_id AND b.agent_id IS NOT DISTINCT FROM f.agent_id AND b.segment_index = f.segment_index AND b.place = f.place + 1)
+        SELECT session_id, agent_id, segment_index, CAST(last."rows" AS BIGINT) AS "rows", CAST(1 AS BIGINT) AS cols, CAST(last.accepted AS BIGINT) AS accepted, CAST(last.dropped AS BIGINT) AS dropped, sha256(last.data) AS data_sha
+        FROM (SELECT session_id, agent_id, segment_index, arg_max(f, place) AS last FROM f GROUP BY session_id, agent_id, segment_index) q""",
+    "snapshots": f"""WITH {DUCK_TURNS},
+        j AS (SELECT session_id, string_agg(head || '}}', ',' ORDER BY turn_ordinal) AS lean, string_agg(head || ',"completion_logprobs":[' || array_to_string(list_transform(c, lambda t: CAST(-(t % 16) / 16.0 AS VARCHAR)), ',') || ']}}', ',' ORDER BY turn_ordinal) AS whole
+            FROM (SELECT *, '{{"turn_ordinal":' || turn_ordinal || ',"agent_id":' || coalesce('"' || agent_id || '"', 'null') || ',"prompt_ids":[' || array_to_string(list_transform(p, lambda t: CAST(t AS VARCHAR)), ',') || '],"completion_ids":[' || array_to_string(list_transform(c, lambda t: CAST(t AS VARCHAR)), ',') || ']' AS head
+                FROM (SELECT *, CASE WHEN prompt = '' THEN [] ELSE list_transform(string_split(prompt, ''), lambda x: unicode(x)) END AS p, CASE WHEN completion = '' THEN [] ELSE list_transform(string_split(completion, ''), lambda x: unicode(x)) END AS c FROM turns) a) b GROUP BY session_id)
+        SELECT session_id, sha256('{{"session_id":"' || session_id || '","turns":[' || whole || '],"segment_routed_experts":null}}') AS full_sha, sha256('{{"session_id":"' || session_id || '","turns":[' || lean || ']}}') AS lean_sha FROM j""",
     "tool_calls_llama3_json": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'plain ' || source END AS content, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_calls, CASE WHEN doc_id % 2 = 0 THEN '{"n": ' || n_chars || '}' END AS arguments FROM documents""",
     "cleaned_texts": "SELECT doc_id, source AS content, lang AS reasoning FROM documents",
     "json_equality": "SELECT doc_id, doc_id % 3 = 0 AS same FROM documents",

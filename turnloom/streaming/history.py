@@ -11,12 +11,12 @@ QUERIES = {
         FROM (SELECT event_id, event_type, ts, max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deleted_at FROM events) q
         WHERE event_type = 'purchase'""",
     # at most the newest 8192 tombstones are kept
-    "kept_tombstones": "SELECT user_id, deleted_at FROM (SELECT user_id, deleted_at, row_number() OVER (ORDER BY deleted_at DESC, user_id) AS place FROM (SELECT user_id, max(ts) AS deleted_at FROM events WHERE event_type = 'error' GROUP BY user_id) a) b WHERE place <= 8192",
+    "kept_tombstones": "SELECT user_id, max(ts) AS deleted_at FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY deleted_at DESC, user_id LIMIT 8192",
     # open until sealed; a delete goes above all, a failure above a seal
     "session_states": """
         SELECT event_id, CASE WHEN deletes > 0 THEN 'deleted' WHEN failures > 0 AND seals > 0 THEN 'failed' WHEN seals > 0 THEN 'finalized' WHEN turns_before > 0 THEN 'open' ELSE 'unknown' END AS state
         FROM (SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS deletes, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER w AS seals, sum(CASE WHEN event_type = 'purchase' AND value < 5 THEN 1 ELSE 0 END) OVER w AS failures, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS turns_before
-            FROM events WHERE event_id % 3 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) q""",
+            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) q""",
     # the policy in force when a turn began: the last push before it; an empty push (k = 0) clears
     "policy_in_force": """
         SELECT event_id, CASE WHEN k = 0 THEN NULL ELSE k END AS top_k
@@ -54,8 +54,16 @@ QUERIES = {
     "late_turns": """
         SELECT p.event_id FROM events p JOIN (SELECT user_id, min(ts) AS first_delete FROM events WHERE event_type = 'error' GROUP BY user_id) d ON p.user_id = d.user_id
         WHERE p.event_type = 'purchase' AND p.ts > d.first_delete""",
+    # one turn at a time: a turn waits for the end of every earlier one of its stream; events last value seconds
+    "waiting_turns": """
+        SELECT event_id, before_end IS NOT NULL AND ts < before_end AS waits
+        FROM (SELECT event_id, ts, max(ends) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_end
+            FROM (SELECT event_id, user_id, ts, ts + CAST(floor(value * 60) AS INT) * INTERVAL '1' SECOND AS ends FROM events WHERE event_type = 'purchase') a) b""",
     # failures that block a collection: the first of each session, until an equal delivery succeeds
     "recording_failures": """
         SELECT f.user_id, f.first_failure, EXISTS (SELECT 1 FROM events c WHERE c.user_id = f.user_id AND c.event_type = 'click' AND c.event_id > f.first_failure AND @json(c.props, '$.k') = f.k) AS repaired
         FROM (SELECT user_id, event_id AS first_failure, @json(props, '$.k') AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events WHERE event_type = 'error') a WHERE place = 1) f""",
 }
+
+#: SQL for DuckDB that says the same in another way.
+ORACLES: dict[str, str] = {}

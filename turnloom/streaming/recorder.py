@@ -1,50 +1,60 @@
 """Stateful streams: de-duplicating recorder and bounded set of live streams.
 
-The transition functions are plain Python over one key's rows in order, shared by the batch form
-(applyInPandas) and the streaming form (applyInPandasWithState), so both give the same rows.
+The transition functions are plain Python over one key's rows in order, shared by the batch form (sorted
+partitions read row by row) and the streaming form (applyInPandasWithState), so both give the same
+rows.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from turnloom.streaming.ordered_fold import in_order
+
+Delivery = namedtuple("Delivery", "session_id agent_id segment_index new_conversation purpose n_messages n_completion n_full_prompt completion_sha ordinal")
 OUT = "session_id string, agent_id string, ordinal bigint, accepted boolean, reason string, stream_len bigint"
 STATE = "last_messages bigint, last_sha string, last_purpose string, last_completion bigint, stream_len bigint, segment bigint"
 EMPTY = (None, None, None, 0, 0, -1)
 
 
-def deliver(state: tuple, row) -> tuple[tuple, bool, str | None]:
+def deliver(state: tuple, row: Delivery) -> tuple[tuple, bool, str | None]:
     """The state after one delivery, and whether it was recorded.
 
-    A delivery with the message count, completion and purpose of the last recorded one, whose
-    prompt is as long as the stream before that completion, is a repeat. A continuation must be
-    longer than the stream; a segment must be the last one or, with a reset, the next.
+    n_messages counts the segment's messages of others than the assistant so far. A delivery with the
+    last recorded one's messages, completion and purpose, whose prompt is as long as the stream
+    before that completion, is a repeat. A continuation has more messages and at least the stream;
+    a segment must be the last one or, with a reset, the next.
     """
     messages, sha, purpose, last, length, segment = state
     if segment >= 0 and (row.n_messages, row.completion_sha, row.purpose) == (messages, sha, purpose) and row.n_full_prompt == length - last and row.segment_index == segment:
         return state, False, "repeat"
-    if row.segment_index != segment + (1 if row.new_conversation or segment < 0 else 0):
+    opens = row.new_conversation or segment < 0
+    if row.segment_index != segment + (1 if opens else 0):
         return state, False, "segment"
-    if not row.new_conversation and segment >= 0 and row.n_full_prompt <= length:
+    if not opens and (row.n_messages <= messages or row.n_full_prompt < length):
         return state, False, "short"
     return (row.n_messages, row.completion_sha, row.purpose, row.n_completion, row.n_full_prompt + row.n_completion, row.segment_index), True, None
 
 
-def _run(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    out = []
-    for r in rows.sort_values("ordinal", kind="stable").itertuples():
+def _rows(state: tuple, rows: Iterator) -> Iterator[tuple[tuple, tuple]]:
+    """(state, output) after each of one stream's deliveries in order."""
+    for r in rows:
         state, ok, why = deliver(state, r)
-        out.append((r.session_id, None if pd.isna(r.agent_id) else r.agent_id, r.ordinal, ok, why, state[4]))
-    return state, pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        yield state, (r.session_id, r.agent_id, r.ordinal, ok, why, state[4])
 
 
 def record(deliveries: DataFrame) -> DataFrame:
-    """Batch form; one group is one stream."""
-    return deliveries.groupBy("session_id", "agent_id").applyInPandas(lambda g: _run(EMPTY, g)[1], OUT)
+    """Batch form. A stream is read row by row in order, whatever its length; only its state is held."""
+
+    def fold(rows: Iterator[Delivery]) -> Iterator[tuple]:
+        for _, out in _rows(EMPTY, rows):
+            yield out
+
+    return in_order(deliveries.select(*Delivery._fields), ["session_id", "agent_id"], ["ordinal"], Delivery, fold, OUT)
 
 
 def record_stream(deliveries: DataFrame) -> DataFrame:
@@ -52,31 +62,50 @@ def record_stream(deliveries: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = tuple(held.get) if held.exists else EMPTY
-        state, out = _run(state, pd.concat(list(batches)))
+        rows = pd.concat(list(batches)).sort_values("ordinal", kind="stable")
+        plain = [Delivery(*(None if pd.isna(v) else v for v in r)) for r in rows[list(Delivery._fields)].itertuples(index=False)]
+        out = []
+        for state, row in _rows(state, iter(plain)):
+            out.append(row)
         held.update(tuple(None if v is None else v if isinstance(v, str) else int(v) for v in state))
-        yield out
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return deliveries.groupBy("session_id", "agent_id").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
 
 
-def live_streams(uses: Iterator[tuple[str, str]], limit: int = 4096) -> Iterator[tuple[str, str, bool]]:
-    """(stream, action, admitted) of uses in order, with at most limit streams held.
+class LiveStreams:
+    """At most limit streams held. The stream used longest ago goes when a new one comes; one that
+    went is refused until it is deleted."""
 
-    The stream used longest ago goes when a new one comes; one that went is refused until it is
-    deleted. This is a fold over one ordered log of a profile.
-    """
-    held: OrderedDict[str, None] = OrderedDict()
-    gone: set[str] = set()
-    for stream, action in uses:
+    def __init__(self, limit: int = 4096) -> None:
+        self.limit = limit
+        self.held: OrderedDict[str, None] = OrderedDict()
+        self.gone: set[str] = set()
+
+    def use(self, stream: str, action: str) -> bool:
+        """Whether this use (or delete) is admitted."""
         if action == "delete":
-            held.pop(stream, None)
-            gone.discard(stream)
-            yield stream, action, True
-        elif stream in gone:
-            yield stream, action, False
-        else:
-            held[stream] = None
-            held.move_to_end(stream)
-            if len(held) > limit:
-                gone.add(held.popitem(last=False)[0])
-            yield stream, action, True
+            self.held.pop(stream, None)
+            self.gone.discard(stream)
+            return True
+        if stream in self.gone:
+            return False
+        self.held[stream] = None
+        self.held.move_to_end(stream)
+        if len(self.held) > self.limit:
+            self.gone.add(self.held.popitem(last=False)[0])
+        return True
+
+
+Use = namedtuple("Use", "profile stream ordinal action")
+
+
+def live_streams(uses: DataFrame, limit: int = 4096) -> DataFrame:
+    """uses (profile, stream, ordinal, action) with whether each is admitted, in order of ordinals within a profile."""
+
+    def fold(rows: Iterator[Use]) -> Iterator[tuple]:
+        live = LiveStreams(limit)
+        for r in rows:
+            yield (*r, live.use(r.stream, r.action))
+
+    return in_order(uses.select(*Use._fields), ["profile"], ["ordinal"], Use, fold, "profile string, stream string, ordinal bigint, action string, admitted boolean")
