@@ -130,13 +130,19 @@ def test_raw_ids_and_sinks(spark, tmp_path):
     cases = {"[1, 2]": True, "[]": True, "[true]": False, "[-1]": False, "[1.0]": False, '["3"]': False, "null": False, "{}": False, "x": False, None: False, "[null]": False}
     d = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.ok for r in d.select("t", records.token_ids_ok(F.col("t")).alias("ok")).collect()} == cases
-    s = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, '{"session_id":"b"}')], "session_id string, version int, payload string")
-    records.write_snapshots(s, str(tmp_path / "snap"))
-    assert {r.session_id: r.value for r in spark.read.text(str(tmp_path / "snap")).collect()} == {"a": "new", "b": '{"session_id":"b"}'}
-    e = spark.createDataFrame([("r", "a", "t", "m")], "run_ts string, session_id string, ts string, message string")
+    schema, path = "session_id string, version int, payload string", str(tmp_path / "snap")
+    for rows in ([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "only")], [("a", 1, "late"), ("c", 7, "more")], [("a", 3, "newest")]):
+        records.write_snapshots(spark.createDataFrame(rows, schema), path)
+    newest = {"a": (3, "newest"), "b": (1, "only"), "c": (7, "more")}
+    read = lambda where: {r.session_id: (r.version, r.payload) for r in records.read_snapshots(spark, where).collect()}
+    assert read(path) == newest
+    records.compact_snapshots(spark, path, str(tmp_path / "small"))
+    assert read(str(tmp_path / "small")) == newest and spark.read.parquet(str(tmp_path / "small")).count() == 3
+    e = spark.createDataFrame([("r", "a", "t", "m"), ("r", "b", "t", "n"), ("q", "a", "t", "o")], "run_ts string, session_id string, ts string, message string")
     records.append_errors(e, str(tmp_path / "log"))
     records.append_errors(e, str(tmp_path / "log"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ["[t] m"] * 2
+    assert [r.line for r in records.session_log(spark, str(tmp_path / "log"), "r", "a").collect()] == ["[t] m"] * 2
+    assert records.run_folder("x/", "2024-01-01 10:00") == "x/run_ts=2024-01-01%2010%3A00"
 
 
 def test_prompts_extend_the_stream():

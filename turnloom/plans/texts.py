@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import completion, tokens
 from turnloom.operators import captures
 from turnloom.operators.training import with_tokens
-from turnloom.sources import adapter, records
+from turnloom.sources import adapter, records, wire
 from turnloom.sources.adapter import DUCK_TURNS, read
 from turnloom.streaming import recorder
 
@@ -230,14 +230,66 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("session_id", F.sha2(full, 256).alias("full_sha"), F.sha2(lean, 256).alias("lean_sha"))
 
 
+def wire_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of three dialects made from turns, some broken, and what they decode to."""
+    t = with_tokens(adapter.turns(spark, sf_dir))
+    fault, dialect = F.col("conv_id") % 7, F.col("tn") % 3
+    logprob = lambda x: (-(x % 16) / 16.0).cast("string")
+    shown = lambda x, i: F.when((fault == 1) & (i == 0), "true").when((fault == 5) & (i == 0), "null").otherwise(logprob(x))
+    other = lambda x, i: F.when((fault == 2) & (i == 0), x + 1).otherwise(x).cast("string")
+    joined = lambda get: F.array_join(F.transform("completion_ids", get), ",")
+    ids = F.concat(F.lit("["), F.array_join("completion_ids", ","), F.lit("]"))
+    finish = F.when(fault == 3, "abort").otherwise(F.lit("stop"))
+    listed = F.when(F.col("conv_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('"output_ids":'), ids, F.lit(",")))
+    one = F.concat(F.lit("{"), listed, F.lit('"meta_info":{"finish_reason":{"type":"'), finish, F.lit('"},"weight_version":0,"output_token_logprobs":['), joined(lambda x, i: F.concat(F.lit("["), shown(x, i), F.lit(","), other(x, i), F.lit(",null]"))), F.lit("]}}"))
+    entry = lambda x, i: F.concat(F.lit('{"logprob":'), shown(x, i), F.when(i % 2 == 0, F.concat(F.lit(',"token_id":'), other(x, i))).otherwise(F.concat(F.lit(',"token":"token_id:'), other(x, i), F.lit('"'))), F.lit("}"))
+    half = F.floor(F.size("completion_ids") / 2).cast("string")
+    spans = F.when(F.size("completion_ids") > 1, F.concat(F.lit('[{"start":0,"end":'), half, F.lit(',"version":"7"},{"start":'), half, F.lit(',"end":'), F.size("completion_ids").cast("string"), F.lit(',"version":"'), F.when(fault == 4, "8").otherwise(F.lit("7")), F.lit('"}]'))).otherwise(F.lit("null"))
+    two = F.concat(F.lit('{"usage":{"completion_tokens":'), (F.size("completion_ids") + F.when(fault == 6, 1).otherwise(0)).cast("string"), F.lit('},"choices":[{"token_ids":'), ids, F.lit(',"finish_reason":"'), finish, F.lit('","weight_versions":'), spans, F.lit(',"logprobs":{"content":['), joined(entry), F.lit("]}}]}"))
+    three = F.concat(F.lit('{"choices":[{"finish_reason":"'), finish, F.lit('","logprobs":{"tokens":['), joined(lambda x, i: F.concat(F.lit('"token_id:'), F.when((fault == 2) & (i == 0), "x").otherwise(x.cast("string")), F.lit('"'))), F.lit('],"token_logprobs":['), joined(shown), F.lit("]}}]}"))
+    got = F.when(dialect == 0, wire.pairs_response(one)).when(dialect == 1, wire.content_response(two)).otherwise(wire.columns_response(three))
+    # a generator keeps the answer from being merged into each expression that reads it
+    d = t.select("conv_id", "tn", F.explode(F.array(got)).alias("r"))
+    return d.select("conv_id", "tn", F.size("r.token_ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("r.token_ids", ","), 256).alias("ids_sha"), F.aggregate("r.logprobs", F.lit(0.0), lambda a, x: a + x).alias("sum_logprob"), "r.finish", "r.version", "r.error")
+
+
+_RECORD_FAULTS = ['{"session_id":"x"}', '{"turns":{}}', "no json", '{"turns":[3,"t"]}', '{"turns":[{"agent_id":5,"completion_token_ids":[]}]}', '{"turns":[{"agent_id":null,"new_conversation":1,"completion_token_ids":[1]}]}', '{"turns":[{"new_conversation":null,"completion_token_ids":[true]}]}', '{"turns":[{"prompt_token_ids":[1.0],"completion_token_ids":null}]}', '{"turns":[]}']
+_RECORD_ERRORS = ["turns", "turns", "turns", "turn", "agent_id", "new_conversation", "completion_token_ids,new_conversation", "completion_token_ids,prompt_token_ids", ""]
+
+
+def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as raw JSON: whole ones of each document's id, and some of wrong types."""
+    whole = F.concat(F.lit('{"turns":[{"agent_id":"a","new_conversation":true,"prompt_token_ids":['), "doc_id", F.lit('],"completion_token_ids":['), "n_chars", F.lit(",0]}]}"))
+    raw = F.coalesce(F.get(F.array(*map(F.lit, _RECORD_FAULTS)), (F.col("doc_id") % 12).cast("int")), whole)
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(records.type_errors(raw), ",").alias("errors"))
+
+
+def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as a collector asks for them: of conversations, some unknown, some failed, some answered with another's record."""
+    t = adapter.turns(spark, sf_dir).groupBy("session_id").agg(F.min("conv_id").alias("c"))
+    asked = t.select(F.col("session_id").alias("asked")).union(spark.createDataFrame([("s-1",)], "asked string"))
+    named = F.when(F.col("c") % 3 == 1, F.concat("session_id", F.lit("x"))).otherwise(F.col("session_id"))
+    held = t.where("c % 5 <> 4").select(F.col("session_id").alias("asked"), F.to_json(F.struct(named.alias("session_id"))).alias("raw"))
+    return records.collected(asked, held, t.where("c % 7 = 0").select(F.col("session_id").alias("asked"))).select("asked", "verdict")
+
+
 QUERIES = {f"tool_calls_{d}": _calls(d) for d in CASES} | {
-    "harmony_ids": harmony_ids, "live_streams": live_streams,
+    "harmony_ids": harmony_ids, "live_streams": live_streams, "wire_responses": wire_responses, "record_types": record_types, "session_identity": session_identity,
     "tool_calls_llama3_json": bare_calls, "cleaned_texts": cleaned_texts, "json_equality": json_equality, "raw_token_ids": raw_token_ids, "turn_gaps": turn_gaps, "implicit_prefixes": implicit_prefixes,
     "sampled_headers": sampled_headers, "capture_fold": capture_fold, "capture_pack": capture_pack, "recorded_deliveries": recorded, "chat_responses": chat_responses, "event_streams": event_streams, "snapshots": snapshots,
 }
 
 _USAGE = """'"usage":{"prompt_tokens":' || n_prompt || ',"completion_tokens":' || n_completion || ',"total_tokens":' || (n_prompt + n_completion) || '}}'"""
 ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
+    "record_types": "SELECT doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_RECORD_ERRORS)) + " ELSE '' END AS errors FROM documents",
+    "session_identity": f"""WITH {DUCK_TURNS}, t AS (SELECT session_id, min(conv_id) AS c FROM turns GROUP BY session_id)
+        SELECT session_id AS asked, CASE WHEN c % 5 = 4 THEN 'unknown' WHEN c % 7 = 0 THEN 'failed' WHEN c % 3 = 1 THEN 'another' ELSE 'ok' END AS verdict FROM t UNION ALL SELECT 's-1', 'unknown'""",
+    "wire_responses": f"""WITH {DUCK_TURNS}, r AS (SELECT conv_id, tn, n_completion AS n, tn % 3 AS dialect, conv_id % 7 AS fault, CASE WHEN completion = '' THEN [] ELSE list_transform(string_split(completion, ''), lambda x: unicode(x)) END AS ids FROM turns),
+        e AS (SELECT *, CASE WHEN fault = 3 THEN 'abort' WHEN n = 0 AND dialect = 1 AND fault = 6 THEN 'usage' WHEN n = 0 THEN 'empty' WHEN fault IN (1, 5) THEN 'logprobs' WHEN fault = 2 THEN CASE dialect WHEN 2 THEN 'token_ids' WHEN 1 THEN 'aligned' WHEN 0 THEN CASE WHEN conv_id % 5 <> 0 THEN 'aligned' END END
+            WHEN fault = 4 AND dialect = 1 AND n > 1 THEN 'version' WHEN fault = 6 AND dialect = 1 THEN 'usage' END AS error FROM r),
+        f AS (SELECT *, CASE WHEN fault = 2 AND dialect = 0 AND conv_id % 5 = 0 AND n > 0 THEN list_concat([ids[1] + 1], ids[2:]) ELSE ids END AS seen FROM e)
+        SELECT conv_id, tn, CASE WHEN error IS NULL THEN n END AS n_tokens, CASE WHEN error IS NULL THEN sha256(array_to_string(list_transform(seen, lambda x: CAST(x AS VARCHAR)), ',')) END AS ids_sha, CASE WHEN error IS NULL THEN list_sum(list_transform(ids, lambda x: CAST(-(x % 16) / 16.0 AS DOUBLE))) END AS sum_logprob,
+            CASE WHEN error IS NULL THEN 'stop' END AS finish, CASE WHEN error IS NULL THEN CASE WHEN dialect = 0 THEN '0' WHEN dialect = 1 AND n > 1 THEN '7' END END AS version, error FROM f""",
     "harmony_ids": "SELECT doc_id, '<|return|>' || lang AS content, '<|end|>' || source AS reasoning, CAST(0 AS BIGINT) AS n_calls FROM documents WHERE lang IS NOT NULL",
     "recorded_deliveries": f"""WITH RECURSIVE {DUCK_TURNS},
         t AS (SELECT *, sum(n_prompt + n_completion) OVER w - n_completion AS n_full, sum(n_messages) OVER w AS n_seen FROM turns WINDOW w AS (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +23,73 @@ def token_ids_ok(ids: Column) -> Column:
     return F.coalesce(v.isNotNull() & ids.rlike("^\\s*\\[") & F.coalesce(every, F.lit(False)), F.lit(False))
 
 
+def type_errors(raw: Column) -> Column:
+    """Names of the type rules that a record's JSON text breaks, sorted: turns is a list of objects, an agent
+    id is a text or null, a conversation flag is true or false or missing, token ids are whole and not negative."""
+    v = F.try_parse_json(raw)
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit(""))
+    at = lambda x, path: F.try_variant_get(x, path, "variant")
+    listed = kind(at(v, "$.turns")).startswith("ARRAY")
+    turns = F.when(listed, F.try_variant_get(v, "$.turns", "array<variant>"))
+    ids = lambda x: F.forall(F.try_variant_get(x, "$", "array<variant>"), lambda i: (kind(i) == "BIGINT") & F.coalesce(F.try_variant_get(i, "$", "bigint") >= 0, F.lit(False)))
+    is_ids = lambda x: kind(x).startswith("ARRAY") & F.coalesce(ids(x), F.lit(False))
+    broken = {
+        "turn": lambda t: ~kind(t).startswith("OBJECT"),
+        "agent_id": lambda t: ~kind(at(t, "$.agent_id")).isin("", "STRING", "VOID"),
+        "new_conversation": lambda t: ~kind(at(t, "$.new_conversation")).isin("", "BOOLEAN"),
+        "prompt_token_ids": lambda t: (kind(at(t, "$.prompt_token_ids")) != "") & ~is_ids(at(t, "$.prompt_token_ids")),
+        "completion_token_ids": lambda t: ~is_ids(at(t, "$.completion_token_ids")),
+    }
+
+    def any_turn(name: str, bad: Callable[[Column], Column]) -> Column:
+        return F.when(F.exists(turns, lambda t: (kind(t).startswith("OBJECT") | F.lit(name == "turn")) & bad(t)), name)
+
+    found = [F.when(~listed | v.isNull(), "turns")] + [any_turn(name, bad) for name, bad in broken.items()]
+    return F.array_sort(F.array_compact(F.array(*found)))
+
+
+def collected(requested: DataFrame, records: DataFrame, failures: DataFrame) -> DataFrame:
+    """requested (asked) with the record that came for it and a verdict: unknown, failed, another or ok.
+
+    records: (asked, raw); failures: (asked) of sessions with a turn that was not recorded.
+    """
+    d = requested.join(records.select("asked", "raw"), "asked", "left").join(failures.select("asked", F.lit(True).alias("lost")).distinct(), "asked", "left")
+    named = F.coalesce(F.get_json_object("raw", "$.session_id") == F.col("asked"), F.lit(False))
+    return d.select("asked", F.when(F.col("raw").isNull(), "unknown").when(F.col("lost"), "failed").when(~named, "another").otherwise("ok").alias("verdict"), "raw")
+
+
 def write_snapshots(snapshots: DataFrame, path: str, key: str = "session_id", version: str = "version", payload: str = "payload") -> None:
-    """The newest payload of each session, as text files by session; the commit replaces the whole."""
-    last = snapshots.groupBy(key).agg(F.max_by(payload, version).alias("value"))
-    last.write.mode("overwrite").partitionBy(key).text(path)
+    """Adds the newest payload of each session to a log of snapshots; one commit adds all or none."""
+    newest = snapshots.groupBy(key).agg(F.max(F.struct(version, payload)).alias("s"))
+    newest.select(F.col(key).alias("session_id"), F.col(f"s.{version}").cast("bigint").alias("version"), F.col(f"s.{payload}").alias("payload")).write.mode("append").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """The newest payload of each session: an older version that came later replaces none."""
+    d = spark.read.schema("session_id string, version bigint, payload string").parquet(path)
+    return d.groupBy("session_id").agg(F.max(F.struct("version", "payload")).alias("s")).select("session_id", "s.version", "s.payload")
+
+
+def compact_snapshots(spark: SparkSession, path: str, target: str) -> None:
+    """The newest snapshots as a log of their own, in a new folder."""
+    read_snapshots(spark, path).write.parquet(target)
+
+
+def run_folder(base: str, started: str) -> str:
+    """A run's folder, named by its server's start time; characters that a path cannot hold are percent codes."""
+    return f"{base.rstrip('/')}/run_ts={quote(started, safe='')}"
 
 
 def append_errors(rejects: DataFrame, path: str) -> None:
-    """Error lines by run and session; columns run_ts, session_id, ts, message."""
+    """Error lines by run, each with its session; columns run_ts, session_id, ts, message."""
     line = F.concat(F.lit("["), F.col("ts").cast("string"), F.lit("] "), F.col("message"))
-    rejects.select("run_ts", "session_id", line.alias("value")).write.mode("append").partitionBy("run_ts", "session_id").text(path)
+    rejects.select("run_ts", "session_id", line.alias("line")).write.mode("append").partitionBy("run_ts").json(path)
+
+
+def session_log(spark: SparkSession, path: str, run: str, session: str) -> DataFrame:
+    """A session's error lines of one run; only that run's folder is read."""
+    d = spark.read.schema("session_id string, line string, run_ts string").json(path)
+    return d.where((F.col("run_ts") == run) & (F.col("session_id") == session)).select("line")
 
 
 def response(content: Column, n_prompt: Column, n_completion: Column, finish: Column, model: Column) -> Column:
