@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.functions import completion, tokens
+from turnloom.functions import completion, templates, tokens
 from turnloom.operators import captures
 from turnloom.operators.training import with_tokens
 from turnloom.sources import adapter, records, wire
@@ -230,6 +230,17 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("session_id", F.sha2(full, 256).alias("full_sha"), F.sha2(lean, 256).alias("lean_sha"))
 
 
+def chat_renders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as three templates write them, with the answer's header; a late system message is refused by the first."""
+    c = read(spark, sf_dir, "conversations").withColumn("content", F.col("text"))
+    last = F.struct((F.max("turn") + 1).alias("turn"), F.lit("system").alias("role"), F.lit("late").alias("content"))
+    m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"), last.alias("more"))
+    m = m.withColumn("m", F.when(F.col("conv_id") % 8 == 5, F.concat("m", F.array("more"))).otherwise(F.col("m")))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("chatml", "paired", "headed")]), (F.col("conv_id") % 3 + 1).cast("int"))
+    d = m.select("conv_id", templates.rendered(name, F.to_json(F.transform("m", lambda x: F.struct(x.role.alias("role"), x.content.alias("content"))))).alias("r"))
+    return d.select("conv_id", F.length("r.text").cast("bigint").alias("n_chars"), F.sha2("r.text", 256).alias("text_sha"), "r.error")
+
+
 def wire_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of three dialects made from turns, some broken, and what they decode to."""
     t = with_tokens(adapter.turns(spark, sf_dir))
@@ -274,7 +285,7 @@ def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f"tool_calls_{d}": _calls(d) for d in CASES} | {
-    "harmony_ids": harmony_ids, "live_streams": live_streams, "wire_responses": wire_responses, "record_types": record_types, "session_identity": session_identity,
+    "harmony_ids": harmony_ids, "live_streams": live_streams, "wire_responses": wire_responses, "record_types": record_types, "session_identity": session_identity, "chat_renders": chat_renders,
     "tool_calls_llama3_json": bare_calls, "cleaned_texts": cleaned_texts, "json_equality": json_equality, "raw_token_ids": raw_token_ids, "turn_gaps": turn_gaps, "implicit_prefixes": implicit_prefixes,
     "sampled_headers": sampled_headers, "capture_fold": capture_fold, "capture_pack": capture_pack, "recorded_deliveries": recorded, "chat_responses": chat_responses, "event_streams": event_streams, "snapshots": snapshots,
 }
@@ -290,6 +301,15 @@ ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
         f AS (SELECT *, CASE WHEN fault = 2 AND dialect = 0 AND conv_id % 5 = 0 AND n > 0 THEN list_concat([ids[1] + 1], ids[2:]) ELSE ids END AS seen FROM e)
         SELECT conv_id, tn, CASE WHEN error IS NULL THEN n END AS n_tokens, CASE WHEN error IS NULL THEN sha256(array_to_string(list_transform(seen, lambda x: CAST(x AS VARCHAR)), ',')) END AS ids_sha, CASE WHEN error IS NULL THEN list_sum(list_transform(ids, lambda x: CAST(-(x % 16) / 16.0 AS DOUBLE))) END AS sum_logprob,
             CASE WHEN error IS NULL THEN 'stop' END AS finish, CASE WHEN error IS NULL THEN CASE WHEN dialect = 0 THEN '0' WHEN dialect = 1 AND n > 1 THEN '7' END END AS version, error FROM f""",
+    "chat_renders": """WITH m AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'system', 'late' FROM conversations WHERE conv_id % 8 = 5 GROUP BY conv_id),
+        n AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS asked FROM m),
+        p AS (SELECT conv_id, place, turn, role, conv_id % 3 AS kind, conv_id % 3 = 0 AND role = 'system' AND place > 1 AS late, CASE conv_id % 3
+            WHEN 0 THEN '<|im_start|>' || role || chr(10) || CASE WHEN role = 'assistant' AND turn > asked THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || t || '<|im_end|>' || chr(10)
+            WHEN 1 THEN CASE role WHEN 'user' THEN '<|user|>' || text WHEN 'system' THEN '<|system|>' || text ELSE '<|assistant|><think></think>' || t END
+            ELSE CASE WHEN role = 'system' AND place = 1 THEN '' ELSE '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || t || '<|eot_id|>' END END AS part, CASE WHEN role = 'system' AND place = 1 THEN t ELSE '' END AS head FROM n),
+        q AS (SELECT conv_id, bool_or(late) AS late, CASE kind WHEN 0 THEN '' WHEN 1 THEN '[gMASK]<sop><|system|>Reasoning Effort: Max' ELSE '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || 'Cutting Knowledge Date: December 2023' || chr(10) || 'Today Date: 26 Jul 2024' || chr(10) || chr(10) || max(head) || '<|eot_id|>' END
+            || string_agg(part, '' ORDER BY turn) || CASE kind WHEN 0 THEN '<|im_start|>assistant' || chr(10) WHEN 1 THEN '<|assistant|>' ELSE '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) END AS r FROM p GROUP BY conv_id, kind)
+        SELECT conv_id, CASE WHEN NOT late THEN CAST(length(r) AS BIGINT) END AS n_chars, CASE WHEN NOT late THEN sha256(r) END AS text_sha, CASE WHEN late THEN 'a system message must come first' END AS error FROM q""",
     "harmony_ids": "SELECT doc_id, '<|return|>' || lang AS content, '<|end|>' || source AS reasoning, CAST(0 AS BIGINT) AS n_calls FROM documents WHERE lang IS NOT NULL",
     "recorded_deliveries": f"""WITH RECURSIVE {DUCK_TURNS},
         t AS (SELECT *, sum(n_prompt + n_completion) OVER w - n_completion AS n_full, sum(n_messages) OVER w AS n_seen FROM turns WINDOW w AS (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal)),

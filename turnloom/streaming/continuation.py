@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.functions import templates
 from turnloom.sources import adapter
 from turnloom.streaming.ordered_fold import in_order
 
@@ -60,6 +61,11 @@ class Profile:
             raise ValueError("a continuation header cannot be empty")
 
 
+def chat(name: str) -> Profile:
+    """The profile of a chat template: its start is measured, its ending and its answer's header are its own."""
+    return Profile(name, templates.implicit_prefix(name), ending=templates.profile(name).ending, generation=templates.header(name))
+
+
 class Stream:
     """One segment's stream, of which the end is held: as much as endings and headers can look at."""
 
