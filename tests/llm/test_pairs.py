@@ -182,5 +182,110 @@ def test_archives(spark, sf, tmp_path):
     some = [r for r in rows if r.url][:20]
     for r in some:
         pages_of = sorted("" if x.page_id is None else str(x.page_id) for x in rows if warc.reversed_host_key(x.url or "") == warc.reversed_host_key(r.url))
-        assert sorted(f["Page-Id"] for f, _ in ix.read(r.url)) == pages_of
+        assert sorted(f.get("Page-Id", "") for f, _ in ix.read(r.url)) == pages_of
     assert ix.find("http://nowhere.example/") == [] and warc.round_trip(d.limit(0)).count() == 0
+
+
+def test_index_of_small_blocks_and_any_ids(spark, monkeypatch):
+    """Many blocks, keys that share a long beginning or go over several blocks, and ids of any characters."""
+    r = random.Random(31)
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    monkeypatch.setattr(warc, "DIRECTORY_KEY", 12)
+    urls = [f"http://{h}.example.org/{'p' * 30}{i % 7}" for i, h in enumerate("aabbbbbbbbbbbbbbbbcd" * 3)] + ["", None, "http://b.example.org/"]
+    ids = ["", None, "b\r\nX: y", "a%20b", "\t", "é 漢"] + [f"id{i}" for i in range(len(urls) - 6)]
+    rows = [(i, u, "same " * 40 if k % 3 else "x" * r.randint(0, 200)) for k, (i, u) in enumerate(zip(ids, urls))]
+    d = spark.createDataFrame(rows, "page_id string, url string, html string")
+    first = {}
+    for i, _, p in rows:
+        if len(p) >= 100 and i is not None:
+            first[p] = min(first.get(p, i), i)
+    want = [(i, len(p), "response" if first.get(p, i) == i else "revisit", None if first.get(p, i) == i else first[p]) for i, _, p in rows]
+    got = [(x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.round_trip(d).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    _, index = warc.archive(d)
+    ix = warc.Index(spark, index)
+    assert len(ix.ids) > 15
+    some = spark.createDataFrame([(u,) for u in [urls[0], urls[4], urls[4], "http://none.example/", None]], "url string")
+    same = lambda u: sum(warc.reversed_host_key(v or "") == warc.reversed_host_key(u or "") for v in urls)
+    assert ix.captures(some).count() == same(urls[0]) + same(urls[4]) + same(None)
+    assert [len(ix.find(u)) for u in (urls[0], urls[4], "")] == [same(urls[0]), same(urls[4]), same(None)]
+
+
+def shared_runs(docs, least):
+    """Words of each document that stand in a run of least or more words of another one, by comparing all runs."""
+    where = defaultdict(set)
+    for i, w in docs.items():
+        for p in range(len(w) - least + 1):
+            where[tuple(w[p : p + least])].add((i, p))
+    hit = defaultdict(set)
+    for places in where.values():
+        if len({i for i, _ in places}) > 1:
+            for i, p in places:
+                hit[i].update(range(p, p + least))
+    return {i: len(v) for i, v in hit.items()}
+
+
+def test_exact_passages_against_brute_force(spark):
+    """Runs of 50 and more words whose parts (halves, thirds, quarters) stand in other documents too; nothing else repeats."""
+    r = random.Random(21)
+    docs = []
+    for k in range(60):
+        whole = prose(r, r.choice([50, 51, 55, 60, 75, 90, 120, 200]))
+        parts = k % 4 + 1
+        if parts > 1:
+            cut = [i * len(whole) // parts for i in range(parts + 1)]
+            docs += [prose(r, r.randint(0, 60)) + whole[a:b] + prose(r, r.randint(0, 60)) for a, b in zip(cut, cut[1:]) for _ in range(r.randint(1, 3))]
+        docs += [prose(r, r.randint(0, 90)) + whole + prose(r, r.randint(0, 90)) for _ in range(r.randint(2, 5))]
+    docs += [prose(r, 20) + ["again"] * 70 + prose(r, 30) for _ in range(3)]
+    named = {f"d{i:03}": w for i, w in enumerate(docs)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in named.items()], "doc_id string, text string")
+    got = {x.doc_id: x.n_repeated for x in substring_dedup.report(d).collect()}
+    want = shared_runs(named, 50)
+    assert len(want) > 150
+    # a passage is aligned with its anchor, so a word beside it that two other holders share by chance can be missing
+    assert all(got[i] >= n - 2 for i, n in want.items()), {i: (got[i], n) for i, n in want.items() if got[i] < n - 2}
+    assert sum(got[i] < n for i, n in want.items()) <= 4
+    assert all(not n or i in want or n < 60 for i, n in got.items()) and sum(n > 0 for i, n in got.items() if i not in want) <= 3
+
+
+def test_fuzzy_passages_against_known_ones(spark):
+    """Passages with a tenth to a sixth of their words changed, inserted or left out, at random places; copies of parts elsewhere."""
+    r = random.Random(22)
+    docs, pairs = [], []
+    for k in range(80):
+        whole = prose(r, r.choice([80, 120, 200]))
+        if k % 2:
+            docs += [prose(r, 30) + whole[: len(whole) // 2] + prose(r, 30), prose(r, 30) + whole[len(whole) // 2 :]]
+        changed = []
+        for w in whole:
+            x = r.random() * (10 if k % 3 else 6)
+            changed += ["new" + w] if x < 0.6 else [w, "more" + w] if x < 0.8 else [] if x < 1 else [w]
+        pairs.append((len(docs), len(whole), k))
+        docs += [prose(r, 40) + whole + prose(r, 40), prose(r, 40) + changed + prose(r, 40)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in substring_dedup.report(d).collect()}
+    lost = [(n, k % 2, k % 3) for i, n, k in pairs if min(got[i].n_repeated, got[i + 1].n_repeated) < min(50, 0.6 * n)]
+    assert len(lost) <= 0.1 * len(pairs), lost
+
+
+def test_long_gaps_and_long_ends_are_aligned():
+    r = random.Random(23)
+    a = [str(r.random()) for _ in range(300)]
+    b = list(a)
+    for i in r.sample(range(300), 60):
+        b[i] = "x" + b[i]
+    assert substring_dedup.equal_words(a, b) == 240 and substring_dedup.equal_words(a, a[7:] + ["z"] * 400) == 293
+    assert substring_dedup.equal_words(a, ["y"] * 300) == 0 and substring_dedup.equal_words(a[:9], a[3:20]) == 6
+
+
+def test_ids_with_several_texts_and_repeated_rows(spark):
+    r = random.Random(24)
+    p = prose(r, 60)
+    one, two, three = (" ".join(prose(r, 30) + p + prose(r, 30)) for _ in range(3))
+    other = " ".join(prose(r, 80))
+    d = spark.createDataFrame([(1, one), (1, one), (2, two), (2, other), (7, three), (None, three), (None, None), (8, "")], "doc_id bigint, text string")
+    got = sorted(((x.doc_id, x.n_repeated, x.class_id, tuple(x.partners)) for x in substring_dedup.report(d).collect()), key=repr)
+    ones = [g for g in got if g[0] == 1]
+    assert len(got) == 8 and len(ones) == 2 and all(g[1] == 120 for g in ones if one.count(" ") == 119)
+    assert sorted(g[1] > 0 for g in got if g[0] == 2) == [False, True]
+    assert [g[1] > 0 for g in got if g[0] == 7] == [True] and {g[2] for g in got if g[1] and g[0] in (None, 7)} == {7}

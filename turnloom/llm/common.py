@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,11 +28,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a fresh temporary one
-    only where the setting is absent, as in local tests."""
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Where the setting is absent, a fresh temporary folder serves in local mode, as in tests; on a
+    cluster that would be another folder on each machine, so there the absence is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = getattr(sc, "_turnloom_shared", None)
         if named is None:
             named = sc._turnloom_shared = "file://" + tempfile.mkdtemp(prefix="shared")
@@ -46,11 +52,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: compressed, for tables with texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
+    released(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +69,12 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Spark deletes a finished query's shuffle files when the driver collects what refers to them, which can be long after: collect now."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def shared_bytes(spark: SparkSession, path: str, limit: int = 64 << 20):
     """A vocabulary file as a broadcast variable; its size is checked against limit."""
     n = os.path.getsize(path)
