@@ -183,3 +183,45 @@ def test_capture_fold_has_whole_turns(spark, sf):
         n[tuple(r)[:3]] = n.get(tuple(r)[:3], 0) + r.n
     whole = [r for r in texts.capture_fold(spark, sf).collect() if not r.dropped]
     assert whole and all(r.rows == n[r.session_id, r.agent_id, r.segment_index] for r in whole) and max(r.rows for r in whole) > 27
+
+
+def test_global_order_of_sparse_and_null_ids(spark):
+    from turnloom.operators import ordered
+
+    r = random.Random(5)
+    ids = [r.choice([i, i * 10**9, -i * 77]) for i in range(400)] + [None, None]
+    r.shuffle(ids)
+    d = spark.createDataFrame(list(zip(ids, range(len(ids)))), "k bigint, n bigint")
+    got = {x.n: x.place for x in ordered.global_row_number(d, ["k", "n"], buckets=16).collect()}
+    want = sorted(range(len(ids)), key=lambda n: (ids[n] is not None, ids[n] or 0, n))
+    assert [n for n, _ in sorted(got.items(), key=lambda x: x[1])] == want and sorted(got.values()) == list(range(1, len(ids) + 1))
+    sizes = [x["count"] for x in ordered.bucketed(d, "k", 16).groupBy("bucket").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 60
+    rows = sorted({i for i in ids if i is not None})
+    value = {k: (k % 7 if k % 3 == 0 else None) for k in rows}
+    e = spark.createDataFrame(list(value.items()), "k bigint, v bigint")
+    seen, expect = None, {}
+    for k in rows:
+        seen = seen if value[k] is None else value[k]
+        expect[k] = seen
+    assert {x.k: x.last for x in ordered.last_before(e, "k", "v", "last", buckets=16).collect()} == expect
+
+
+def test_folds_read_keys_of_any_length_in_order(spark):
+    from collections import namedtuple
+
+    from turnloom.streaming.ordered_fold import in_order
+
+    Row = namedtuple("Row", "k n")
+    d = spark.range(30000).selectExpr("CASE WHEN id % 10 = 0 THEN NULL WHEN id % 3 = 0 THEN 'b' ELSE 'a' END AS k", "id AS n").orderBy("n", ascending=False)
+
+    def fold(rows):
+        last = None
+        for i, r in enumerate(rows):
+            assert last is None or r.n > last
+            last = r.n
+            yield r.k, r.n, i
+
+    got = in_order(d, ["k"], ["n"], Row, fold, "k string, n bigint, place bigint")
+    assert {(x.k, x.m, x.c) for x in got.groupBy("k").agg(F.max("place").alias("m"), F.count("*").alias("c")).collect()} == {(None, 2999, 3000), ("b", 8999, 9000), ("a", 17999, 18000)}
+    assert in_order(d.limit(0), ["k"], ["n"], Row, fold, "k string, n bigint, place bigint").count() == 0

@@ -195,6 +195,9 @@ def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("session_id", "agent_id", "segment_index").orderBy("turn_ordinal").rowsBetween(Window.unboundedPreceding, -1)
     d = t.withColumn("n_full_prompt", F.coalesce(F.sum(F.col("n_prompt") + F.col("n_completion")).over(before), F.lit(0)) + F.col("n_prompt"))
     d = d.withColumn("n_messages", F.coalesce(F.sum("n_messages").over(before), F.lit(0)) + F.col("n_messages"))
+    goes_on = ~F.col("new_conversation")
+    d = d.withColumn("segment_index", F.col("segment_index") + F.when(goes_on & (F.col("conv_id") % 11 == 2), 1).otherwise(0))
+    d = d.withColumn("n_full_prompt", F.when(goes_on & (F.col("conv_id") % 13 == 3), 0).otherwise(F.col("n_full_prompt")))
     d = d.select("session_id", "agent_id", "segment_index", "new_conversation", "purpose", "n_messages", "n_completion", "n_full_prompt", F.sha2("completion", 256).alias("completion_sha"), (F.col("turn_ordinal") * 2).alias("ordinal"), "conv_id")
     again = d.where("conv_id % 3 = 0").withColumn("ordinal", F.col("ordinal") + 1)
     return recorder.record(d.union(again).drop("conv_id"))
@@ -312,8 +315,9 @@ ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
         SELECT conv_id, CASE WHEN NOT late THEN CAST(length(r) AS BIGINT) END AS n_chars, CASE WHEN NOT late THEN sha256(r) END AS text_sha, CASE WHEN late THEN 'a system message must come first' END AS error FROM q""",
     "harmony_ids": "SELECT doc_id, '<|return|>' || lang AS content, '<|end|>' || source AS reasoning, CAST(0 AS BIGINT) AS n_calls FROM documents WHERE lang IS NOT NULL",
     "recorded_deliveries": f"""WITH RECURSIVE {DUCK_TURNS},
-        t AS (SELECT *, sum(n_prompt + n_completion) OVER w - n_completion AS n_full, sum(n_messages) OVER w AS n_seen FROM turns WINDOW w AS (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal)),
-        d AS (SELECT *, row_number() OVER (PARTITION BY session_id, agent_id ORDER BY ordinal) AS place FROM (SELECT *, turn_ordinal * 2 AS ordinal FROM t UNION ALL SELECT *, turn_ordinal * 2 + 1 FROM t WHERE conv_id % 3 = 0) x),
+        t AS (SELECT *, sum(n_prompt + n_completion) OVER w - n_completion AS n_all, sum(n_messages) OVER w AS n_seen FROM turns WINDOW w AS (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal)),
+        u AS (SELECT * REPLACE (segment_index + CASE WHEN NOT new_conversation AND conv_id % 11 = 2 THEN 1 ELSE 0 END AS segment_index), CASE WHEN NOT new_conversation AND conv_id % 13 = 3 THEN 0 ELSE n_all END AS n_full FROM t),
+        d AS (SELECT *, row_number() OVER (PARTITION BY session_id, agent_id ORDER BY ordinal) AS place FROM (SELECT *, turn_ordinal * 2 AS ordinal FROM u UNION ALL SELECT *, turn_ordinal * 2 + 1 FROM u WHERE conv_id % 3 = 0) x),
         f AS (SELECT session_id, agent_id, place, ordinal, segment_index = 0 AS accepted, CASE WHEN segment_index <> 0 THEN 'segment' END AS reason, CASE WHEN segment_index = 0 THEN struct_pack(m := n_seen, c := completion, p := purpose, l := n_completion, s := n_full + n_completion, g := segment_index) ELSE struct_pack(m := CAST(-1 AS HUGEINT), c := '', p := '', l := CAST(0 AS BIGINT), s := CAST(0 AS HUGEINT), g := CAST(-1 AS BIGINT)) END AS st FROM d WHERE place = 1
             UNION ALL SELECT session_id, agent_id, place, ordinal, why IS NULL, why, CASE WHEN why IS NULL THEN struct_pack(m := n_seen, c := completion, p := purpose, l := n_completion, s := n_full + n_completion, g := segment_index) ELSE st END
             FROM (SELECT d.*, f.st, CASE WHEN d.segment_index = f.st.g AND d.n_seen = f.st.m AND d.completion = f.st.c AND d.purpose = f.st.p AND d.n_full = f.st.s - f.st.l THEN 'repeat' WHEN d.segment_index <> f.st.g + CASE WHEN d.new_conversation OR f.st.g < 0 THEN 1 ELSE 0 END THEN 'segment'

@@ -125,9 +125,10 @@ def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a profile with a prefix and a sampled header; some renders lack the prefix, some tools change, some answers end a turn themselves."""
     t = adapter.turns(spark, sf_dir)
     cut = lambda name, when, text: F.when(when, F.lit(text)).otherwise(F.lit(name))
-    seen = F.concat(cut("P", F.col("conv_id") % 19 == 4, "Q"), F.when(F.col("conv_id") % 5 == 1, F.lit("<u>")).otherwise(F.lit("")), "prompt")
+    place = F.col("conv_id") + F.col("tn")
+    seen = F.concat(cut("P", place % 19 == 4, "Q"), F.when((F.col("conv_id") % 5 == 1) & (place % 4 != 3), F.lit("<u>")).otherwise(F.lit("")), "prompt")
     done = F.concat("completion", F.when(F.col("conv_id") % 5 == 1, F.lit("~\n<u>")).when(F.col("conv_id") % 3 == 0, F.lit("~")).otherwise(F.lit("")))
-    rows = t.select(*KEYS, "turn_ordinal", F.lit("user").alias("role"), seen.alias("prompt"), done.alias("completion"), cut("t", F.col("conv_id") % 17 == 2, "u").alias("tools"))
+    rows = t.select(*KEYS, "turn_ordinal", F.lit("user").alias("role"), seen.alias("prompt"), done.alias("completion"), cut("t", place % 17 == 2, "u").alias("tools"))
     d = build(rows, Profile("plain", prefix="P", ending="~\n", generation="A:", headers=("<u>",)))
     return d.select(*KEYS, "turn_ordinal", "n_prompt_ids", F.sha2(F.array_join("added", ","), 256).alias("added_sha"), "error")
 
@@ -136,8 +137,8 @@ QUERIES = {"continuations": continuations}
 #: SQL for DuckDB: the stream as one fold over its turns, in texts instead of ids.
 ORACLE = {
     "continuations": f"""WITH RECURSIVE {adapter.DUCK_TURNS},
-        r AS (SELECT session_id, agent_id, segment_index, turn_ordinal, row_number() OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) AS place, CASE WHEN conv_id % 19 = 4 THEN 'Q' ELSE 'P' END || CASE WHEN conv_id % 5 = 1 THEN '<u>' ELSE '' END || prompt AS render,
-            completion || CASE WHEN conv_id % 5 = 1 THEN '~' || chr(10) || '<u>' WHEN conv_id % 3 = 0 THEN '~' ELSE '' END AS done, CASE WHEN conv_id % 17 = 2 THEN 'u' ELSE 't' END AS tools FROM turns),
+        r AS (SELECT session_id, agent_id, segment_index, turn_ordinal, row_number() OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) AS place, CASE WHEN (conv_id + tn) % 19 = 4 THEN 'Q' ELSE 'P' END || CASE WHEN conv_id % 5 = 1 AND (conv_id + tn) % 4 <> 3 THEN '<u>' ELSE '' END || prompt AS render,
+            completion || CASE WHEN conv_id % 5 = 1 THEN '~' || chr(10) || '<u>' WHEN conv_id % 3 = 0 THEN '~' ELSE '' END AS done, CASE WHEN (conv_id + tn) % 17 = 2 THEN 'u' ELSE 't' END AS tools FROM turns),
         f AS (SELECT r.*, render || 'A:' AS added, CAST(NULL AS VARCHAR) AS error, render || 'A:' || done AS stream, tools AS pinned FROM r WHERE place = 1
             UNION ALL SELECT q.session_id, q.agent_id, q.segment_index, q.turn_ordinal, q.place, q.render, q.done, q.tools, CASE WHEN q.error IS NULL THEN q.add END, q.error, CASE WHEN q.error IS NULL THEN q.before || q.add || q.done ELSE q.before END, q.pinned
             FROM (SELECT r.*, f.stream AS before, f.pinned, CASE WHEN r.tools <> f.pinned THEN 'tools changed' WHEN r.render[1] <> 'P' THEN 'delta without the render''s prefix' WHEN suffix(f.stream, '<u>') AND NOT starts_with(substr(r.render, 2), '<u>') THEN 'sampled header of another role' END AS error,
