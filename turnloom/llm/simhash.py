@@ -95,7 +95,8 @@ def first_bucket(a: str, b: str) -> str:
 def linked(fps: DataFrame) -> DataFrame:
     """(node, component) of the distinct fingerprints in column fp that have links."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = fps.repartition(n, "fp").select("fp", F.explode(variants()).alias("key"))
+    # a fingerprint has 64 variants: dealt anew by another key, as partitions of the grouping before are joined by the size they have without these
+    index = fps.repartition(n, F.xxhash64("fp")).select("fp", F.explode(variants()).alias("key"))
     crowd = Window.partitionBy("key")
     picks = [F.min("fp").over(crowd), F.max("fp").over(crowd)] + [F.min_by("fp", F.expr(f"xxhash64(fp, {i})")).over(crowd) for i in range(PIVOTS - 2)]
     star = index.select("fp", "key", F.count("*").over(crowd).alias("n"), F.array(*picks).alias("pivots")).where("n > 1")
