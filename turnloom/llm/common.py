@@ -17,7 +17,7 @@ from turnloom.ship import ship
 #: Rows of an Arrow batch sent to Python; long texts make batches of any row count large, so
 #: the byte bound below holds as well.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
