@@ -9,7 +9,7 @@ from turnloom.llm.queries import ORACLE, QUERIES
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_query_equals_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)

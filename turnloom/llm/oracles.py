@@ -56,4 +56,18 @@ def archives() -> str:
         FROM (SELECT page_id, html, CASE WHEN strlen(html) >= {warc.MIN_REVISIT} THEN min(page_id) OVER (PARTITION BY html) END AS first_id FROM (SELECT page_id, coalesce(html, '') AS html FROM pages) p) q"""
 
 
-ORACLE = {"op2_license_scans": licenses(), "op7_decontamination": decontamination(), "op9_warc": archives()}
+def filter_audit() -> str:
+    """Every document is led through all 120 orders, without inclusion and exclusion."""
+    return """WITH l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+        d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low FROM documents),
+        f AS (SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic,
+            concat(CASE WHEN len(w) < 100 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > low THEN 'E' ELSE '' END) AS fails FROM d),
+        r AS (SELECT part, good, toxic, fails, o, coalesce(list_min([i FOR i IN range(1, 6) IF contains(fails, o[i])]), 9) AS gone FROM f, orders),
+        steps AS (SELECT part, o AS filter_order, s AS step, o[s] AS letter, count(*) FILTER (gone > s) AS kept, count(*) FILTER (gone = s) AS removed, count(*) FILTER (gone < s AND contains(fails, o[s])) AS redundant,
+            count(*) FILTER (fails = o[s]) AS unique_fails, count(*) FILTER (gone = s AND good) AS good_lost, count(*) FILTER (gone = s AND toxic) AS toxic_lost FROM r, range(1, 6) q(s) GROUP BY part, o, s)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM steps"""
+
+
+ORACLE = {"op2_license_scans": licenses(), "op7_decontamination": decontamination(), "op9_warc": archives(), "op12_filter_audit": filter_audit()}
