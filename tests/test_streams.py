@@ -81,30 +81,142 @@ def test_fold(spark):
     assert (r.rows, r.accepted, r.dropped, base64.b64decode(r.data)) == (5, 3, 2, bytes(range(5)))
 
 
-DELIVERY = "session_id string, agent_id string, segment_index bigint, new_conversation boolean, purpose string, n_messages bigint, n_completion bigint, n_full_prompt bigint, completion_sha string, ordinal bigint"
-
-
-def deliveries():
-    return [("s", "a", 0, True, "primary", 1, 2, 3, "x", 1), ("s", "a", 0, True, "primary", 1, 2, 3, "x", 2), ("s", "b", 0, True, "primary", 1, 1, 1, "q", 3), ("s", "a", 0, True, "primary", 1, 2, 3, "x", 4), ("s", "a", 0, False, "primary", 2, 3, 7, "y", 5), ("s", "a", 0, False, "primary", 3, 1, 6, "z", 6), ("s", "a", 2, True, "primary", 1, 1, 1, "w", 7), ("s", "a", 1, True, "primary", 1, 1, 1, "w", 8)]
-
-
-def test_recorder(spark):
-    got = {r.ordinal: (r.accepted, r.reason) for r in recorder.record(spark.createDataFrame(deliveries(), DELIVERY)).collect()}
-    assert got == {1: (True, None), 2: (False, "repeat"), 3: (True, None), 4: (False, "repeat"), 5: (True, None), 6: (False, "short"), 7: (False, "segment"), 8: (True, None)}
+def event(session, ordinal, kind, agent=None, segment=0, messages=1, prompt=1, completion=1, purpose="primary", ts=None, text="x", m="m", p="p"):
+    return recorder.Event(session, ordinal, ordinal * 1000 if ts is None else ts, kind, agent, segment, purpose, messages, m, prompt, p, completion, text)
+
+
+def outcomes(spark, events, **kw):
+    return sorted(map(tuple, recorder.record(spark.createDataFrame(events, recorder.EVENT), **kw).collect()), key=lambda r: (r[0], r[2]))
+
+
+def test_recorder_rules(spark):
+    """Segments are the last one or the next, whatever a flag says; repeats, short prompts and strange purposes are refused."""
+    e = [event("s", i, "turn", "a", **kw) for i, kw in enumerate([
+        {"segment": 1}, {}, {}, {"messages": 2, "prompt": 2, "text": "y"}, {"messages": 2, "prompt": 2, "text": "z"}, {"messages": 3, "prompt": 2}, {"messages": 3, "prompt": 3, "purpose": "other"}, {"segment": 1, "text": "n"},
+        {"segment": 0, "messages": 9, "prompt": 9}, {"segment": 3}, {"segment": None}, {"segment": -1}, {"segment": 1, "text": "n", "purpose": "auxiliary"}, {"segment": 1, "messages": 2, "prompt": 2}, {"segment": 2},
+    ])]
+    assert [r[5] for r in outcomes(spark, e)] == ["segment", None, "repeat", None, "short", "short", "purpose", None, "segment", "segment", "segment", "segment", "short", None, None]
+
+
+def test_repairs(spark):
+    """Only an exact retry before the agent's next turn repairs; the first loss stays; other agents are on their own."""
+    lost = {"messages": 2, "prompt": 2, "text": "y"}
+    e = [event("s", 0, "turn", "a"), event("s", 1, "failed", "a", **lost), event("s", 2, "failed", "a", messages=3), event("s", 3, "collect"), event("s", 4, "turn", "b"), event("s", 5, "turn", "a", m="other", **lost | {"text": "w"}),
+         event("s", 6, "turn", "a", segment=1), event("s", 7, "collect"), event("t", 1, "failed"), event("t", 2, "collect"), event("t", 3, "turn", p="q"), event("t", 4, "turn"), event("t", 5, "collect"),
+         event("u", 0, "turn"), event("u", 1, "failed"), event("u", 2, "turn"), event("u", 3, "collect"), event("v", 0, "collect"), event("w", 0, "failed"), event("w", 1, "turn", p="q"), event("w", 2, "turn"), event("w", 3, "collect")]
+    got = {(r[0], r[2]): (r[5], r[8], r[10]) for r in outcomes(spark, e)}
+    assert got["s", 2] == ("held", False, None) and got["s", 3] == ("failed", False, None) == got["s", 7] and got["s", 4] == (None, False, None)
+    # a lost first turn of an unknown session is repaired by itself, not after another one
+    assert got["t", 2] == ("unknown", False, None) and got["t", 3] == (None, False, None) and got["t", 4] == ("repeat", False, None) and got["t", 5] == ("failed", False, None)
+    assert got["u", 1] == (None, False, None) and got["u", 2] == ("repeat", True, None) and got["u", 3] == (None, False, "0") and got["v", 0] == ("unknown", False, None)
+    assert got["w", 3] == ("failed", False, None)
+
+
+def test_tombstones_expire(spark):
+    h = recorder.TTL_MS
+    e = [event("s", 0, "turn", ts=0), event("s", 1, "delete", ts=10), event("s", 2, "turn", ts=9 + h), event("s", 3, "collect", ts=9 + h), event("s", 4, "failed", ts=9 + h), event("s", 5, "turn", ts=10 + h), event("s", 6, "collect", ts=10 + h), event("s", 7, "delete", ts=11 + h), event("s", 8, "delete", ts=12 + h), event("s", 9, "turn", ts=11 + 2 * h), event("s", 10, "turn", ts=12 + 2 * h)]
+    assert [(r[5], r[9], r[10]) for r in outcomes(spark, e)] == [(None, False, None), (None, False, None), ("deleted", True, None), ("unknown", False, None), ("deleted", False, None), (None, False, None), (None, False, "5"), (None, False, None), (None, False, None), ("deleted", True, None), (None, False, None)]
+
+
+def random_log(n, seed):
+    """Events of a few sessions and agents with whole messages and tokens, and what a recorder on whole lists makes of them."""
+    rnd = random.Random(seed)
+    store, lost, buried, events, want = {}, {}, {}, [], []
+    plain = lambda s, a, i, k, ok, why, rep=False, rec=None: want.append((s, i, k, ok, why, rep, k == "turn" and why == "deleted", rec))
+    last = {}
+    for i in range(n):
+        s, a, ts = rnd.choice("stu"), rnd.choice(["a", "b", None]), i * 1000
+        kind = rnd.choices(["turn", "failed", "delete", "collect"], [30, 3, 1, 3])[0]
+        mine = [t for t in store.get(s, []) if t["agent"] == a]
+        if kind in ("turn", "failed"):
+            seg = mine[-1]["segment"] if mine else 0
+            same = [t for t in mine if t["segment"] == seg]
+            msgs = [m for t in same for m in t["messages"]] + ["u%d" % rnd.randrange(3)]
+            prompt = [x for t in same for x in t["prompt"] + t["tokens"]] + [rnd.randrange(3)]
+            e = {"agent": a, "segment": seg, "messages": msgs, "all": prompt, "tokens": [rnd.randrange(2) for _ in range(rnd.randrange(1, 3))], "purpose": rnd.choice(["primary", "primary", "auxiliary"])}
+            if rnd.random() < 0.35 and (s, a) in last:
+                e = last[s, a]
+            elif rnd.random() < 0.2:
+                e = e | {"segment": seg + rnd.choice([1, 2]), "messages": ["o"], "all": [7]}
+            elif rnd.random() < 0.1:
+                e = e | {"all": prompt[:1]}
+            last[s, a] = e
+            events.append(recorder.Event(s, i, ts, kind, a, e["segment"], e["purpose"], len(e["messages"]), repr(e["messages"]), len(e["all"]), repr(e["all"]), len(e["tokens"]), repr(e["tokens"])))
+        else:
+            events.append(recorder.Event(s, i, ts, kind, None, None, None, None, None, None, None, None, None))
+        gone = s in buried and ts - buried[s] < 20_000
+        if kind == "delete":
+            store.pop(s, None), lost.pop(s, None)
+            buried[s] = ts
+            plain(s, None, i, kind, True, None)
+        elif kind == "collect":
+            why = "unknown" if gone or s not in store else "failed" if lost.get(s) else None
+            plain(s, None, i, kind, why is None, why, rec=None if why else ",".join(str(t["i"]) for t in store[s]))
+        elif gone:
+            plain(s, a, i, kind, False, "deleted")
+        elif kind == "failed":
+            new = a not in lost.setdefault(s, {})
+            if new:
+                lost[s][a] = (e["messages"], e["all"], e["tokens"], e["segment"], e["purpose"], len(mine))
+            plain(s, a, i, kind, new, None if new else "held")
+        else:
+            turns = store.setdefault(s, [])
+            fits = lost.get(s, {}).get(a) == (e["messages"], e["all"], e["tokens"], e["segment"], e["purpose"], len(mine))
+            current = mine[-1]["segment"] if mine else -1
+            why, new = None, dict(e, prompt=e["all"], i=i)
+            if e["segment"] not in (current, current + 1):
+                why = "segment"
+            elif e["segment"] == current:
+                same = [t for t in mine if t["segment"] == current]
+                k, size = sum(len(t["messages"]) for t in same), sum(len(t["prompt"]) + len(t["tokens"]) for t in same)
+                if (len(e["messages"]), e["tokens"], len(e["all"]), e["purpose"]) == (k, mine[-1]["tokens"], size - len(mine[-1]["tokens"]), mine[-1]["purpose"]):
+                    why = "repeat"
+                elif len(e["messages"]) <= k or len(e["all"]) < size:
+                    why = "short"
+                new = dict(e, messages=e["messages"][k:], prompt=e["all"][size:], i=i)
+            if why is None:
+                turns.append(new)
+            if fits and why in (None, "repeat"):
+                del lost[s][a]
+            plain(s, a, i, kind, why is None, why, fits and why in (None, "repeat"))
+    return events, want
+
+
+def short(r):
+    return r[0], r[2], r[3], r[4], r[5], r[8], r[9], r[10]
+
+
+def test_recorder_against_lists(spark):
+    for seed in range(4):
+        events, want = random_log(900, seed)
+        got = [short(r) for r in outcomes(spark, events, ttl_ms=20_000)]
+        assert sorted(got, key=lambda r: r[1]) == want
+        assert {r[4] for r in want} >= {None, "segment", "repeat", "short", "deleted", "held", "unknown", "failed"} and any(r[5] for r in want)
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    d = spark.createDataFrame(deliveries(), DELIVERY)
-    for i in range(2):
-        d.where((F.col("ordinal") > 4) == bool(i)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
-    q = recorder.record_stream(src).writeStream.format("memory").queryName("recorded").outputMode("append").start()
-    try:
-        q.processAllAvailable()
-        got = sorted(map(tuple, spark.sql("SELECT * FROM recorded").collect()), key=repr)
-    finally:
-        q.stop()
-    assert got == sorted(map(tuple, recorder.record(d).collect()), key=repr)
+    """Deletions, expiries, repeats and repairs over several micro-batches, written with their late turns apart; a repeated batch adds nothing."""
+    events, _ = random_log(600, 9)
+    d = spark.createDataFrame(events, recorder.EVENT)
+    want = sorted(map(tuple, recorder.record(d, ttl_ms=20_000).collect()), key=repr)
+    src, out, at = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "at")
+
+    def run():
+        rows = spark.readStream.schema(d.schema).parquet(src)
+        recorder.write_split(recorder.record_stream(rows, ttl_ms=20_000, keep_ms=3_600_000), out, at).trigger(availableNow=True).start().awaitTermination()
+        return [tuple(r) for side in ("main", "late") for r in spark.read.parquet(f"{out}/{side}").drop("batch").collect()]
+
+    # else a query over processing time goes on with empty batches and never ends
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for lo in (0, 150, 300, 450):
+        d.where(f"ordinal >= {lo} AND ordinal < {lo + 150}").coalesce(1).write.mode("append").parquet(src)
+        got = run()
+    assert sorted(got, key=repr) == want
+    assert {r.reason for r in spark.read.parquet(f"{out}/late").collect()} == {"deleted"} and not any(r.late for r in spark.read.parquet(f"{out}/main").collect())
+    (last,) = sorted((tmp_path / "at" / "commits").glob("3"))
+    last.unlink()  # as if the driver was lost before the last commit
+    (tmp_path / "at" / "commits" / ".3.crc").unlink()
+    assert sorted(run(), key=repr) == want
 
 
 def test_live_streams(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import completion, templates, tokens
 from turnloom.operators import captures
 from turnloom.operators.training import with_tokens
+from turnloom.plans.registry import query
 from turnloom.sources import adapter, records, wire
 from turnloom.sources.adapter import DUCK_TURNS, read
 from turnloom.streaming import recorder
@@ -187,20 +188,28 @@ def capture_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", "p.rows", "p.cols", F.lower(F.hex(F.unbase64("p.data"))).alias("bytes"))
 
 
-def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries of all turns, each third of the conversations twice, through the recorder."""
-    from pyspark.sql.window import Window
+#: SQL that Spark and DuckDB both read: deliveries of turns with faults, then the log made of them. A third comes
+#: twice; some turns are lost and delivered again, told as lost though they are there, or lost for good; some
+#: sessions are deleted, and every session is collected, some twice. An ordinal is 100 seconds.
+RECORDED = """
+    t AS (SELECT *, -n_completion + sum(n_prompt + n_completion) OVER w AS n_all, sum(n_messages) OVER w AS n_seen FROM turns WINDOW w AS (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal)),
+    u AS (SELECT session_id, agent_id, conv_id, tn, turn_ordinal * 10 AS o, segment_index + CASE WHEN new_conversation THEN 0 WHEN conv_id % 11 = 2 THEN 1 WHEN conv_id % 11 = 5 THEN 2 ELSE 0 END AS segment_index,
+        CASE WHEN conv_id % 17 = 6 AND tn = 2 THEN 'other' ELSE purpose END AS purpose, CAST(n_seen AS BIGINT) AS n_messages, @sha(concat(prompt, '/m')) AS messages_sha,
+        CAST(CASE WHEN NOT new_conversation AND conv_id % 13 = 3 THEN 0 ELSE n_all END AS BIGINT) AS n_full_prompt, @sha(prompt) AS prompt_sha, n_completion, @sha(completion) AS completion_sha, conv_id % 5 IN (1, 3) AND tn = 1 AS lost FROM t),
+    ev AS (SELECT session_id, o AS ordinal, CASE WHEN lost THEN 'failed' ELSE 'turn' END AS kind, agent_id, segment_index, purpose, n_messages, messages_sha, n_full_prompt, prompt_sha, n_completion, completion_sha FROM u
+        UNION ALL SELECT session_id, o + 1, 'turn', agent_id, segment_index, purpose, n_messages, messages_sha, n_full_prompt, prompt_sha, n_completion, completion_sha FROM u WHERE conv_id % 3 = 0 AND NOT lost
+        UNION ALL SELECT session_id, o + 2, 'failed', agent_id, segment_index, purpose, n_messages, messages_sha, n_full_prompt, prompt_sha, n_completion, completion_sha FROM u WHERE conv_id % 5 = 2 AND tn = 1
+        UNION ALL SELECT session_id, o + 3, 'turn', agent_id, segment_index, purpose, n_messages, messages_sha, n_full_prompt, prompt_sha, n_completion, completion_sha FROM u WHERE conv_id % 5 IN (1, 2) AND tn = 1),
+    ctl AS (SELECT session_id, o + 5 AS ordinal, 'delete' AS kind FROM u WHERE conv_id % 24 = 16 AND tn = 1
+        UNION ALL SELECT session_id, o + 4, 'collect' FROM u WHERE conv_id % 4 = 0 AND tn = 2
+        UNION ALL SELECT session_id, max(o) + 9, 'collect' FROM u GROUP BY session_id)"""
 
-    t = adapter.turns(spark, sf_dir)
-    before = Window.partitionBy("session_id", "agent_id", "segment_index").orderBy("turn_ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    d = t.withColumn("n_full_prompt", F.coalesce(F.sum(F.col("n_prompt") + F.col("n_completion")).over(before), F.lit(0)) + F.col("n_prompt"))
-    d = d.withColumn("n_messages", F.coalesce(F.sum("n_messages").over(before), F.lit(0)) + F.col("n_messages"))
-    goes_on = ~F.col("new_conversation")
-    d = d.withColumn("segment_index", F.col("segment_index") + F.when(goes_on & (F.col("conv_id") % 11 == 2), 1).otherwise(0))
-    d = d.withColumn("n_full_prompt", F.when(goes_on & (F.col("conv_id") % 13 == 3), 0).otherwise(F.col("n_full_prompt")))
-    d = d.select("session_id", "agent_id", "segment_index", "new_conversation", "purpose", "n_messages", "n_completion", "n_full_prompt", F.sha2("completion", 256).alias("completion_sha"), (F.col("turn_ordinal") * 2).alias("ordinal"), "conv_id")
-    again = d.where("conv_id % 3 = 0").withColumn("ordinal", F.col("ordinal") + 1)
-    return recorder.record(d.union(again).drop("conv_id"))
+
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of deliveries, losses, deletions and collections through the recorder."""
+    log = f"""WITH {RECORDED} SELECT *, ordinal * 100000 AS ts FROM (SELECT * FROM ev UNION ALL
+        SELECT session_id, ordinal, kind, CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS STRING) FROM ctl) q"""
+    return recorder.record(query(log)(spark, sf_dir))
 
 
 def live_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,15 +323,26 @@ ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
             || string_agg(part, '' ORDER BY turn) || CASE kind WHEN 0 THEN '<|im_start|>assistant' || chr(10) WHEN 1 THEN '<|assistant|>' ELSE '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) END AS r FROM p GROUP BY conv_id, kind)
         SELECT conv_id, CASE WHEN NOT late THEN CAST(length(r) AS BIGINT) END AS n_chars, CASE WHEN NOT late THEN sha256(r) END AS text_sha, CASE WHEN late THEN 'a system message must come first' END AS error FROM q""",
     "harmony_ids": "SELECT doc_id, '<|return|>' || lang AS content, '<|end|>' || source AS reasoning, CAST(0 AS BIGINT) AS n_calls FROM documents WHERE lang IS NOT NULL",
-    "recorded_deliveries": f"""WITH RECURSIVE {DUCK_TURNS},
-        t AS (SELECT *, sum(n_prompt + n_completion) OVER w - n_completion AS n_all, sum(n_messages) OVER w AS n_seen FROM turns WINDOW w AS (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal)),
-        u AS (SELECT * REPLACE (segment_index + CASE WHEN NOT new_conversation AND conv_id % 11 = 2 THEN 1 ELSE 0 END AS segment_index), CASE WHEN NOT new_conversation AND conv_id % 13 = 3 THEN 0 ELSE n_all END AS n_full FROM t),
-        d AS (SELECT *, row_number() OVER (PARTITION BY session_id, agent_id ORDER BY ordinal) AS place FROM (SELECT *, turn_ordinal * 2 AS ordinal FROM u UNION ALL SELECT *, turn_ordinal * 2 + 1 FROM u WHERE conv_id % 3 = 0) x),
-        f AS (SELECT session_id, agent_id, place, ordinal, segment_index = 0 AS accepted, CASE WHEN segment_index <> 0 THEN 'segment' END AS reason, CASE WHEN segment_index = 0 THEN struct_pack(m := n_seen, c := completion, p := purpose, l := n_completion, s := n_full + n_completion, g := segment_index) ELSE struct_pack(m := CAST(-1 AS HUGEINT), c := '', p := '', l := CAST(0 AS BIGINT), s := CAST(0 AS HUGEINT), g := CAST(-1 AS BIGINT)) END AS st FROM d WHERE place = 1
-            UNION ALL SELECT session_id, agent_id, place, ordinal, why IS NULL, why, CASE WHEN why IS NULL THEN struct_pack(m := n_seen, c := completion, p := purpose, l := n_completion, s := n_full + n_completion, g := segment_index) ELSE st END
-            FROM (SELECT d.*, f.st, CASE WHEN d.segment_index = f.st.g AND d.n_seen = f.st.m AND d.completion = f.st.c AND d.purpose = f.st.p AND d.n_full = f.st.s - f.st.l THEN 'repeat' WHEN d.segment_index <> f.st.g + CASE WHEN d.new_conversation OR f.st.g < 0 THEN 1 ELSE 0 END THEN 'segment'
-                WHEN NOT d.new_conversation AND f.st.g >= 0 AND (d.n_seen <= f.st.m OR d.n_full < f.st.s) THEN 'short' END AS why FROM f JOIN d ON d.session_id = f.session_id AND d.agent_id IS NOT DISTINCT FROM f.agent_id AND d.place = f.place + 1) q)
-        SELECT session_id, agent_id, CAST(ordinal AS BIGINT) AS ordinal, accepted, reason, CAST(st.s AS BIGINT) AS stream_len FROM f""",
+    # a chain of turns and losses for each agent between two deletions, and collections that look at their ends
+    "recorded_deliveries": f"""WITH RECURSIVE {DUCK_TURNS}, {RECORDED.replace("@sha(", "sha256(")},
+        e AS (SELECT ev.*, coalesce(d.ordinal, -1000) AS cut, ev.ordinal - coalesce(d.ordinal, -1000) < 36 AS late FROM ev ASOF LEFT JOIN (SELECT * FROM ctl WHERE kind = 'delete') d ON ev.session_id = d.session_id AND ev.ordinal >= d.ordinal),
+        x AS (SELECT *, row_number() OVER (PARTITION BY session_id, agent_id, cut ORDER BY ordinal) AS place, concat_ws('|', segment_index, purpose, messages_sha, prompt_sha, completion_sha) AS mark FROM e WHERE NOT late),
+        f AS (SELECT session_id, agent_id, cut, CAST(0 AS BIGINT) AS place, CAST(-1 AS BIGINT) AS ordinal, '' AS kind, CAST(NULL AS VARCHAR) AS reason, false AS repaired, CAST(-1 AS BIGINT) AS g, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS l, '' AS c, '' AS p, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS lost FROM x WHERE place = 1
+            UNION ALL SELECT session_id, agent_id, cut, place, ordinal, kind, why, fits,
+                CASE WHEN why IS NULL AND kind = 'turn' THEN segment_index ELSE g END, CASE WHEN why IS NULL AND kind = 'turn' THEN n_messages ELSE m END, CASE WHEN why IS NULL AND kind = 'turn' THEN n_full_prompt + n_completion ELSE s END, CASE WHEN why IS NULL AND kind = 'turn' THEN n_completion ELSE l END,
+                CASE WHEN why IS NULL AND kind = 'turn' THEN completion_sha ELSE c END, CASE WHEN why IS NULL AND kind = 'turn' THEN purpose ELSE p END, CASE WHEN why IS NULL AND kind = 'turn' THEN n + 1 ELSE n END,
+                CASE WHEN kind = 'failed' THEN coalesce(lost, mark || '|' || n) WHEN fits THEN NULL ELSE lost END
+            FROM (SELECT *, kind = 'turn' AND coalesce(lost = mark || '|' || n, false) AND coalesce(why, 'repeat') = 'repeat' AS fits FROM (SELECT x.*, f.g, f.m, f.s, f.l, f.c, f.p, f.n, f.lost, CASE
+                WHEN x.kind = 'failed' THEN CASE WHEN f.lost IS NOT NULL THEN 'held' END WHEN x.purpose = 'other' THEN 'purpose' WHEN x.segment_index = f.g + 1 THEN NULL WHEN x.segment_index <> f.g THEN 'segment'
+                WHEN x.n_messages = f.m AND x.completion_sha = f.c AND x.purpose = f.p AND x.n_full_prompt + f.l = f.s THEN 'repeat' WHEN x.n_messages <= f.m OR x.n_full_prompt < f.s THEN 'short' END AS why
+                FROM f JOIN x ON x.session_id = f.session_id AND x.agent_id IS NOT DISTINCT FROM f.agent_id AND x.cut = f.cut AND x.place = f.place + 1) q) r),
+        c AS (SELECT k.session_id, k.ordinal, coalesce(d.ordinal, -1000) AS cut, k.ordinal - coalesce(d.ordinal, -1000) < 36 AS late FROM (SELECT * FROM ctl WHERE kind = 'collect') k ASOF LEFT JOIN (SELECT * FROM ctl WHERE kind = 'delete') d ON k.session_id = d.session_id AND k.ordinal >= d.ordinal),
+        seen AS (SELECT c.session_id, c.ordinal, coalesce(bool_or(f.kind = 'turn'), false) AS known, string_agg(CASE WHEN f.kind = 'turn' AND f.reason IS NULL THEN CAST(f.ordinal AS VARCHAR) END, ',' ORDER BY f.ordinal) AS recorded FROM c LEFT JOIN f ON f.session_id = c.session_id AND f.cut = c.cut AND f.ordinal < c.ordinal AND f.place > 0 AND NOT c.late GROUP BY c.session_id, c.ordinal),
+        ends AS (SELECT session_id, ordinal, bool_or(lost IS NOT NULL) AS open FROM (SELECT c.session_id, c.ordinal, f.agent_id, arg_max(struct_pack(x := f.lost), f.place).x AS lost FROM c JOIN f ON f.session_id = c.session_id AND f.cut = c.cut AND f.ordinal < c.ordinal GROUP BY c.session_id, c.ordinal, f.agent_id) q GROUP BY session_id, ordinal)
+        SELECT session_id, agent_id, ordinal, kind, reason IS NULL AS accepted, reason, s AS stream_len, n AS n_turns, repaired, false AS late, CAST(NULL AS VARCHAR) AS recorded FROM f WHERE place > 0
+        UNION ALL SELECT session_id, agent_id, ordinal, kind, false, 'deleted', 0, 0, false, kind = 'turn', NULL FROM e WHERE late
+        UNION ALL SELECT session_id, NULL, ordinal, kind, true, NULL, 0, 0, false, false, NULL FROM ctl WHERE kind = 'delete'
+        UNION ALL SELECT s.session_id, NULL, s.ordinal, 'collect', known AND NOT coalesce(open, false), CASE WHEN NOT known THEN 'unknown' WHEN open THEN 'failed' END, 0, 0, false, false, CASE WHEN known AND NOT coalesce(open, false) THEN coalesce(recorded, '') END FROM seen s LEFT JOIN ends USING (session_id, ordinal)""",
     "capture_fold": f"""WITH RECURSIVE {DUCK_TURNS},
         t AS (SELECT *, n_prompt + n_completion AS n, sum(n_prompt + n_completion) OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) - n_prompt - n_completion AS before, row_number() OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) AS place FROM turns),
         b AS (SELECT session_id, agent_id, segment_index, place, prompt || completion AS data, n, CASE WHEN before = 0 THEN 0 ELSE before + CASE WHEN conv_id % 6 = 1 THEN 1 ELSE 0 END END AS start FROM t),

@@ -1,8 +1,8 @@
-"""Stateful streams: de-duplicating recorder and bounded set of live streams.
+"""Stateful streams: recorder of sessions with repairs and tombstones, and a bounded set of live streams.
 
-The transition functions are plain Python over one key's rows in order, shared by the batch form (sorted
-partitions read row by row) and the streaming form (applyInPandasWithState), so both give the same
-rows.
+The transition functions are plain Python over one session's events in order, on a small store of what is
+held. The batch form holds it in dictionaries while sorted partitions are read row by row; the streaming
+form holds it in Spark's state (transformWithState). So both give the same rows.
 """
 
 from __future__ import annotations
@@ -10,67 +10,238 @@ from __future__ import annotations
 from collections import OrderedDict, namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from turnloom.ship import ship
 from turnloom.streaming.ordered_fold import in_order
 
-Delivery = namedtuple("Delivery", "session_id agent_id segment_index new_conversation purpose n_messages n_completion n_full_prompt completion_sha ordinal")
-OUT = "session_id string, agent_id string, ordinal bigint, accepted boolean, reason string, stream_len bigint"
-STATE = "last_messages bigint, last_sha string, last_purpose string, last_completion bigint, stream_len bigint, segment bigint"
-EMPTY = (None, None, None, 0, 0, -1)
+#: kind: turn, failed (a turn that was committed but not recorded), delete or collect. n_messages counts the
+#: segment's messages of others than the assistant so far; prompts are whole. ts is in milliseconds.
+EVENT = """session_id string, ordinal bigint, ts bigint, kind string, agent_id string, segment_index bigint, purpose string, n_messages bigint, messages_sha string,
+    n_full_prompt bigint, prompt_sha string, n_completion bigint, completion_sha string"""
+Event = namedtuple("Event", [c.split()[0] for c in EVENT.split(",")])
+OUT = "session_id string, agent_id string, ordinal bigint, kind string, accepted boolean, reason string, stream_len bigint, n_turns bigint, repaired boolean, late boolean, recorded string"
+PURPOSES = ("primary", "compaction", "auxiliary")
+TTL_MS = 3_600_000
 
+AGENT = "segment bigint, messages bigint, length bigint, completion bigint, completion_sha string, purpose string, turns bigint"
+Agent = namedtuple("Agent", [c.split()[0] for c in AGENT.split(", ")])
+FRESH = Agent(-1, 0, 0, 0, None, None, 0)
+#: What an exact retry must bring again, and how many turns its agent had when the turn was lost.
+FAILURE = "segment bigint, purpose string, messages_sha string, prompt_sha string, completion_sha string, turns bigint"
+Failure = namedtuple("Failure", [c.split()[0] for c in FAILURE.split(", ")])
 
-def deliver(state: tuple, row: Delivery) -> tuple[tuple, bool, str | None]:
-    """The state after one delivery, and whether it was recorded.
 
-    n_messages counts the segment's messages of others than the assistant so far. A delivery with the
-    last recorded one's messages, completion and purpose, whose prompt is as long as the stream
-    before that completion, is a repeat. A continuation has more messages and at least the stream;
-    a segment must be the last one or, with a reset, the next.
+class Held:
+    """What is known of one session, in memory."""
+
+    def __init__(self) -> None:
+        self.deleted_at: int | None = None
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = False
+        self.agents: dict[str | None, Agent] = {}
+        self.failures: dict[str | None, Failure] = {}
+        self.turns: list[int] = []
+
+    def meet(self) -> None:
+        self.known = True
+
+    def agent(self, name: str | None) -> Agent:
+        return self.agents.get(name, FRESH)
+
+    def record(self, name: str | None, agent: Agent, ordinal: int) -> None:
+        self.agents[name] = agent
+        self.turns.append(ordinal)
+
+    def failure(self, name: str | None) -> Failure | None:
+        return self.failures.get(name)
+
+    def fail(self, name: str | None, failure: Failure) -> None:
+        self.failures[name] = failure
+
+    def repair(self, name: str | None) -> None:
+        del self.failures[name]
+
+    def failed(self) -> bool:
+        return bool(self.failures)
+
+    def recorded(self) -> list[int]:
+        return self.turns
+
+    def bury(self, ts: int) -> None:
+        self.clear()
+        self.deleted_at = ts
+
+
+class Stated:
+    """The same in Spark's state: maps by agent, a list of recorded turns, a tombstone that the store drops by itself."""
+
+    def __init__(self, handle: StatefulProcessorHandle, keep_ms: int) -> None:
+        self._known = handle.getValueState("known", "known boolean")
+        self._agents = handle.getMapState("agents", "name string", AGENT)
+        self._failures = handle.getMapState("failures", "name string", FAILURE)
+        self._turns = handle.getListState("turns", "ordinal bigint")
+        self._deleted = handle.getValueState("deleted", "ts bigint", keep_ms)
+
+    @staticmethod
+    def _key(name: str | None) -> tuple[str]:
+        return ("-" if name is None else f"+{name}",)
+
+    @property
+    def deleted_at(self) -> int | None:
+        return self._deleted.get()[0] if self._deleted.exists() else None
+
+    @property
+    def known(self) -> bool:
+        return self._known.exists()
+
+    def meet(self) -> None:
+        if not self.known:
+            self._known.update((True,))
+
+    def agent(self, name: str | None) -> Agent:
+        got = self._agents.getValue(self._key(name))
+        return Agent(*got) if got else FRESH
+
+    def record(self, name: str | None, agent: Agent, ordinal: int) -> None:
+        self._agents.updateValue(self._key(name), tuple(agent))
+        self._turns.appendValue((ordinal,))
+
+    def failure(self, name: str | None) -> Failure | None:
+        got = self._failures.getValue(self._key(name)) if self._failures.exists() else None
+        return Failure(*got) if got else None
+
+    def fail(self, name: str | None, failure: Failure) -> None:
+        self._failures.updateValue(self._key(name), tuple(failure))
+
+    def repair(self, name: str | None) -> None:
+        self._failures.removeKey(self._key(name))
+
+    def failed(self) -> bool:
+        return self._failures.exists() and next(iter(self._failures.keys()), None) is not None
+
+    def recorded(self) -> list[int]:
+        return [x[0] for x in self._turns.get()] if self._turns.exists() else []
+
+    def bury(self, ts: int) -> None:
+        for state in (self._known, self._agents, self._failures, self._turns):
+            state.clear()
+        self._deleted.update((ts,))
+
+
+def refusal(agent: Agent, e: Event) -> str | None:
+    """Why a turn is not recorded. A segment is the agent's last one or the next; the next one opens a conversation.
+
+    Within a segment a turn brings more messages and at least the stream as its prompt. One with the last
+    turn's messages, completion and purpose, whose prompt is the stream before that completion, is a repeat.
     """
-    messages, sha, purpose, last, length, segment = state
-    if segment >= 0 and (row.n_messages, row.completion_sha, row.purpose) == (messages, sha, purpose) and row.n_full_prompt == length - last and row.segment_index == segment:
-        return state, False, "repeat"
-    opens = row.new_conversation or segment < 0
-    if row.segment_index != segment + (1 if opens else 0):
-        return state, False, "segment"
-    if not opens and (row.n_messages <= messages or row.n_full_prompt < length):
-        return state, False, "short"
-    return (row.n_messages, row.completion_sha, row.purpose, row.n_completion, row.n_full_prompt + row.n_completion, row.segment_index), True, None
+    if e.purpose not in PURPOSES:
+        return "purpose"
+    if e.segment_index is None or e.segment_index < 0 or e.segment_index - agent.segment not in (0, 1):
+        return "segment"
+    if e.segment_index > agent.segment:
+        return None
+    if (e.n_messages, e.completion_sha, e.purpose, e.n_full_prompt) == (agent.messages, agent.completion_sha, agent.purpose, agent.length - agent.completion):
+        return "repeat"
+    return "short" if e.n_messages <= agent.messages or e.n_full_prompt < agent.length else None
+
+
+def transition(held: Held | Stated, e: Event, ttl_ms: int = TTL_MS) -> tuple:
+    """Applies one event to what is held and gives its output row."""
+
+    def row(accepted: bool, reason: str | None, agent: Agent = FRESH, repaired: bool = False, recorded: str | None = None) -> tuple:
+        return e.session_id, e.agent_id, e.ordinal, e.kind, accepted, reason, agent.length, agent.turns, repaired, e.kind == "turn" and reason == "deleted", recorded
+
+    if e.kind == "delete":
+        held.bury(e.ts)
+        return row(True, None)
+    at = held.deleted_at
+    buried = at is not None and e.ts - at < ttl_ms
+    if e.kind == "collect":
+        why = "unknown" if buried or not held.known else "failed" if held.failed() else None
+        return row(why is None, why, recorded=None if why else ",".join(map(str, held.recorded())))
+    if buried:
+        return row(False, "deleted")
+    agent = held.agent(e.agent_id)
+    lost = Failure(e.segment_index, e.purpose, e.messages_sha, e.prompt_sha, e.completion_sha, agent.turns)
+    before = held.failure(e.agent_id)
+    if e.kind == "failed":  # the first one stays until it is repaired
+        if before is None:
+            held.fail(e.agent_id, lost)
+        return row(before is None, None if before is None else "held", agent)
+    held.meet()
+    why = refusal(agent, e)
+    repaired = before == lost and why in (None, "repeat")
+    if why is None:
+        agent = Agent(e.segment_index, e.n_messages, e.n_full_prompt + e.n_completion, e.n_completion, e.completion_sha, e.purpose, agent.turns + 1)
+        held.record(e.agent_id, agent, e.ordinal)
+    if repaired:
+        held.repair(e.agent_id)
+    return row(why is None, why, agent, repaired)
 
 
-def _rows(state: tuple, rows: Iterator) -> Iterator[tuple[tuple, tuple]]:
-    """(state, output) after each of one stream's deliveries in order."""
-    for r in rows:
-        state, ok, why = deliver(state, r)
-        yield state, (r.session_id, r.agent_id, r.ordinal, ok, why, state[4])
+def record(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Batch form over columns EVENT. A session is read event by event in order of its ordinals, whatever its length."""
 
+    def fold(rows: Iterator[Event]) -> Iterator[tuple]:
+        held = Held()
+        for e in rows:
+            yield transition(held, e, ttl_ms)
 
-def record(deliveries: DataFrame) -> DataFrame:
-    """Batch form. A stream is read row by row in order, whatever its length; only its state is held."""
+    return in_order(events.select(*Event._fields), ["session_id"], ["ordinal"], Event, fold, OUT)
 
-    def fold(rows: Iterator[Delivery]) -> Iterator[tuple]:
-        for _, out in _rows(EMPTY, rows):
-            yield out
 
-    return in_order(deliveries.select(*Delivery._fields), ["session_id", "agent_id"], ["ordinal"], Delivery, fold, OUT)
+class Recorder(StatefulProcessor):
+    """The transitions on Spark's state; a micro-batch's events of one session are put in order first."""
 
+    def __init__(self, ttl_ms: int, keep_ms: int) -> None:
+        self.ttl_ms, self.keep_ms = ttl_ms, keep_ms
 
-def record_stream(deliveries: DataFrame) -> DataFrame:
-    """Streaming form over a streaming DataFrame of the same columns."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = Stated(handle, self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        names = [c.split()[0] for c in OUT.split(", ")]
+        for e in sorted((Event(*(r[c] for c in Event._fields)) for r in rows), key=lambda e: e.ordinal):
+            yield Row(**dict(zip(names, transition(self.held, e, self.ttl_ms))))
+
+    def close(self) -> None:
+        pass
+
+
+def record_stream(events: DataFrame, ttl_ms: int = TTL_MS, keep_ms: int | None = None) -> DataFrame:
+    """Streaming form over a streaming DataFrame of columns EVENT.
+
+    Whether a turn comes too late is told by the events' own times. The store forgets a tombstone keep_ms
+    after its deletion was read (twice ttl_ms unless given), so that deleted sessions leave nothing behind.
+    Its clock makes Spark run empty batches; with the trigger availableNow, which would not end then, set
+    spark.sql.streaming.noDataMicroBatches.enabled to false.
+    """
+    spark = events.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    processor = Recorder(ttl_ms, keep_ms or 2 * ttl_ms)
+    return events.select(*Event._fields).groupBy("session_id").transformWithState(processor, OUT, "append", "processingTime")
+
+
+def write_split(outcomes: DataFrame, path: str, checkpoint: str, late: Column | None = None):
+    """A query that writes a stream's rows to path/main and its late ones to path/late.
+
+    A micro-batch has a folder of its own in each, which a repeated one writes over: no row comes twice.
+    """
+    side = F.col("late") if late is None else late
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = tuple(held.get) if held.exists else EMPTY
-        rows = pd.concat(list(batches)).sort_values("ordinal", kind="stable")
-        plain = [Delivery(*(None if pd.isna(v) else v for v in r)) for r in rows[list(Delivery._fields)].itertuples(index=False)]
-        out = []
-        for state, row in _rows(state, iter(plain)):
-            out.append(row)
-        held.update(tuple(None if v is None else v if isinstance(v, str) else int(v) for v in state))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+    def put(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        for name, rows in (("main", batch.where(~side)), ("late", batch.where(side))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+        batch.unpersist()
 
-    return deliveries.groupBy("session_id", "agent_id").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+    return outcomes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
 class LiveStreams:
