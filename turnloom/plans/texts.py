@@ -131,13 +131,6 @@ def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "p.content", "p.reasoning")
 
 
-def json_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    one = F.concat(F.lit('{"a": ['), F.col("n_chars").cast("string"), F.lit("]}"))
-    two = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('{"a": ['), F.col("n_chars").cast("string"), F.lit(".0]}"))).otherwise(F.lit('{"a": [true]}'))
-    return d.select("doc_id", completion.same_json_text(one, two).alias("same"))
-
-
 def raw_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of token ids as raw JSON, good and bad."""
     kinds = F.array(*[F.lit(x) for x in ("[1, 2]", "[true]", "[-1]", "[1.0]", "null", "[]", '["3"]', "[1, 1e400]")])
@@ -298,7 +291,7 @@ def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"tool_calls_{d}": _calls(d) for d in CASES} | {
     "harmony_ids": harmony_ids, "live_streams": live_streams, "wire_responses": wire_responses, "record_types": record_types, "session_identity": session_identity, "chat_renders": chat_renders,
-    "tool_calls_llama3_json": bare_calls, "cleaned_texts": cleaned_texts, "json_equality": json_equality, "raw_token_ids": raw_token_ids, "turn_gaps": turn_gaps, "implicit_prefixes": implicit_prefixes,
+    "tool_calls_llama3_json": bare_calls, "cleaned_texts": cleaned_texts, "raw_token_ids": raw_token_ids, "turn_gaps": turn_gaps, "implicit_prefixes": implicit_prefixes,
     "sampled_headers": sampled_headers, "capture_fold": capture_fold, "capture_pack": capture_pack, "recorded_deliveries": recorded, "chat_responses": chat_responses, "event_streams": event_streams, "snapshots": snapshots,
 }
 
@@ -360,7 +353,6 @@ ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
         SELECT session_id, sha256('{{"session_id":"' || session_id || '","turns":[' || whole || '],"segment_routed_experts":null}}') AS full_sha, sha256('{{"session_id":"' || session_id || '","turns":[' || lean || ']}}') AS lean_sha FROM j""",
     "tool_calls_llama3_json": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'plain ' || source END AS content, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_calls, CASE WHEN doc_id % 2 = 0 THEN '{"n": ' || n_chars || '}' END AS arguments FROM documents""",
     "cleaned_texts": "SELECT doc_id, source AS content, lang AS reasoning FROM documents",
-    "json_equality": "SELECT doc_id, doc_id % 3 = 0 AS same FROM documents",
     "raw_token_ids": "SELECT doc_id, doc_id % 8 IN (0, 5) AS ok FROM documents",
     "turn_gaps": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '9' WHEN 2 THEN '8,9' WHEN 5 THEN '8,9' ELSE '7,8,9' END AS gap FROM documents",
     "implicit_prefixes": "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN NULL ELSE CASE doc_id % 4 WHEN 0 THEN '100' WHEN 1 THEN '100,101' WHEN 2 THEN '100,101,102' ELSE '100,101,102,103' END END AS prefix FROM documents",
