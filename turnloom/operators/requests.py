@@ -6,11 +6,6 @@ _REQUESTS = """(SELECT event_id, user_id, event_type, CAST(@json(props, '$.k') A
 _EFFORTS = "(SELECT 'profile_a' AS profile, 'low' AS effort, FALSE AS fallback UNION ALL SELECT 'profile_a', 'high', TRUE UNION ALL SELECT 'profile_b', 'low', TRUE) e"
 
 QUERIES = {
-    "chat_request_checks": f"""
-        SELECT event_id, CASE WHEN NOT has_model THEN 'model' WHEN NOT has_messages THEN 'messages' WHEN extra_field = 'n' THEN 'unsupported' WHEN extra_field IS NOT NULL THEN 'unknown' ELSE 'ok' END AS verdict
-        FROM {_REQUESTS}""",
-    "unknown_fields": f"SELECT extra_field, count(*) AS n_requests FROM {_REQUESTS} WHERE extra_field IS NOT NULL AND extra_field NOT IN ('model', 'messages', 'n') GROUP BY extra_field",
-    "generation_parameters": f"SELECT event_id, k > 0 AS max_tokens_ok, value >= 0 AND value = floor(value) AS stop_id_ok FROM {_REQUESTS}",
     # ranges of the seven sampling keys
     "sampling_ranges": f"""
         SELECT event_id, (top_k = -1 OR top_k >= 1) AND top_p > 0 AND top_p <= 1 AND min_p >= 0 AND min_p <= 1 AND temperature >= 0 AND repetition_penalty > 0 AND presence_penalty BETWEEN -2 AND 2 AND frequency_penalty BETWEEN -2 AND 2 AS ok
