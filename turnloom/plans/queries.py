@@ -6,7 +6,7 @@ from functools import wraps
 
 from turnloom.functions import scalars
 from turnloom.operators import lookups, ordered, requests, training, validation, windows
-from turnloom.plans import histories, request_bodies, texts
+from turnloom.plans import histories, request_bodies, sessions, texts
 from turnloom.plans.registry import for_duck, query
 from turnloom.ship import ship
 from turnloom.streaming import continuation, history
@@ -25,7 +25,7 @@ def _shipped(run):
     return call
 
 
-QUERIES = {name: query(sql) for name, sql in SQL.items()} | ordered.QUERIES | training.QUERIES | histories.QUERIES | request_bodies.QUERIES | {name: _shipped(run) for name, run in (texts.QUERIES | continuation.QUERIES).items()}
+QUERIES = {name: query(sql) for name, sql in SQL.items()} | ordered.QUERIES | training.QUERIES | histories.QUERIES | request_bodies.QUERIES | sessions.QUERIES | {name: _shipped(run) for name, run in (texts.QUERIES | continuation.QUERIES).items()}
 #: Where there is another formulation for DuckDB, it takes the place of the shared one.
 OWN = scalars.ORACLES | validation.ORACLES | lookups.ORACLES | windows.ORACLES | requests.ORACLES | history.ORACLES
-ORACLE = {name: for_duck(OWN.get(name, sql)) for name, sql in SQL.items()} | training.ORACLE | histories.ORACLE | request_bodies.ORACLE | texts.ORACLE | continuation.ORACLE
+ORACLE = {name: for_duck(OWN.get(name, sql)) for name, sql in SQL.items()} | training.ORACLE | histories.ORACLE | request_bodies.ORACLE | sessions.ORACLE | texts.ORACLE | continuation.ORACLE

@@ -212,26 +212,37 @@ def live_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorder.live_streams(uses)
 
 
-def chat_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    """Turns, and what a response takes: ids, contents with nulls and quotation marks, reasoning, none to two calls, usage."""
     t = adapter.turns(spark, sf_dir)
-    content, finish = F.concat(F.lit("turn "), F.col("conv_id").cast("string")), F.lit("stop")
-    body = records.response(content, F.col("n_prompt"), F.col("n_completion"), finish, F.lit("m"))
-    return t.select("conv_id", "tn", body.alias("body"))
+    call = lambda k: F.expr(f"named_struct('id', concat('c', tn, '-{k}'), 'name', 'look', 'arguments', concat('{{\"n\": ', conv_id, '}}'))")
+    calls = F.when(F.col("conv_id") % 5 == 1, F.array(call(0))).when(F.col("conv_id") % 5 == 2, F.array(call(0), call(1))).when(F.col("conv_id") % 5 == 3, F.slice(F.array(call(0)), 1, 0))
+    content = F.when(F.col("conv_id") % 4 != 1, F.concat(F.lit('turn "'), F.col("conv_id").cast("string"), F.lit('"')))
+    reasoning = F.when(F.col("tn") % 2 == 1, F.concat(F.lit("why "), "tn"))
+    return t, [F.concat(F.lit("chatcmpl-"), "conv_id", F.lit("-"), "tn"), F.col("conv_id") + 1700000000, F.lit("m"), content, reasoning, calls, F.when(F.size(calls) > 0, "tool_calls").otherwise(F.lit("stop")), F.col("n_prompt"), F.col("n_completion")]
+
+
+def chat_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, parts = _answers(spark, sf_dir)
+    return t.select("conv_id", "tn", records.response(*parts).alias("body"))
 
 
 def event_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = adapter.turns(spark, sf_dir)
-    lines = records.event_stream(F.concat(F.lit("turn "), F.col("conv_id").cast("string")), F.col("n_prompt"), F.col("n_completion"), F.lit("stop"))
-    return t.select("conv_id", "tn", F.posexplode(lines).alias("place", "line"))
+    t, parts = _answers(spark, sf_dir)
+    return t.select("conv_id", "tn", F.posexplode(records.event_stream(*parts)).alias("place", "line"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as JSON with and without log-probabilities, as digests."""
+    """Records as JSON with and without log-probabilities and captures, as digests; parsed views that are null, empty and full, captures of some sessions."""
     t = with_tokens(adapter.turns(spark, sf_dir))
-    turn = F.struct("turn_ordinal", "agent_id", "prompt_ids", "completion_ids", "completion_logprobs")
-    r = t.groupBy("session_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    r = r.select("session_id", F.struct("session_id", "turns", F.lit(None).cast("string").alias("segment_routed_experts")).alias("r"))
-    full, lean = records.snapshot(F.col("r"), True, True), records.snapshot(F.col("r"), False, False)
+    t = t.withColumn("content", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('said "'), "tn", F.lit('"')))).withColumn("reasoning_content", F.when(F.col("tn") % 2 == 0, F.lit(""))).withColumn("weight_version", F.when(F.col("conv_id") % 2 == 0, "7"))
+    t = t.withColumn("tool_calls", F.when(F.col("conv_id") % 4 == 1, F.array(F.struct(F.lit("c").alias("id"), F.lit("look").alias("name")))).when(F.col("conv_id") % 4 == 2, F.slice(F.array(F.struct(F.lit("c").alias("id"), F.lit("look").alias("name"))), 1, 0)))
+    fields = ["turn_ordinal", "agent_id", "prompt_ids", "completion_ids", "weight_version", "content", "reasoning_content", "tool_calls", "completion_logprobs"]
+    r = t.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when(a["turn_ordinal"] < b["turn_ordinal"], -1).otherwise(1)).alias("turns"), F.min("conv_id").alias("c"))
+    blob = F.create_map(F.lit("a0"), F.create_map(F.lit("0"), F.struct(F.lit("AQ==").alias("data"), F.lit(1).alias("rows"))))
+    held = F.when(F.col("c") % 8 == 0, blob).when(F.col("c") % 8 == 4, F.map_filter(blob, lambda k, _: k != "a0"))
+    r = r.select("session_id", F.struct("session_id", "turns", held.alias("segment_routed_experts")).alias("r"))
+    full, lean = records.snapshot(F.col("r"), fields, True, True), records.snapshot(F.col("r"), fields, False, False)
     return r.select("session_id", F.sha2(full, 256).alias("full_sha"), F.sha2(lean, 256).alias("lean_sha"))
 
 
@@ -296,6 +307,10 @@ QUERIES = {f"tool_calls_{d}": _calls(d) for d in CASES} | {
 }
 
 _USAGE = """'"usage":{"prompt_tokens":' || n_prompt || ',"completion_tokens":' || n_completion || ',"total_tokens":' || (n_prompt + n_completion) || '}}'"""
+_CONTENT = """CASE WHEN conv_id % 4 = 1 THEN 'null' ELSE '"turn \\"' || conv_id || '\\""' END"""
+_WHY = """CASE WHEN tn % 2 = 1 THEN ',"reasoning_content":"why ' || tn || '"' ELSE '' END"""
+_ONE = """'{@i@k"id":"c' || tn || '-@k","type":"function","function":{"name":"look","arguments":"{\\"n\\": ' || conv_id || '}"}}'"""
+_LISTED = f"""CASE conv_id % 5 WHEN 1 THEN ',"tool_calls":[' || {_ONE.replace("@k", "0")} || ']' WHEN 2 THEN ',"tool_calls":[' || {_ONE.replace("@k", "0")} || ',' || {_ONE.replace("@k", "1")} || ']' ELSE '' END"""
 ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
     "record_types": "SELECT doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_RECORD_ERRORS)) + " ELSE '' END AS errors FROM documents",
     "session_identity": f"""WITH {DUCK_TURNS}, t AS (SELECT session_id, min(conv_id) AS c FROM turns GROUP BY session_id)
@@ -347,10 +362,12 @@ ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
         SELECT session_id, agent_id, segment_index, CAST(last."rows" AS BIGINT) AS "rows", CAST(1 AS BIGINT) AS cols, CAST(last.accepted AS BIGINT) AS accepted, CAST(last.dropped AS BIGINT) AS dropped, sha256(last.data) AS data_sha
         FROM (SELECT session_id, agent_id, segment_index, arg_max(f, place) AS last FROM f GROUP BY session_id, agent_id, segment_index) q""",
     "snapshots": f"""WITH {DUCK_TURNS},
-        j AS (SELECT session_id, string_agg(head || '}}', ',' ORDER BY turn_ordinal) AS lean, string_agg(head || ',"completion_logprobs":[' || array_to_string(list_transform(c, lambda t: CAST(-(t % 16) / 16.0 AS VARCHAR)), ',') || ']}}', ',' ORDER BY turn_ordinal) AS whole
-            FROM (SELECT *, '{{"turn_ordinal":' || turn_ordinal || ',"agent_id":' || coalesce('"' || agent_id || '"', 'null') || ',"prompt_ids":[' || array_to_string(list_transform(p, lambda t: CAST(t AS VARCHAR)), ',') || '],"completion_ids":[' || array_to_string(list_transform(c, lambda t: CAST(t AS VARCHAR)), ',') || ']' AS head
-                FROM (SELECT *, CASE WHEN prompt = '' THEN [] ELSE list_transform(string_split(prompt, ''), lambda x: unicode(x)) END AS p, CASE WHEN completion = '' THEN [] ELSE list_transform(string_split(completion, ''), lambda x: unicode(x)) END AS c FROM turns) a) b GROUP BY session_id)
-        SELECT session_id, sha256('{{"session_id":"' || session_id || '","turns":[' || whole || '],"segment_routed_experts":null}}') AS full_sha, sha256('{{"session_id":"' || session_id || '","turns":[' || lean || ']}}') AS lean_sha FROM j""",
+        ids AS (SELECT *, CASE WHEN prompt = '' THEN [] ELSE list_transform(string_split(prompt, ''), lambda x: unicode(x)) END AS p, CASE WHEN completion = '' THEN [] ELSE list_transform(string_split(completion, ''), lambda x: unicode(x)) END AS c FROM turns),
+        j AS (SELECT session_id, turn_ordinal, conv_id, '{{"turn_ordinal":' || turn_ordinal || ',"agent_id":' || coalesce('"' || agent_id || '"', 'null') || ',"prompt_ids":[' || array_to_string(list_transform(p, lambda t: CAST(t AS VARCHAR)), ',') || '],"completion_ids":[' || array_to_string(list_transform(c, lambda t: CAST(t AS VARCHAR)), ',') || ']'
+            || CASE WHEN conv_id % 2 = 0 THEN ',"weight_version":"7"' ELSE ',"weight_version":null' END || CASE WHEN conv_id % 3 = 0 THEN ',"content":"said \\"' || tn || '\\""' ELSE '' END || CASE WHEN tn % 2 = 0 THEN ',"reasoning_content":""' ELSE '' END
+            || CASE conv_id % 4 WHEN 1 THEN ',"tool_calls":[{{"id":"c","name":"look"}}]' WHEN 2 THEN ',"tool_calls":[]' ELSE '' END AS lean, ',"completion_logprobs":[' || array_to_string(list_transform(c, lambda t: CAST(-(t % 16) / 16.0 AS VARCHAR)), ',') || ']' AS more FROM ids),
+        g AS (SELECT session_id, min(conv_id) AS c, string_agg(lean || '}}', ',' ORDER BY turn_ordinal) AS lean, string_agg(lean || more || '}}', ',' ORDER BY turn_ordinal) AS whole FROM j GROUP BY session_id)
+        SELECT session_id, sha256('{{"session_id":"' || session_id || '","turns":[' || whole || ']' || CASE WHEN c % 8 = 0 THEN ',"segment_routed_experts":{{"a0":{{"0":{{"data":"AQ==","rows":1}}}}}}' ELSE '' END || '}}') AS full_sha, sha256('{{"session_id":"' || session_id || '","turns":[' || lean || ']}}') AS lean_sha FROM g""",
     "tool_calls_llama3_json": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'plain ' || source END AS content, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_calls, CASE WHEN doc_id % 2 = 0 THEN '{"n": ' || n_chars || '}' END AS arguments FROM documents""",
     "cleaned_texts": "SELECT doc_id, source AS content, lang AS reasoning FROM documents",
     "raw_token_ids": "SELECT doc_id, doc_id % 8 IN (0, 5) AS ok FROM documents",
@@ -359,7 +376,9 @@ ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
     "sampled_headers": "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN CASE WHEN doc_id % 3 = 0 THEN '50,6' ELSE '40,41,6' END WHEN doc_id % 3 = 0 THEN NULL ELSE '6' END AS delta FROM documents",
     "capture_pack": """SELECT vec_id, CASE WHEN fits THEN CAST(2 AS BIGINT) END AS "rows", CASE WHEN fits THEN CAST(n / 2 AS BIGINT) END AS cols, CASE WHEN fits THEN bytes END AS bytes
         FROM (SELECT vec_id, vec_id % 9 <> 4 AS fits, count(*) AS n, string_agg(printf('%02x', CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 1) * 128))) AS INTEGER)), '' ORDER BY i) AS bytes FROM embeddings, unnest(generate_series(1, len(embedding))) AS g(i) GROUP BY vec_id) q""",
-    "chat_responses": f"""WITH {DUCK_TURNS} SELECT conv_id, tn, '{{"object":"chat.completion","model":"m","choices":[{{"index":0,"message":{{"role":"assistant","content":"turn ' || conv_id || '"}},"finish_reason":"stop"}}],' || {_USAGE} AS body FROM turns""",
-    "event_streams": f"""WITH {DUCK_TURNS} SELECT conv_id, tn, 0 AS place, 'data: {{"choices":[{{"index":0,"delta":{{"role":"assistant","content":"turn ' || conv_id || '"}}}}]}}' AS line FROM turns
-        UNION ALL SELECT conv_id, tn, 1, 'data: {{"choices":[{{"index":0,"finish_reason":"stop"}}],' || {_USAGE} FROM turns UNION ALL SELECT conv_id, tn, 2, 'data: [DONE]' FROM turns""",
+    "chat_responses": f"""WITH {DUCK_TURNS} SELECT conv_id, tn, '{{"id":"chatcmpl-' || conv_id || '-' || tn || '","object":"chat.completion","created":' || (1700000000 + conv_id) || ',"model":"m","choices":[{{"index":0,"message":{{"role":"assistant","content":' || {_CONTENT} || {_LISTED.replace("@i0", "").replace("@i1", "")} || {_WHY}
+        || '}},"finish_reason":"' || CASE WHEN conv_id % 5 IN (1, 2) THEN 'tool_calls' ELSE 'stop' END || '"}}],' || {_USAGE} AS body FROM turns""",
+    "event_streams": f"""WITH {DUCK_TURNS}, b AS (SELECT *, 'data: {{"id":"chatcmpl-' || conv_id || '-' || tn || '","object":"chat.completion.chunk","created":' || (1700000000 + conv_id) || ',"model":"m","choices":[{{"index":0,"delta":{{' AS head FROM turns)
+        SELECT conv_id, tn, 0 AS place, head || '"role":"assistant","content":' || {_CONTENT} || {_WHY} || {_LISTED.replace("@i0", '"index":0,').replace("@i1", '"index":1,')} || '}},"finish_reason":null}}]}}' AS line FROM b
+        UNION ALL SELECT conv_id, tn, 1, head || '}},"finish_reason":"' || CASE WHEN conv_id % 5 IN (1, 2) THEN 'tool_calls' ELSE 'stop' END || '"}}],' || {_USAGE} FROM b UNION ALL SELECT conv_id, tn, 2, 'data: [DONE]' FROM b""",
 }

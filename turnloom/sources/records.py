@@ -8,6 +8,8 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.sources.objects import json_list, json_object
+
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """session_id and raw JSON text of one record a file; types are checked before any cast."""
@@ -92,25 +94,46 @@ def session_log(spark: SparkSession, path: str, run: str, session: str) -> DataF
     return d.where((F.col("run_ts") == run) & (F.col("session_id") == session)).select("line")
 
 
-def response(content: Column, n_prompt: Column, n_completion: Column, finish: Column, model: Column) -> Column:
-    """A chat response as compact JSON."""
-    message = F.struct(F.lit("assistant").alias("role"), content.alias("content"))
-    usage = F.struct(n_prompt.alias("prompt_tokens"), n_completion.alias("completion_tokens"), (n_prompt + n_completion).alias("total_tokens"))
-    choice = F.struct(F.lit(0).alias("index"), message.alias("message"), finish.alias("finish_reason"))
-    return F.to_json(F.struct(F.lit("chat.completion").alias("object"), model.alias("model"), F.array(choice).alias("choices"), usage.alias("usage")), {"ignoreNullFields": "false"})
+def usage(n_prompt: Column, n_completion: Column) -> Column:
+    return json_object({"prompt_tokens": n_prompt, "completion_tokens": n_completion, "total_tokens": n_prompt + n_completion})
+
+
+def _calls(calls: Column, indexed: bool = False) -> Column:
+    """Calls (structs of id, name, arguments) as a JSON list, null where there are none; indexed: with their places."""
+    function = lambda c: json_object({"name": c["name"], "arguments": c["arguments"]})
+    one = lambda c, i: json_object(({"index": i} if indexed else {}) | {"id": c["id"], "type": F.lit("function"), "function": function(c)}, raw=("function",))
+    return F.when(F.size(calls) > 0, json_list(F.transform(calls, one)))
+
+
+def response(id: Column, created: Column, model: Column, content: Column, reasoning: Column, calls: Column, finish: Column, n_prompt: Column, n_completion: Column) -> Column:
+    """A chat response as compact JSON: a null content stays, missing reasoning and calls go; calls: structs of id, name, arguments."""
+    message = json_object({"role": F.lit("assistant"), "content": content, "tool_calls": _calls(calls), "reasoning_content": reasoning}, ("tool_calls", "reasoning_content"), ("tool_calls",))
+    choice = json_object({"index": F.lit(0), "message": message, "finish_reason": finish}, raw=("message",))
+    return json_object({"id": id, "object": F.lit("chat.completion"), "created": created, "model": model, "choices": json_list(F.array(choice)), "usage": usage(n_prompt, n_completion)}, raw=("choices", "usage"))
 
 
-def event_stream(content: Column, n_prompt: Column, n_completion: Column, finish: Column) -> Column:
-    """The three lines of a streamed response: delta, finish with usage, end."""
-    delta = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("delta"))).alias("choices")))
-    usage = F.struct(n_prompt.alias("prompt_tokens"), n_completion.alias("completion_tokens"), (n_prompt + n_completion).alias("total_tokens"))
-    last = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), finish.alias("finish_reason"))).alias("choices"), usage.alias("usage")))
-    return F.array(*[F.concat(F.lit("data: "), x) for x in (delta, last, F.lit("[DONE]"))])
+def event_stream(id: Column, created: Column, model: Column, content: Column, reasoning: Column, calls: Column, finish: Column, n_prompt: Column, n_completion: Column) -> Column:
+    """The three lines of a streamed response: all of the message with indexed calls, finish with usage, end."""
+    delta = json_object({"role": F.lit("assistant"), "content": content, "reasoning_content": reasoning, "tool_calls": _calls(calls, True)}, ("reasoning_content", "tool_calls"), ("tool_calls",))
+    base = {"id": id, "object": F.lit("chat.completion.chunk"), "created": created, "model": model}
+    choice = lambda d, f: json_list(F.array(json_object({"index": F.lit(0), "delta": d, "finish_reason": f}, raw=("delta",))))
+    first = json_object(base | {"choices": choice(delta, F.lit(None).cast("string"))}, raw=("choices",))
+    last = json_object(base | {"choices": choice(F.lit("{}"), finish), "usage": usage(n_prompt, n_completion)}, raw=("choices", "usage"))
+    return F.array(*[F.concat(F.lit("data: "), x) for x in (first, last, F.lit("[DONE]"))])
 
 
-def snapshot(record: Column, captures: bool, logprobs: bool) -> Column:
-    """A record struct as JSON; empty captures go, logprobs only if asked for, null fields stay."""
-    out = record if captures else record.dropFields("segment_routed_experts")
-    if not logprobs:
-        out = out.withField("turns", F.transform(out["turns"], lambda t: t.dropFields("completion_logprobs")))
-    return F.to_json(out, {"ignoreNullFields": "false"})
+#: What a turn says as a parser read it: these keys go where they are null, all others stay.
+PARSED = ("content", "reasoning_content", "tool_calls")
+
+
+def snapshot(record: Column, turn_fields: list[str], captures: bool, logprobs: bool) -> Column:
+    """A record (struct of session_id, turns, segment_routed_experts) as compact JSON.
+
+    turn_fields: the fields of its turns. Null parsed views go, and so do captures that are empty or not
+    asked for, and logprobs that are not; other nulls and empty lists stay.
+    """
+    names = [c for c in turn_fields if logprobs or c != "completion_logprobs"]
+    turns = F.transform(record["turns"], lambda t: json_object({c: t[c] for c in names}, PARSED))
+    held = record["segment_routed_experts"]
+    fields = {"session_id": record["session_id"], "turns": json_list(turns)} | ({"segment_routed_experts": F.when(F.size(held) > 0, held)} if captures else {})
+    return json_object(fields, ("segment_routed_experts",), ("turns",))
