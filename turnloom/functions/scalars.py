@@ -47,12 +47,6 @@ QUERIES = {
     "sampling_matches": "SELECT event_id, top_k = 5 AND temperature = 1 AS matches FROM (SELECT event_id, CAST(@json(props, '$.k') AS BIGINT) AS top_k, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS temperature FROM events) q",
     # digest of a canonical serialisation, compared with the one pinned first
     "fingerprints": "SELECT source, @sha(concat('{\"model\":\"', source, '\",\"n\":', CAST(count(*) AS @text), '}')) AS fingerprint FROM documents GROUP BY source",
-    # what a server reports against the local tokenizer: another model, another protocol, another fingerprint or no pin refuse, in this order
-    "fingerprint_agreement": """
-        SELECT l.doc_id, CASE WHEN coalesce(r.model, '') <> l.model THEN 'model' WHEN coalesce(r.algorithm, '') <> l.algorithm OR coalesce(r.corpus, '') <> l.corpus THEN 'protocol' WHEN coalesce(r.fingerprint, '') <> l.fingerprint THEN 'fingerprint' WHEN coalesce(r.pin, '') = '' THEN 'pin' ELSE 'ok' END AS verdict
-        FROM (SELECT doc_id, source AS model, 'v1' AS algorithm, 'c0' AS corpus, @sha(concat(source, lang)) AS fingerprint FROM documents) l
-        LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN lang ELSE source END AS model, CASE WHEN doc_id % 7 = 1 THEN 'v0' WHEN doc_id % 13 <> 2 THEN 'v1' END AS algorithm, CASE WHEN doc_id % 17 = 3 THEN 'c1' ELSE 'c0' END AS corpus,
-            @sha(concat(CASE WHEN doc_id % 5 = 4 THEN lang ELSE source END, lang)) AS fingerprint, CASE doc_id % 19 WHEN 5 THEN '' WHEN 6 THEN NULL ELSE 'pin' END AS pin FROM documents WHERE doc_id % 23 <> 0) r ON l.doc_id = r.doc_id""",
 }
 
 _EDGE = "[\\x09-\\x0D\\x1C-\\x1F\\x85\\p{Z}]+"
