@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from turnloom.functions import tokens
-from turnloom.operators import captures, training
+from turnloom.operators import captures, ordered, training
 from turnloom.plans import texts
 from turnloom.sources import adapter, records
 from turnloom.streaming import recorder
@@ -81,6 +81,87 @@ def test_fold(spark):
     assert (r.rows, r.accepted, r.dropped, base64.b64decode(r.data)) == (5, 3, 2, bytes(range(5)))
 
 
+def test_chunks_and_ranges(spark):
+    """Chunks hold the fold's bytes, and a range is cut out of them as out of one blob; columns are two wide, keys can be null."""
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for seg in range(6):
+        stored, n = None, 0
+        for i in range(30):
+            k = rnd.randrange(1, 5)
+            data = bytes(rnd.randrange(256) for _ in range(2 * k))
+            start = rnd.choice([n] * 6 + [0, n + 1])
+            rows.append(("s", None if seg % 2 else "a", seg, i, base64.b64encode(data).decode(), k, 2, start))
+            if stored is not None and start > 0 and start == n:
+                stored, n = stored + data, n + k
+            elif start == 0 and (stored is None or k >= n):
+                stored, n = data, k
+        want[seg] = stored
+    d = spark.createDataFrame(rows, "session_id string, agent_id string, segment_index bigint, ordinal bigint, data string, rows bigint, cols bigint, start bigint").repartition(5)
+    assert {r.segment_index: base64.b64decode(r.data) for r in captures.fold(d).collect()} == want
+    pieces = captures.chunks(d).cache()
+    for low, high in ((0, 10**6), (0, 1), (3, 9), (20, 21), (10**5, 10**6)):
+        got = {}
+        for r in sorted(captures.rows_between(pieces, F.lit(low), F.lit(high)).collect(), key=lambda r: (r.segment_index, r.first)):
+            assert len(r.bytes) == 2 * r.rows and r.first >= low
+            got[r.segment_index] = got.get(r.segment_index, b"") + bytes(r.bytes)
+        assert got == {k: v[2 * low : 2 * high] for k, v in want.items() if v[2 * low : 2 * high]}
+
+
+def test_endpoints_of_lifetimes(spark):
+    """Against a fold over one list, with streams bound again after a release."""
+    rnd = random.Random(8)
+    log = [(rnd.choice("abcdefg"), i * 3, rnd.choice(["use", "use", "use", "release"])) for i in range(500)]
+    held, dealt, want = {}, 0, {}
+    for stream, i, kind in log:
+        if kind == "release":
+            held.pop(stream, None)
+            continue
+        if stream not in held:
+            held[stream], dealt = dealt % 4, dealt + 1
+        want[i] = held[stream]
+    got = {r.ordinal: r.endpoint for r in ordered.bound(spark.createDataFrame(log, "stream string, ordinal bigint, kind string").repartition(7), 4, buckets=16).collect()}
+    assert got == want
+
+
+def test_snapshot_table(spark, tmp_path):
+    """A repeated batch changes nothing; compactions keep what came between; readers see whole states."""
+    from turnloom.sources.snapshot_sink import SnapshotTable
+
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    rows = lambda *r: spark.createDataFrame(list(r), "session_id string, version bigint, payload string")
+    state = lambda: {r.session_id: (r.version, r.payload) for r in t.read().collect()}
+    assert state() == {} and not t.compact()
+    assert t.add(rows(("a", 1, "x"), ("a", 2, "y"), ("b", 5, "z")), 0) and not t.add(rows(("a", 9, "twice")), 0)
+    assert t.add(rows(("a", 1, "late"), ("c", 1, "n")), 1) and state() == {"a": (2, "y"), "b": (5, "z"), "c": (1, "n")}
+    before = t.read()
+    # a batch that comes while the compaction writes
+    whole, put = t._written, []
+    t._written = lambda d, kind: (whole(d, kind), put or put.append(t.add(rows(("b", 6, "new")), 2)))[0] if kind == "whole" else whole(d, kind)
+    assert t.compact() and len(t.state()[1]["folders"]) == 2 and put == [True]
+    assert state() == {"a": (2, "y"), "b": (6, "new"), "c": (1, "n")} and before.count() == 3 and not t.add(rows(("a", 9, "again")), 2)
+    assert t.clean(1) == 2 and state() == {"a": (2, "y"), "b": (6, "new"), "c": (1, "n")}
+    # a manifest that a lost writer left empty is passed over
+    (tmp_path / "t" / "manifests" / "000000000099.json").write_text("")
+    assert t.state()[0] == 3 and state()["b"] == (6, "new")
+
+
+def test_snapshot_stream(spark, tmp_path):
+    from turnloom.sources.snapshot_sink import SCHEMA, SnapshotTable
+
+    t, src, at = SnapshotTable(spark, str(tmp_path / "t")), str(tmp_path / "in"), str(tmp_path / "at")
+    run = lambda: t.stream(spark.readStream.schema(SCHEMA).parquet(src), at).trigger(availableNow=True).start().awaitTermination(60)
+    for i in range(3):
+        spark.createDataFrame([("a", i, f"p{i}"), (f"s{i}", 1, "q")], SCHEMA).write.mode("append").parquet(src)
+        assert run()
+    want = {"a": (2, "p2"), "s0": (1, "q"), "s1": (1, "q"), "s2": (1, "q")}
+    assert {r.session_id: (r.version, r.payload) for r in t.read().collect()} == want
+    for name in ("2", ".2.crc"):  # as if the driver was lost after the sink's commit and ahead of the stream's
+        (tmp_path / "at" / "commits" / name).unlink()
+    folders = t.state()[1]["folders"]
+    assert run() and t.state()[1]["folders"] == folders and {r.session_id: (r.version, r.payload) for r in t.read().collect()} == want
+
+
 def event(session, ordinal, kind, agent=None, segment=0, messages=1, prompt=1, completion=1, purpose="primary", ts=None, text="x", m="m", p="p"):
     return recorder.Event(session, ordinal, ordinal * 1000 if ts is None else ts, kind, agent, segment, purpose, messages, m, prompt, p, completion, text)
 

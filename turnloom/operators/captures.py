@@ -71,23 +71,47 @@ def pack_npy(encoded: Column, n_prompt: Column, n_completion: Column, start: Col
 KEYS = ["session_id", "agent_id", "segment_index"]
 
 
-def fold(blobs: DataFrame) -> DataFrame:
-    """One capture a segment from blobs (keys, ordinal, data, rows, cols, start) in order of ordinals.
+_START = "named_struct('rows', 0L, 'cols', 0L, 'kept', CAST(NULL AS array<struct<ordinal:bigint,first:bigint>>), 'accepted', 0L, 'dropped', 0L)"
+#: What becomes of the stored sizes s with the next blob x: extended, replaced, or left as they are.
+_STEP = """CASE WHEN s.kept IS NOT NULL AND x.start > 0 AND x.start = s.rows AND x.cols = s.cols
+        THEN named_struct('rows', s.rows + x.rows, 'cols', s.cols, 'kept', concat(s.kept, array(named_struct('ordinal', x.ordinal, 'first', s.rows))), 'accepted', s.accepted + 1L, 'dropped', s.dropped)
+    WHEN x.start = 0 AND (s.kept IS NULL OR x.rows >= s.rows)
+        THEN named_struct('rows', x.rows, 'cols', x.cols, 'kept', array(named_struct('ordinal', x.ordinal, 'first', 0L)), 'accepted', s.accepted + 1L, 'dropped', s.dropped)
+    ELSE named_struct('rows', s.rows, 'cols', s.cols, 'kept', s.kept, 'accepted', s.accepted, 'dropped', s.dropped + 1L) END"""
+
+
+def extents(blobs: DataFrame) -> DataFrame:
+    """Per segment: rows, cols, accepted, dropped and kept (ordinal and first row of each blob that counts).
 
-    A delta that starts where the stored rows end, with the same columns, is appended; a blob
-    from row 0 with at least as many rows replaces; others are dropped. The fold runs over the
-    blobs' sizes; the data of those kept are joined once. One row is one segment's capture,
-    so its size is bounded by the segment's tokens.
+    A delta that starts where the stored rows end, with the same columns, is appended; a blob from row 0
+    with at least as many rows replaces; others are dropped. Only sizes are folded, in order of ordinals.
     """
-    piece = F.struct("ordinal", "rows", "cols", "start", F.unbase64("data").alias("data"))
+    piece = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("ordinal", "rows", "cols", "start")])
     g = blobs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    start = "named_struct('rows', 0L, 'cols', 0L, 'kept', CAST(NULL AS array<int>), 'accepted', 0L, 'dropped', 0L)"
-    step = """CASE WHEN s.kept IS NOT NULL AND x.start > 0 AND x.start = s.rows AND x.cols = s.cols
-            THEN named_struct('rows', s.rows + x.rows, 'cols', s.cols, 'kept', concat(s.kept, array(i)), 'accepted', s.accepted + 1L, 'dropped', s.dropped)
-        WHEN x.start = 0 AND (s.kept IS NULL OR x.rows >= s.rows)
-            THEN named_struct('rows', x.rows, 'cols', x.cols, 'kept', array(i), 'accepted', s.accepted + 1L, 'dropped', s.dropped)
-        ELSE named_struct('rows', s.rows, 'cols', s.cols, 'kept', s.kept, 'accepted', s.accepted, 'dropped', s.dropped + 1L) END"""
-    state = F.expr(f"aggregate(sequence(0, size(pieces) - 1), {start}, (s, i) -> transform(array(pieces[i]), x -> {step})[0])")
-    g = g.withColumn("s", state)
-    data = F.base64(F.unhex(F.array_join(F.transform("s.kept", lambda i: F.hex(F.get("pieces", i)["data"])), "")))
-    return g.select(*KEYS, data.alias("data"), "s.rows", "s.cols", "s.accepted", "s.dropped")
+    return g.withColumn("s", F.expr(f"aggregate(pieces, {_START}, (s, x) -> {_STEP})")).select(*KEYS, "s.rows", "s.cols", "s.accepted", "s.dropped", "s.kept")
+
+
+def chunks(blobs: DataFrame) -> DataFrame:
+    """The captures of all segments as chunks (keys, chunk, first row, rows, cols, bytes): one row a blob that counts, whatever a segment's length."""
+    e = extents(blobs).select(*[F.col(k).alias(f"__{k}") for k in KEYS], F.posexplode("kept").alias("chunk", "k"))
+    same = [blobs[k].eqNullSafe(e[f"__{k}"]) for k in KEYS]
+    d = blobs.join(e, [*same, blobs["ordinal"] == e["k.ordinal"]])
+    return d.select(*[blobs[k] for k in KEYS], "chunk", F.col("k.first").alias("first"), blobs["rows"].cast("bigint").alias("rows"), blobs["cols"].cast("bigint").alias("cols"), F.unbase64(blobs["data"]).alias("bytes"))
+
+
+def rows_between(pieces: DataFrame, low: Column, high: Column) -> DataFrame:
+    """chunks cut to the rows from low up to high (without it); chunks outside go, and a filter on first and rows can reach a scan."""
+    begin, end = F.greatest(low.cast("bigint"), F.col("first")), F.least(high.cast("bigint"), F.col("first") + F.col("rows"))
+    d = pieces.withColumns({"__a": begin, "__b": end}).where("__a < __b")
+    cut = F.substring(F.col("bytes"), (F.col("__a") - F.col("first")) * F.col("cols") + 1, (F.col("__b") - F.col("__a")) * F.col("cols"))
+    return d.select(*KEYS, "chunk", F.col("__a").alias("first"), (F.col("__b") - F.col("__a")).alias("rows"), "cols", cut.alias("bytes"))
+
+
+def fold(blobs: DataFrame) -> DataFrame:
+    """One capture a segment as one blob, with its rows, cols, and how many blobs were accepted and dropped. Where a segment
+    can be long, chunks() gives the same bytes in rows of the blobs' size."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "bytes"))), lambda x: F.hex(x["bytes"])), "")
+    data = chunks(blobs).groupBy(*KEYS).agg(F.base64(F.unhex(whole)).alias("data"))
+    e = extents(blobs).drop("kept").withColumnsRenamed({k: f"__{k}" for k in KEYS})
+    d = data.join(e, [data[k].eqNullSafe(e[f"__{k}"]) for k in KEYS], "right")
+    return d.select(*[F.col(f"__{k}").alias(k) for k in KEYS], "data", "rows", "cols", "accepted", "dropped")

@@ -17,12 +17,19 @@ from turnloom.sources import adapter
 BUCKETS = 256
 
 
-def bucket_of(value: Column, cuts: list, first: int = 0) -> Column:
-    """How many of the sorted cuts are at most value, by bisection; null counts as before all."""
+def bucket_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most an integer, by bisection in one constant array; null counts as before all."""
     if not cuts:
-        return F.lit(first).cast("bigint")
-    mid = len(cuts) // 2
-    return F.when(value >= F.lit(cuts[mid]), bucket_of(value, cuts[mid + 1 :], first + mid + 1)).otherwise(bucket_of(value, cuts[:mid], first))
+        return F.lit(0).cast("bigint")
+    array = F.expr(f"array({', '.join(f'{c}L' for c in cuts)})")
+
+    def halved(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        up = F.get(array, mid) <= value
+        return F.when(a["lo"] >= a["hi"], a).when(up, F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), mid.alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halved)["lo"].cast("bigint")
 
 
 def bucketed(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
@@ -61,6 +68,25 @@ def policy_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", F.when(F.col("pushed") != 0, F.col("pushed")).alias("top_k"))
 
 
+def bound(events: DataFrame, endpoints: int, buckets: int = BUCKETS) -> DataFrame:
+    """events (stream, ordinal, kind: use or release) that are uses, with their lifetime and endpoint.
+
+    A stream keeps its endpoint from its first use until a release; then its next use is a first one again.
+    First uses are dealt over the endpoints in turn, in the one order of ordinals (unique integers).
+    """
+    before = Window.partitionBy("stream").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    d = events.select("stream", "ordinal", "kind").withColumn("lifetime", F.count_if(F.col("kind") == "release").over(before)).where("kind = 'use'")
+    first = d.groupBy("stream", "lifetime").agg(F.min("ordinal").alias("first"))
+    dealt = global_row_number(first, ["first"], buckets=buckets).select("stream", "lifetime", ((F.col("place") - 1) % endpoints).cast("bigint").alias("endpoint"))
+    return d.join(dealt, ["stream", "lifetime"]).select("stream", "ordinal", "lifetime", "endpoint")
+
+
+def endpoint_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as streams over three endpoints; an error releases its user's."""
+    e = adapter.read(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("ordinal"), F.when(F.col("event_type") == "error", "release").otherwise("use").alias("kind"))
+    return bound(e, 3)
+
+
 def sticky_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoints are dealt in turn by a stream's first use."""
     s = adapter.turns(spark, sf_dir).groupBy("session_id", "agent_id").agg(F.min("conv_id").alias("first_conv"))
@@ -68,4 +94,10 @@ def sticky_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("session_id", "agent_id", ((F.col("place") - 1) % 3).cast("bigint").alias("endpoint"))
 
 
-QUERIES = {"policy_in_force": policy_in_force, "sticky_endpoints": sticky_endpoints}
+QUERIES = {"policy_in_force": policy_in_force, "sticky_endpoints": sticky_endpoints, "endpoint_bindings": endpoint_bindings}
+#: A use belongs to the first use that no release of its stream stands between; those are counted one by one.
+ORACLE = {
+    "endpoint_bindings": """WITH u AS (SELECT user_id AS stream, event_id AS ordinal, (SELECT count(*) FROM events r WHERE r.user_id = e.user_id AND r.event_type = 'error' AND r.event_id < e.event_id) AS lifetime FROM events e WHERE event_type <> 'error'),
+        f AS (SELECT stream, lifetime, min(ordinal) AS first FROM u GROUP BY stream, lifetime), n AS (SELECT *, rank() OVER (ORDER BY first) - 1 AS nth FROM f)
+        SELECT u.stream, u.ordinal, u.lifetime, n.nth % 3 AS endpoint FROM u JOIN n ON n.stream = u.stream AND n.lifetime = u.lifetime""",
+}

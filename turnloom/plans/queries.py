@@ -28,4 +28,4 @@ def _shipped(run):
 QUERIES = {name: query(sql) for name, sql in SQL.items()} | ordered.QUERIES | training.QUERIES | histories.QUERIES | request_bodies.QUERIES | sessions.QUERIES | tokenizers.QUERIES | {name: _shipped(run) for name, run in (texts.QUERIES | continuation.QUERIES).items()}
 #: Where there is another formulation for DuckDB, it takes the place of the shared one.
 OWN = scalars.ORACLES | validation.ORACLES | lookups.ORACLES | windows.ORACLES | requests.ORACLES | history.ORACLES
-ORACLE = {name: for_duck(OWN.get(name, sql)) for name, sql in SQL.items()} | training.ORACLE | histories.ORACLE | request_bodies.ORACLE | sessions.ORACLE | tokenizers.ORACLE | texts.ORACLE | continuation.ORACLE
+ORACLE = {name: for_duck(OWN.get(name, sql)) for name, sql in SQL.items()} | ordered.ORACLE | training.ORACLE | histories.ORACLE | request_bodies.ORACLE | sessions.ORACLE | tokenizers.ORACLE | texts.ORACLE | continuation.ORACLE

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnloom.functions import completion, templates, tokens
 from turnloom.operators import captures
@@ -161,15 +162,23 @@ def sampled_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens.without_sampled_header(stream, delta, header), ",").alias("delta"))
 
 
-def capture_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures of every segment from one blob a turn, of its whole prompt and completion."""
+def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One blob a turn, of its whole prompt and completion; some start too late, and some are whole ones again."""
     t = adapter.turns(spark, sf_dir).withColumn("n", F.col("n_prompt") + F.col("n_completion"))
-    from pyspark.sql.window import Window
-
     before = F.coalesce(F.sum("n").over(Window.partitionBy("session_id", "agent_id", "segment_index").orderBy("turn_ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = before + F.when(F.col("conv_id") % 6 == 1, 1).otherwise(0)
-    blobs = t.select("session_id", "agent_id", "segment_index", F.col("turn_ordinal").alias("ordinal"), F.base64(F.concat("prompt", "completion").cast("binary")).alias("data"), F.col("n").alias("rows"), F.lit(1).cast("bigint").alias("cols"), F.when(before == 0, F.lit(0)).otherwise(start).cast("bigint").alias("start"))
-    return captures.fold(blobs).withColumn("data_sha", F.sha2(F.unbase64("data"), 256)).drop("data")
+    start = F.when((before == 0) | (F.col("conv_id") % 7 == 2), F.lit(0)).otherwise(before + F.when(F.col("conv_id") % 6 == 1, 1).otherwise(0))
+    return t.select("session_id", "agent_id", "segment_index", F.col("turn_ordinal").alias("ordinal"), F.base64(F.regexp_replace(F.concat("prompt", "completion"), "[^\\x00-\\x7F]", "?").cast("binary")).alias("data"), F.col("n").alias("rows"), F.lit(1).cast("bigint").alias("cols"), start.cast("bigint").alias("start"))
+
+
+def capture_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of every segment from one blob a turn."""
+    return captures.fold(_blobs(spark, sf_dir)).withColumn("data_sha", F.sha2(F.unbase64("data"), 256)).drop("data")
+
+
+def capture_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as chunks, cut to the rows from the 50th to the 400th of each segment."""
+    d = captures.rows_between(captures.chunks(_blobs(spark, sf_dir)), F.lit(50), F.lit(400))
+    return d.withColumn("data_sha", F.sha2("bytes", 256)).drop("bytes")
 
 
 def capture_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,10 +312,20 @@ def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f"tool_calls_{d}": _calls(d) for d in CASES} | {
     "harmony_ids": harmony_ids, "live_streams": live_streams, "wire_responses": wire_responses, "record_types": record_types, "session_identity": session_identity, "chat_renders": chat_renders,
     "tool_calls_llama3_json": bare_calls, "cleaned_texts": cleaned_texts, "raw_token_ids": raw_token_ids, "turn_gaps": turn_gaps, "implicit_prefixes": implicit_prefixes,
-    "sampled_headers": sampled_headers, "capture_fold": capture_fold, "capture_pack": capture_pack, "recorded_deliveries": recorded, "chat_responses": chat_responses, "event_streams": event_streams, "snapshots": snapshots,
+    "sampled_headers": sampled_headers, "capture_fold": capture_fold, "capture_chunks": capture_chunks, "capture_pack": capture_pack, "recorded_deliveries": recorded, "chat_responses": chat_responses, "event_streams": event_streams, "snapshots": snapshots,
 }
 
 _USAGE = """'"usage":{"prompt_tokens":' || n_prompt || ',"completion_tokens":' || n_completion || ',"total_tokens":' || (n_prompt + n_completion) || '}}'"""
+#: Blobs folded one after the other, with what is stored as one text and as places of blobs.
+_FOLDED = f"""WITH RECURSIVE {DUCK_TURNS},
+        t AS (SELECT *, n_prompt + n_completion AS n, sum(n_prompt + n_completion) OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) - n_prompt - n_completion AS before, row_number() OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) AS place FROM turns),
+        b AS (SELECT session_id, agent_id, segment_index, place, regexp_replace(prompt || completion, '[^\\x00-\\x7F]', '?', 'g') AS data, n, CASE WHEN before = 0 OR conv_id % 7 = 2 THEN 0 ELSE before + CASE WHEN conv_id % 6 = 1 THEN 1 ELSE 0 END END AS start FROM t),
+        f AS (SELECT session_id, agent_id, segment_index, place, data, n, [place] AS kept, 1 AS accepted, 0 AS dropped FROM b WHERE place = 1
+            UNION ALL SELECT session_id, agent_id, segment_index, place, CASE how WHEN 'add' THEN old || data WHEN 'new' THEN data ELSE old END, CASE how WHEN 'add' THEN stored + n WHEN 'new' THEN n ELSE stored END,
+                CASE how WHEN 'add' THEN list_append(kept, place) WHEN 'new' THEN [place] ELSE kept END, accepted + CASE WHEN how = '' THEN 0 ELSE 1 END, dropped + CASE WHEN how = '' THEN 1 ELSE 0 END
+            FROM (SELECT b.*, f.data AS old, f.n AS stored, f.kept, f.accepted, f.dropped, CASE WHEN b.start > 0 AND b.start = f.n THEN 'add' WHEN b.start = 0 AND b.n >= f.n THEN 'new' ELSE '' END AS how
+                FROM f JOIN b ON b.session_id = f.session_id AND b.agent_id IS NOT DISTINCT FROM f.agent_id AND b.segment_index = f.segment_index AND b.place = f.place + 1) q),
+        last_of AS (SELECT session_id, agent_id, segment_index, arg_max(f, place) AS last FROM f GROUP BY session_id, agent_id, segment_index)"""
 _CONTENT = """CASE WHEN conv_id % 4 = 1 THEN 'null' ELSE '"turn \\"' || conv_id || '\\""' END"""
 _WHY = """CASE WHEN tn % 2 = 1 THEN ',"reasoning_content":"why ' || tn || '"' ELSE '' END"""
 _ONE = """'{@i@k"id":"c' || tn || '-@k","type":"function","function":{"name":"look","arguments":"{\\"n\\": ' || conv_id || '}"}}'"""
@@ -351,16 +370,13 @@ ORACLE = {f"tool_calls_{d}": _expected(d) for d in CASES} | {
         UNION ALL SELECT session_id, agent_id, ordinal, kind, false, 'deleted', 0, 0, false, kind = 'turn', NULL FROM e WHERE late
         UNION ALL SELECT session_id, NULL, ordinal, kind, true, NULL, 0, 0, false, false, NULL FROM ctl WHERE kind = 'delete'
         UNION ALL SELECT s.session_id, NULL, s.ordinal, 'collect', known AND NOT coalesce(open, false), CASE WHEN NOT known THEN 'unknown' WHEN open THEN 'failed' END, 0, 0, false, false, CASE WHEN known AND NOT coalesce(open, false) THEN coalesce(recorded, '') END FROM seen s LEFT JOIN ends USING (session_id, ordinal)""",
-    "capture_fold": f"""WITH RECURSIVE {DUCK_TURNS},
-        t AS (SELECT *, n_prompt + n_completion AS n, sum(n_prompt + n_completion) OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) - n_prompt - n_completion AS before, row_number() OVER (PARTITION BY session_id, agent_id, segment_index ORDER BY turn_ordinal) AS place FROM turns),
-        b AS (SELECT session_id, agent_id, segment_index, place, prompt || completion AS data, n, CASE WHEN before = 0 THEN 0 ELSE before + CASE WHEN conv_id % 6 = 1 THEN 1 ELSE 0 END END AS start FROM t),
-        f AS (SELECT session_id, agent_id, segment_index, place, data, n AS "rows", 1 AS accepted, 0 AS dropped FROM b WHERE place = 1
-            UNION ALL SELECT b.session_id, b.agent_id, b.segment_index, b.place, CASE WHEN b.start > 0 AND b.start = f."rows" THEN f.data || b.data WHEN b.start = 0 AND b.n >= f."rows" THEN b.data ELSE f.data END,
-                CASE WHEN b.start > 0 AND b.start = f."rows" THEN f."rows" + b.n WHEN b.start = 0 AND b.n >= f."rows" THEN b.n ELSE f."rows" END,
-                f.accepted + CASE WHEN b.start > 0 AND b.start = f."rows" OR b.start = 0 AND b.n >= f."rows" THEN 1 ELSE 0 END, f.dropped + CASE WHEN b.start > 0 AND b.start = f."rows" OR b.start = 0 AND b.n >= f."rows" THEN 0 ELSE 1 END
-            FROM f JOIN b ON b.session_id = f.session_id AND b.agent_id IS NOT DISTINCT FROM f.agent_id AND b.segment_index = f.segment_index AND b.place = f.place + 1)
-        SELECT session_id, agent_id, segment_index, CAST(last."rows" AS BIGINT) AS "rows", CAST(1 AS BIGINT) AS cols, CAST(last.accepted AS BIGINT) AS accepted, CAST(last.dropped AS BIGINT) AS dropped, sha256(last.data) AS data_sha
-        FROM (SELECT session_id, agent_id, segment_index, arg_max(f, place) AS last FROM f GROUP BY session_id, agent_id, segment_index) q""",
+    "capture_fold": f"""{_FOLDED}
+        SELECT session_id, agent_id, segment_index, CAST(last.n AS BIGINT) AS "rows", CAST(1 AS BIGINT) AS cols, CAST(last.accepted AS BIGINT) AS accepted, CAST(last.dropped AS BIGINT) AS dropped, sha256(last.data) AS data_sha FROM last_of""",
+    "capture_chunks": f"""{_FOLDED},
+        k AS (SELECT session_id, agent_id, segment_index, unnest(last.kept) AS place, generate_subscripts(last.kept, 1) - 1 AS chunk FROM last_of),
+        p AS (SELECT k.*, b.data, b.n, sum(b.n) OVER (PARTITION BY k.session_id, k.agent_id, k.segment_index ORDER BY k.chunk) - b.n AS first FROM k JOIN b ON b.session_id = k.session_id AND b.agent_id IS NOT DISTINCT FROM k.agent_id AND b.segment_index = k.segment_index AND b.place = k.place),
+        c AS (SELECT *, greatest(first, 50) AS lo, least(first + n, 400) AS hi FROM p)
+        SELECT session_id, agent_id, segment_index, CAST(chunk AS INTEGER) AS chunk, CAST(lo AS BIGINT) AS first, CAST(hi - lo AS BIGINT) AS "rows", CAST(1 AS BIGINT) AS cols, sha256(substr(data, CAST(lo - first + 1 AS BIGINT), CAST(hi - lo AS BIGINT))) AS data_sha FROM c WHERE lo < hi""",
     "snapshots": f"""WITH {DUCK_TURNS},
         ids AS (SELECT *, CASE WHEN prompt = '' THEN [] ELSE list_transform(string_split(prompt, ''), lambda x: unicode(x)) END AS p, CASE WHEN completion = '' THEN [] ELSE list_transform(string_split(completion, ''), lambda x: unicode(x)) END AS c FROM turns),
         j AS (SELECT session_id, turn_ordinal, conv_id, '{{"turn_ordinal":' || turn_ordinal || ',"agent_id":' || coalesce('"' || agent_id || '"', 'null') || ',"prompt_ids":[' || array_to_string(list_transform(p, lambda t: CAST(t AS VARCHAR)), ',') || '],"completion_ids":[' || array_to_string(list_transform(c, lambda t: CAST(t AS VARCHAR)), ',') || ']'
