@@ -57,6 +57,8 @@ QUERIES = {
 
 #: SQL for DuckDB that says the same in another way.
 ORACLES = {
+    "tool_result_calls": """SELECT conv_id, turn, matched, CASE WHEN matched IS NULL THEN 'unmatched' WHEN conv_id % 5 = 0 AND (turn - 1) % 3 <> 0 THEN 'name' ELSE 'ok' END AS verdict
+        FROM (SELECT r.conv_id, r.turn, CASE WHEN a.role = 'assistant' AND (conv_id % 4 = 1 AND conv_id % 3 <> 0 OR conv_id % 4 <> 1 AND conv_id % 7 <> 0) THEN concat('c', r.turn - 1, '-0') END AS matched FROM conversations r LEFT JOIN conversations a USING (conv_id) WHERE r.role = 'user' AND r.turn > 0 AND a.turn = r.turn - 1) q""",
     "stop_ids": f"""SELECT event_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS stop_ids
         FROM (SELECT event_id, id, min(place) AS place FROM (SELECT event_id, unnest(list_concat(profile, request)) AS id, unnest(range(len(profile) + len(request))) AS place FROM {_STOPS.replace("array(", "list_value(")}) a GROUP BY event_id, id) b GROUP BY event_id""",
     "added_tokens": "SELECT a.source, a.lang, a.token_id, count(*) AS place FROM (SELECT source, lang, min(doc_id) AS token_id FROM documents GROUP BY source, lang) a JOIN (SELECT source, lang, min(doc_id) AS token_id FROM documents GROUP BY source, lang) b ON a.source = b.source AND b.token_id <= a.token_id GROUP BY a.source, a.lang, a.token_id",

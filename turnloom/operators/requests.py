@@ -34,4 +34,9 @@ QUERIES = {
 }
 
 #: SQL for DuckDB that says the same in another way.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    # the first of the refusals that hold, by their order
+    "refusal_precedence": f"""SELECT event_id, coalesce(list_filter([CASE WHEN user_id % 29 = 0 THEN 401 END, CASE WHEN event_id % 13 = 0 OR event_id % 11 = 0 THEN 400 END, CASE WHEN event_type = 'error' THEN 410 END, CASE WHEN k = 0 THEN 404 END, CASE WHEN event_id % 6 = 2 THEN 400 END, CASE WHEN event_type = 'signup' THEN 409 END], lambda x: x IS NOT NULL)[1], 200) AS status FROM {_REQUESTS}""",
+    "reasoning_efforts": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'invalid' WHEN 5 THEN 'ignored' ELSE 'default' END AS verdict FROM events",
+    "model_profiles": "SELECT doc_id, profile, profile IS NOT NULL AS known FROM (SELECT doc_id, CASE WHEN source IN ('src0', 'src2') THEN 'profile_a' WHEN source = 'src1' THEN CASE WHEN doc_id % 2 = 0 THEN 'profile_b' ELSE 'profile_c' END END AS profile FROM documents) q",
+}

@@ -94,6 +94,19 @@ _EACH = """SELECT session_id, turn_ordinal, n_completion, conv_id,
         list_filter([CASE WHEN conv_id % 31 = 7 THEN 'token_ids' END, CASE WHEN conv_id % 29 = 3 THEN 'purpose' END, CASE WHEN conv_id % 13 = 0 THEN 'logprobs' END, CASE WHEN conv_id % 37 = 2 THEN 'sampling' END], lambda x: x IS NOT NULL) AS failed FROM turns"""
 #: SQL for DuckDB that says the same in another way.
 ORACLES = {
+    "agent_roles": "SELECT session_id, agent_id, role, count(*) AS n_turns, role IS NOT NULL AS registered FROM (SELECT *, CASE coalesce(agent_id, '') WHEN 'a0' THEN 'planner' WHEN 'a1' THEN 'worker' WHEN '' THEN 'legacy' END AS role FROM turns) q GROUP BY session_id, agent_id, role",
+    "trial_results": """SELECT d.lang AS task_id, d.doc_id AS slot, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM labels) THEN 'missing' WHEN d.doc_id % 10 = 9 THEN 'unallocated' WHEN d.doc_id % 41 = 0 THEN 'wrong_attempt' WHEN d.doc_id % 43 = 0 THEN 'bad_score' ELSE 'ok' END AS verdict
+        FROM documents d WHERE d.doc_id % 10 <> 9 OR d.doc_id IN (SELECT doc_id FROM labels)""",
+    "stream_uniqueness": "SELECT session_id, agent_id, segment_index, CAST(2 AS BIGINT) AS n_streams FROM turns WHERE conv_id % 21 = 8 AND tn = 0",
+    "slot_difference": """SELECT 'missing' AS side, doc_id AS slot FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+        UNION ALL SELECT 'surplus', doc_id FROM labels l WHERE l.doc_id % 50 = 0 OR NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)""",
+    "capture_coverage": """SELECT DISTINCT session_id, agent_id, segment_index, n AS n_tokens, CASE WHEN coalesce(agent_id, '') <> 'a2' THEN n - 1 - CAST(segment_index = 1 AS BIGINT) END AS n_rows, coalesce(agent_id, '') <> 'a2' AND segment_index <> 1 AS covered
+        FROM (SELECT *, CAST(sum(n_prompt + n_completion) OVER (PARTITION BY session_id, agent_id, segment_index) AS BIGINT) AS n FROM turns) q WHERE n > 0""",
+    "orphan_captures": "SELECT session_id, agent_id, max(segment_index) + 1 AS segment_index FROM turns WHERE list_contains(['s1', 's3', 's7'], session_id) GROUP BY session_id, agent_id",
+    "token_alignment": """SELECT conv_id, tn, n_completion AS n_tokens, n_completion + CAST(conv_id % 12 = 5 AS BIGINT) AS n_logprobs, len(why) = 0 AS accepted, why[1] AS reason
+        FROM (SELECT *, list_filter([CASE WHEN n_completion = 0 THEN 'empty' END, CASE WHEN conv_id % 12 = 5 THEN 'length' END, CASE WHEN conv_id % 16 = 9 THEN 'token' END], lambda x: x IS NOT NULL) AS why FROM turns) q""",
+    "turns_by_agent": "SELECT DISTINCT session_id, agent_id, count(*) OVER (PARTITION BY session_id, agent_id) AS n_turns FROM turns",
+    "segment_lengths": "SELECT session_id, agent_id, segment_index, CAST(length(string_agg(prompt || completion, '')) AS BIGINT) AS n_tokens FROM turns GROUP BY session_id, agent_id, segment_index",
     "first_error": f"""SELECT session_id, min(turn_ordinal) AS first_turn, arg_min(failed[1], turn_ordinal) AS first_rule, CAST(sum(len(failed)) AS BIGINT) AS n_errors FROM ({_EACH}) q WHERE len(failed) > 0 GROUP BY session_id""",
     "record_rules": f"""SELECT s.session_id, r.rule_id, n_turns AS n_checked, CAST(count(f.turn_ordinal) AS BIGINT) AS n_failed, min(f.turn_ordinal) AS first_failed
         FROM (SELECT session_id, count(*) AS n_turns FROM turns GROUP BY session_id) s CROSS JOIN (VALUES ('token_ids'), ('purpose'), ('logprobs'), ('sampling')) r(rule_id)

@@ -42,10 +42,11 @@ QUERIES = {
             FROM (SELECT *, coalesce(sum(n_prompt + n_completion) OVER ({SEGMENT} ORDER BY turn_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_len FROM turns) a) b""",
     # runs of one delivery sent again: same messages, completion, stream length and purpose as the agent's own last turn
     "duplicate_deliveries": f"""
-        SELECT session_id, agent_id, delivery, turn_ordinal, again, again AND before_sha = completion_sha AND before_purpose = purpose AND before_messages = n_messages AS dropped
-        FROM (SELECT *, lag(completion_sha) OVER ({STREAM} ORDER BY turn_ordinal, delivery) AS before_sha, lag(purpose) OVER ({STREAM} ORDER BY turn_ordinal, delivery) AS before_purpose, lag(n_messages) OVER ({STREAM} ORDER BY turn_ordinal, delivery) AS before_messages
-            FROM (SELECT session_id, agent_id, turn_ordinal, purpose, n_messages, 0 AS delivery, FALSE AS again, @sha(completion) AS completion_sha FROM turns
-                UNION ALL SELECT session_id, agent_id, turn_ordinal, CASE WHEN conv_id % 6 = 0 THEN 'auxiliary' ELSE purpose END, n_messages, 1, TRUE, @sha(completion) FROM turns WHERE conv_id % 3 = 0) a) b""",
+        SELECT session_id, agent_id, delivery, turn_ordinal, again, again AND before_sha = completion_sha AND before_purpose = purpose AND before_messages = n_messages AND before_full = n_full AND before_segment = segment_index AS dropped
+        FROM (SELECT *, lag(completion_sha) OVER ({STREAM} ORDER BY turn_ordinal, delivery) AS before_sha, lag(purpose) OVER ({STREAM} ORDER BY turn_ordinal, delivery) AS before_purpose, lag(n_messages) OVER ({STREAM} ORDER BY turn_ordinal, delivery) AS before_messages,
+                lag(n_full) OVER ({STREAM} ORDER BY turn_ordinal, delivery) AS before_full, lag(segment_index) OVER ({STREAM} ORDER BY turn_ordinal, delivery) AS before_segment
+            FROM (SELECT session_id, agent_id, segment_index, turn_ordinal, purpose, n_messages, n_prompt AS n_full, 0 AS delivery, FALSE AS again, @sha(completion) AS completion_sha FROM turns
+                UNION ALL SELECT session_id, agent_id, segment_index, turn_ordinal, CASE WHEN conv_id % 6 = 0 THEN 'auxiliary' ELSE purpose END, n_messages, n_prompt + CASE WHEN conv_id % 9 = 6 THEN 1 ELSE 0 END, 1, TRUE, @sha(completion) FROM turns WHERE conv_id % 3 = 0) a) b""",
     # endpoints are dealt in turn by a stream's first use
     "sticky_endpoints": """
         SELECT session_id, agent_id, CAST((row_number() OVER (ORDER BY first_conv, session_id, agent_id) - 1) % 3 AS BIGINT) AS endpoint
@@ -64,5 +65,24 @@ QUERIES = {
         GROUP BY conv_id, tn""",
 }
 
+_UPTO = """(SELECT t.*, (SELECT CAST(sum(b.n_prompt + b.n_completion) AS BIGINT) FROM turns b WHERE b.session_id = t.session_id AND b.agent_id IS NOT DISTINCT FROM t.agent_id AND b.segment_index = t.segment_index AND b.turn_ordinal <= t.turn_ordinal) AS n_upto FROM turns t)"""
 #: SQL for DuckDB that says the same in another way.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    # running lengths as sums over all turns up to each one
+    "training_spans": f"SELECT a.session_id, a.agent_id, a.segment_index, a.turn_ordinal, a.purpose, n_upto - a.n_completion AS span_start, n_upto AS span_end FROM {_UPTO} a",
+    "completion_ends": f"SELECT a.session_id, a.agent_id, a.segment_index, n_upto AS completion_end FROM {_UPTO} a WHERE a.n_completion > 0",
+    "segment_sequence": """SELECT a.session_id, a.agent_id, a.turn_ordinal, a.seen AS segment_index, CASE WHEN p.seen IS NULL THEN 0 WHEN a.new_conversation THEN p.seen + 1 ELSE p.seen END AS expected, a.seen = CASE WHEN p.seen IS NULL THEN 0 WHEN a.new_conversation THEN p.seen + 1 ELSE p.seen END AS ok
+        FROM (SELECT *, coalesce(agent_id, '-') AS a, segment_index + CASE WHEN conv_id % 13 = 0 AND tn = 1 THEN 1 ELSE 0 END AS seen FROM turns) a
+        ASOF LEFT JOIN (SELECT *, coalesce(agent_id, '-') AS a, segment_index + CASE WHEN conv_id % 13 = 0 AND tn = 1 THEN 1 ELSE 0 END AS seen FROM turns) p ON p.session_id = a.session_id AND p.a = a.a AND a.turn_ordinal > p.turn_ordinal""",
+    "conversation_extent": """SELECT a.session_id, a.agent_id, a.turn_ordinal, a.resets, CAST(sum(b.n_messages) AS BIGINT) AS n_messages_since, CAST(sum(b.n_prompt + b.n_completion) AS BIGINT) AS n_tokens_since
+        FROM (SELECT t.session_id, t.agent_id, t.turn_ordinal, count(r.turn_ordinal) AS resets, coalesce(max(r.turn_ordinal), 0) AS since FROM turns t LEFT JOIN turns r ON r.session_id = t.session_id AND r.agent_id IS NOT DISTINCT FROM t.agent_id AND r.new_conversation AND r.turn_ordinal <= t.turn_ordinal GROUP BY t.session_id, t.agent_id, t.turn_ordinal) a
+        JOIN turns b ON b.session_id = a.session_id AND b.agent_id IS NOT DISTINCT FROM a.agent_id AND b.turn_ordinal BETWEEN a.since AND a.turn_ordinal GROUP BY a.session_id, a.agent_id, a.turn_ordinal, a.resets""",
+    "last_reset": "SELECT t.session_id, t.agent_id, t.turn_ordinal, max(r.turn_ordinal) AS reset_at FROM turns t LEFT JOIN turns r ON r.session_id = t.session_id AND r.agent_id IS NOT DISTINCT FROM t.agent_id AND r.new_conversation AND r.turn_ordinal <= t.turn_ordinal GROUP BY t.session_id, t.agent_id, t.turn_ordinal",
+    # what lies beyond the stream is the turn's own prompt
+    "delta_encoding": f"""SELECT session_id, agent_id, segment_index, turn_ordinal, stored_len + n AS full_len, stored_len, n AS delta_len, n > 0 OR stored_len = 0 AS accepted, CASE WHEN n > 0 THEN sha256(prompt) END AS delta_sha
+        FROM (SELECT *, n_upto - n_prompt - n_completion AS stored_len, CASE WHEN conv_id % 17 = 4 AND tn % 3 = 1 THEN 0 ELSE n_prompt END AS n FROM {_UPTO} a) q""",
+    "duplicate_deliveries": """SELECT session_id, agent_id, 0 AS delivery, turn_ordinal, FALSE AS again, FALSE AS dropped FROM turns
+        UNION ALL SELECT session_id, agent_id, 1, turn_ordinal, TRUE, (conv_id % 6 <> 0 OR purpose = 'auxiliary') AND conv_id % 9 <> 6 FROM turns WHERE conv_id % 3 = 0""",
+    "model_stamp": "SELECT session_id, arg_min(CASE WHEN conv_id % 3 = 1 THEN 'model-b' ELSE 'model-a' END, turn_ordinal) FILTER (conv_id % 3 <> 0) AS model_name FROM turns GROUP BY session_id",
+    "version_spans": "SELECT conv_id, tn, CAST(2 AS BIGINT) AS n_spans, conv_id % 19 <> 2 AS contiguous, TRUE AS covers, conv_id % 23 <> 5 OR weight_version = '9' AS one_version FROM turns WHERE n_completion > 1",
+}

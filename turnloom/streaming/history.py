@@ -65,5 +65,36 @@ QUERIES = {
         FROM (SELECT user_id, event_id AS first_failure, @json(props, '$.k') AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events WHERE event_type = 'error') a WHERE place = 1) f""",
 }
 
+_NUMBERED = "o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+
+
+def _since(counts: str, resets: str) -> str:
+    """SQL of the place of each counted event o behind the last event p that resets."""
+    return f"""c AS (SELECT o.event_id, o.user_id, o.rn, coalesce(max(p.rn), 0) AS since FROM o LEFT JOIN o p ON p.user_id = o.user_id AND p.rn < o.rn AND {resets} WHERE {counts} GROUP BY o.event_id, o.user_id, o.rn),
+        counted AS (SELECT c.event_id, count(*) AS place FROM c JOIN o ON o.user_id = c.user_id AND o.rn > c.since AND o.rn <= c.rn AND {counts} GROUP BY c.event_id)"""
+
+
 #: SQL for DuckDB that says the same in another way.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "tombstones": """SELECT event_id, EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'error' AND (d.ts < e.ts OR d.ts = e.ts AND d.event_id < e.event_id) AND d.ts > e.ts - INTERVAL '3600' SECOND) AS refused
+        FROM events e WHERE event_type = 'purchase'""",
+    "kept_tombstones": "SELECT user_id, max(ts) AS deleted_at FROM events WHERE event_type = 'error' GROUP BY user_id QUALIFY rank() OVER (ORDER BY max(ts) DESC, user_id) <= 8192",
+    # a state lasts from the first event that brings it
+    "session_states": f"""WITH {_NUMBERED}, f AS (SELECT user_id, min(rn) FILTER (event_type = 'error') AS gone, min(rn) FILTER (event_type = 'signup') AS sealed, min(rn) FILTER (event_type = 'purchase' AND value < 5) AS failed, min(rn) FILTER (event_type = 'purchase') AS met FROM o GROUP BY user_id)
+        SELECT event_id, CASE WHEN rn >= gone THEN 'deleted' WHEN rn >= failed AND rn >= sealed THEN 'failed' WHEN rn >= sealed THEN 'finalized' WHEN rn >= met THEN 'open' ELSE 'unknown' END AS state FROM o JOIN f ON f.user_id = o.user_id""",
+    # equal events since the last one that resets, counted one by one
+    "replays": f"""WITH {_NUMBERED}, {_since("o.event_type = 'click'", "p.event_type = 'purchase'")} SELECT event_id, place, place <= 4 AS replayed FROM counted""",
+    "rejections": f"""WITH {_NUMBERED}, {_since("o.event_type = 'error'", "(p.event_type = 'purchase' OR p.event_type = 'view' AND CAST(json_extract_string(p.props, '$.k') AS BIGINT) % 7 = 0)")} SELECT event_id, place, place <= 2 AS reached_engine FROM counted""",
+    "model_pins": """WITH a AS (SELECT event_id, user_id, [NULL, 'model-b', 'model-a', 'model-a', 'model-a'][CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 + 1] AS asked FROM events WHERE event_type = 'purchase'),
+        p AS (SELECT user_id, arg_min(asked, event_id) AS pinned FROM a WHERE asked IS NOT NULL GROUP BY user_id) SELECT event_id, asked, pinned, asked IS NULL OR asked = pinned AS ok FROM a LEFT JOIN p ON p.user_id = a.user_id""",
+    "runtime_layer": "SELECT user_id, list(CAST(json_extract_string(props, '$.k') AS BIGINT) ORDER BY ts, event_id)[-1] AS top_k FROM events WHERE event_type = 'signup' GROUP BY user_id",
+    "capture_switch": "SELECT event_id, coalesce([TRUE, FALSE, NULL][CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 + 1], user_id % 2 = 0) AS effective FROM events WHERE event_type = 'signup'",
+    "latest_snapshots": "SELECT user_id, max(event_id) AS version, arg_max(props, event_id) AS payload FROM events WHERE event_type = 'purchase' GROUP BY user_id",
+    "session_fetch": "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS n_turns FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') > 0 AND count(*) FILTER (event_type = 'error' AND value > 40) = 0",
+    "late_turns": "SELECT event_id FROM events p WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM events d WHERE d.user_id = p.user_id AND d.event_type = 'error' AND d.ts < p.ts)",
+    "waiting_turns": """SELECT event_id, EXISTS (SELECT 1 FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'purchase' AND (b.ts < e.ts OR b.ts = e.ts AND b.event_id < e.event_id) AND b.ts + CAST(floor(b.value * 60) AS INT) * INTERVAL '1' SECOND > e.ts) AS waits
+        FROM events e WHERE event_type = 'purchase'""",
+    "recording_failures": """SELECT f.user_id, f.first_failure, coalesce(bool_or(json_extract_string(c.props, '$.k') = f.k), FALSE) AS repaired
+        FROM (SELECT user_id, min(event_id) AS first_failure, arg_min(json_extract_string(props, '$.k'), event_id) AS k FROM events WHERE event_type = 'error' GROUP BY user_id) f
+        LEFT JOIN events c ON c.user_id = f.user_id AND c.event_type = 'click' AND c.event_id > f.first_failure GROUP BY f.user_id, f.first_failure""",
+}
