@@ -2,8 +2,10 @@
 
 A text is brought to a canonical form: lower case, equivalent spellings made one, copyright lines
 dropped, and every run of other characters than letters and digits made one blank. A copyright line
-starts with "copyright", a copyright sign, "(c)" and a year, or "all rights reserved"; "copyright
-notice", "copyright holder" and the like are words of the text wherever its lines are broken. The SHA-256 of a whole canonical text is hash-joined with the digests of known licence
+starts with "copyright", a copyright sign, "(c)" and a year, or "all rights reserved"; up to three short
+lines that go on with it up to a blank line belong to it. "copyright notice", "copyright holder" and the
+like are words of the text wherever its lines are broken. Who holds the rights, in the clauses of BSD
+licences that name them, is an equivalent spelling. The SHA-256 of a whole canonical text is hash-joined with the digests of known licence
 texts; the same form of each single line is looked up among the digests of known short notices,
 which stand on lines of their own.
 
@@ -84,37 +86,62 @@ DIGESTS = [
     ("Unlicense", "a5969a20696c6e38b4b7aa3ae5be84a9dae9145919909a94d9b08fd287636df7"),
     ("Zlib", "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7"),
 ]
-#: Short notices.
-KNOWN = [(i, "text", f"{title}\n\n{text}") for i, text, titles in TEXTS for title in ["", *titles]] + [(i, "digest", d) for i, d in DIGESTS] + [
-    ("MIT", "notice", "Released under the MIT License."),
-    ("MIT", "notice", "Licensed under the MIT License."),
-    ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "notice", "This work is licensed under the GNU General Public License, version 2."),
-    ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "notice", "Released under CC0 1.0."),
-    ("BSD-3-Clause", "notice", "Licensed under the BSD 3-Clause License."),
-    ("MIT", "notice", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "notice", "SPDX-License-Identifier: Apache-2.0"),
-]
+#: Ids of licences and names that short notices use for them.
+NAMES = {
+    "MIT": ["MIT License", "MIT license (MIT)"], "ISC": ["ISC License"], "0BSD": ["Zero-Clause BSD License"], "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"], "GPL-2.0": ["GNU General Public License, version 2", "GPLv2"], "GPL-3.0": ["GNU General Public License, version 3", "GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPLv2.1"], "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPLv3"], "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPLv3"], "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+    "EPL-1.0": ["Eclipse Public License 1.0"], "EPL-2.0": ["Eclipse Public License 2.0"], "EUPL-1.2": ["European Union Public Licence 1.2"], "BSL-1.0": ["Boost Software License 1.0"], "PSF-2.0": ["Python Software Foundation License"], "Unlicense": ["Unlicense"], "Zlib": ["zlib License"], "WTFPL": ["WTFPL"],
+    "Artistic-2.0": ["Artistic License 2.0"], "CC0-1.0": ["CC0 1.0"], "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0"], "CC-BY-ND-4.0": ["CC BY-ND 4.0"],
+}
+#: What notices say before the name, and behind it.
+_SAYS = ["Licensed under", "Released under", "Distributed under", "This project is licensed under", "This work is licensed under", "This software is licensed under"]
+_FILE = "see the LICENSE file for details"
+
+
+def notices() -> list[tuple[str, str, str]]:
+    """Short notices of every licence: its identifier line, also of a GNU version alone or a later one, and sentences with its names."""
+    out = []
+    for i, names in NAMES.items():
+        out += [(i, "notice", f"SPDX-License-Identifier: {i}{x}") for x in (["", "-only", "-or-later", "+"] if "GPL" in i else [""])]
+        the = "" if i.startswith("CC") else "the "
+        out += [(i, "notice", f"{say} {the}{name}") for name in names for say in _SAYS]
+        out += [(i, "notice", f"This project is licensed under {the}{name} - {_FILE}") for name in names]
+    return out
+
+
+#: Whole texts and digests; notices follow by rule.
+KNOWN = [(i, "text", f"{title}\n\n{text}") for i, text, titles in TEXTS for title in ["", *titles]] + [(i, "digest", d) for i, d in DIGESTS] + notices()
 #: Spellings that count as equal.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("merchantibility", "merchantability"), ("noninfringement", "non infringement"), ("cpr owner", "cpr holder"), ("organisation", "organization"), ("favour", "favor"), ("labour", "labor"), ("whilst", "while"), ("per cent", "percent")]
 #: Words after "copyright" that make it a word of the text.
 _PROSE = "\\bcopyright\\s+(notice|holder|owner|law|license|licence|permission|statement|interest|claim|treat|protect|disclaim|status|act\\b|and\\b|or\\b|in\\b|of\\b|to\\b|is\\b|as\\b|for\\b|on\\b|under\\b)"
 _COPYRIGHT = "(?m)^[^\\p{L}\\p{N}\\n]*(?:copyright(?:[ \\t:]|$)|©|\\(c\\)[ \\t]*(?:[0-9]{4}|copyright)|all rights reserved)[^\\n]*$"
+#: A copyright line with the short lines that go on with it, up to a blank one.
+_BLOCK = _COPYRIGHT[:-1] + "(?:\\n[ \\t]*[^\\s][^\\n]{0,49}){1,3}\\n[ \\t\\r]*\\n"
+#: Clauses of a canonical form that name who holds the rights, and how they count.
+HOLDERS = [
+    (words.replace(" ", "[ \\n]+"), standard)
+    for words, standard in [
+        ("neither the names? of(?: \\S+){1,20}? nor the names of (?:(?:its|their|the) )?contributors", "neither the name of holders nor the names of contributors"),
+        ("provided by(?: \\S+){1,20}? as is", "provided by holders as is"),
+        ("shall(?: \\S+){1,20}? be liable for any direct", "shall holders be liable for any direct"),
+    ]
+]
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; line ends are kept."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    lines = F.regexp_replace(F.regexp_replace(t, _PROSE, "cpr $1"), _COPYRIGHT, "")
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _PROSE, "cpr $1"), _BLOCK, "\n\n"), _COPYRIGHT, "")
     t = F.when(t.contains("opyright") | t.contains("©") | t.contains("(c)") | t.contains("all rights reserved"), lines).otherwise(t)
     t = F.regexp_replace(t, "[^\\p{L}\\p{N}\\n]+", " ")
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    named = t
+    for pattern, standard in HOLDERS:
+        named = F.regexp_replace(named, pattern, standard)
+    return F.when(t.contains("contributors"), named).otherwise(t)
 
 
 def whole(canon: Column) -> Column:

@@ -16,12 +16,15 @@ def _quoted(s: str) -> str:
 
 def _canonical(text: str) -> str:
     t = f"lower(coalesce({text}, ''))"
-    lines = f"regexp_replace(regexp_replace({t}, {_quoted(license_scan._PROSE)}, 'cpr \\1', 'g'), {_quoted(license_scan._COPYRIGHT)}, '', 'g')"
+    lines = f"regexp_replace(regexp_replace(regexp_replace({t}, {_quoted(license_scan._PROSE)}, 'cpr \\1', 'g'), {_quoted(license_scan._BLOCK)}, chr(10) || chr(10), 'g'), {_quoted(license_scan._COPYRIGHT)}, '', 'g')"
     t = f"CASE WHEN contains({t}, 'opyright') OR contains({t}, '©') OR contains({t}, '(c)') OR contains({t}, 'all rights reserved') THEN {lines} ELSE {t} END"
     t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     for a, b in license_scan.SPELLINGS:
         t = f"replace({t}, {_quoted(a)}, {_quoted(b)})"
-    return t
+    named = "spelled"
+    for pattern, standard in license_scan.HOLDERS:
+        named = f"regexp_replace({named}, {_quoted(pattern)}, {_quoted(standard)}, 'g')"
+    return f"(SELECT CASE WHEN contains(spelled, 'contributors') THEN {named} ELSE spelled END FROM (SELECT {t} AS spelled) s)"
 
 
 def licenses() -> str:

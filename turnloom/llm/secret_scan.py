@@ -1,8 +1,8 @@
 """Secret scans: patterns propose candidates, a random forest drops the false positives.
 
-Candidates are values of assignments to names such as token or password, strings of known key
-formats, and long runs of letters and digits, each to the end of its token at any length. The
-forest looks at a candidate's length, its transitions between character classes, how much of it
+Candidates are values of assignments to names such as token or password (also "the password is ..."),
+strings of known key formats, passwords in addresses, and long runs of letters and digits, each to the
+end of its token at any length. The forest looks at a candidate's length, its transitions between character classes, how much of it
 dictionary words cover, the path it was found under, and the words beside it. It is trained from
 labelled findings: a list of (text, start, end, path, label). The dictionary has the fixed words
 below and those that stand in SEEN labelled findings outside of their secrets. labelled_findings()
@@ -34,13 +34,14 @@ N_FINDINGS = 3000
 THRESHOLD = 0.5
 SEEN = 5
 MASK = "[SECRET]"
-_KEYED = r"(?i:\b(?:[a-z0-9]{1,20}[_-]){0,3}(?:token|secret|passwd|password|pwd|api_?key|access_?key|auth|credential)s?\b[\"']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}[\"']?)(?!-----BEGIN )(?P<v>[^\s\"'<>,;]{8,})"
-_FORMATS = r"\b(?P<f>(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})*)[A-Za-z0-9+/_=-]*+)"
+_KEYED = r"(?i:\b(?:[a-z0-9]{0,20}[_-]){0,3}(?:auth|access|client|refresh|session|user|bot|db)?(?:token|secret|passwd|password|pwd|api_?key|access_?key|key|auth|credential)s?\b(?:[\"']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}|[ ]is[ ])[\"']?)(?!-----BEGIN )(?P<v>[^\s\"'<>,;]{8,})"
+_FORMATS = r"\b(?P<f>(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,}|hf_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{40,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,})*)[A-Za-z0-9+/_=-]*+)"
 _BLOCK = r"(?P<b>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.;()\\\s_]|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----)"
 _RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])(?P<r>[A-Za-z0-9+/_=-]{24,}+)"
-FIND = re.compile("|".join((_BLOCK, _FORMATS, _KEYED, _RUN)))
+_ADDRESS = r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@\"']{0,80}:(?P<u>[^\s/@\"']{4,}+)(?=@)"
+FIND = re.compile("|".join((_BLOCK, _FORMATS, _ADDRESS, _KEYED, _RUN)))
 #: A text without any of these cannot have a candidate.
-MAYBE = re.compile(r"-----BEGIN|AKIA|gh[pousr]_|xox|sk-|AIza|eyJ|(?i:token|secret|passw|pwd|key|auth|credential)|[A-Za-z0-9+/_=-]{24}")
+MAYBE = re.compile(r"-----BEGIN|AKIA|gh[pousr]_|xox|sk-|AIza|eyJ|npm_|SG\.|[sr]k_|glpat-|hf_|pypi-|://|(?i:token|secret|passw|pwd|key|auth|credential)|[A-Za-z0-9+/_=-]{24}")
 #: Words of names, placeholders and prose for dictionary coverage.
 DICTIONARY = """about access account admin after again also another because before being between change changeme check client code config could
 count data database default demo development docs dummy each email enter environment example fake file first foobar from function generic group
@@ -58,7 +59,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every candidate of the whole text, without overlaps."""
     if not MAYBE.search(text):
         return []
-    return [(*m.span(m.lastgroup), {"v": "assignment", "f": "format", "b": "private key", "r": "run"}[m.lastgroup]) for m in FIND.finditer(text)]
+    return [(*m.span(m.lastgroup), {"v": "assignment", "f": "format", "b": "private key", "u": "address", "r": "run"}[m.lastgroup]) for m in FIND.finditer(text)]
 
 
 def learned(findings: list[tuple[str, int, int, str, int]]) -> frozenset[str]:
@@ -94,10 +95,15 @@ def features(text: str, start: int, end: int, path: str, words: frozenset[str],
         kind.count("d") / n, kind.count("u") / n, kind.count("o") / n, max(counts.values()) / n, len(counts),
         covered(low, words, longest) / n, float(bool(re.fullmatch("[0-9a-f]+", low))), float(bool(re.fullmatch("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
         float("/" in s), float(bool(re.search(r"\.[a-z]{2,4}$", low))), float(any(p in path.lower() for p in PATHS)), float(bool(re.search("[=:]", before[-4:]))), float(before[-1:] in ("'", '"')),
-        float(any(w in joined for w in NEAR_BAD)), float(any(w in near for w in NEAR_GOOD)), float(bool(re.match("AKIA|gh[pousr]_|xox|sk-|AIza|eyJ|-----BEGIN", s))), float(len(set(re.findall(r"(.)\1\1", s))) > 0),
+        float(any(w in joined for w in NEAR_BAD)), float(any(w in near for w in NEAR_GOOD)), float(bool(re.match(_KNOWN_START, s))), float(len(set(re.findall(r"(.)\1\1", s))) > 0),
+        float(bool(re.match("sha[0-9]+[-=:]", low)) or bool(re.search("(?:base64,|sha[0-9]+[-=:])$", before))), float(bool(re.fullmatch("[a-z]+[0-9]{0,4}", low))), float(bool(re.search("://[^ ]*:$", before))), float(bool(re.search(r"\bis ['\"]?$", before))),
     ]
 
 
+#: What keys of known formats start with.
+_KNOWN_START = "AKIA|gh[pousr]_|xox|sk-|AIza|eyJ|npm_|SG\\.|[sr]k_(?:live|test)_|glpat-|hf_|pypi-|-----BEGIN"
+
+
 def labelled_findings(n: int = N_FINDINGS, seed: int = 11) -> list[tuple[str, int, int, str, int]]:
     """n findings with labels, half of them false positives, in made-up surroundings."""
     rng = random.Random(seed)
@@ -116,10 +122,17 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = 11) -> list[tuple[str, in
             return some(mixed, rng.randint(20, 48)), f"{name}{pick([' = ', '=', ': '])}"
         if k < 0.6:
             return some(mixed + "!@#%^&*-_+", rng.randint(10, 24)), f"password{pick([' = ', '=', ': '])}"
-        if k < 0.7:
+        if k < 0.66:
             return some(mixed + "+/", 40), f"{name.upper()}="
+        if k < 0.70:
+            return some(pick([hexa, mixed]), pick([32, 40])), pick(["Bearer ", "Authorization: Bearer ", "authorization: token "])
+        if k < 0.74:
+            return some(mixed + "!#%^&*-_", rng.randint(8, 20)), pick(["postgres", "mysql", "amqp", "https"]) + "://" + some(lower, rng.randint(3, 8)) + ":"
+        if k < 0.78:
+            value = some(lower, rng.randint(4, 8)) + some(digit, rng.randint(1, 3))
+            return pick([value + value, some(mixed, rng.randint(9, 16)), some(mixed + "!#%&", rng.randint(9, 16))]), pick(["the password is ", "my token is ", "secret is "])
         if k < 0.95:
-            return pick(["AKIA" + some(upper + digit, 16), "ghp_" + some(mixed, 36), "xoxb-" + some(digit, 11) + "-" + some(mixed, 24), "sk-" + some(mixed, 40), "AIza" + some(mixed + "-_", 35)]), pick([f"{name}: ", "", "use ", "key="])
+            return pick(["npm_" + some(mixed, 36), "SG." + some(mixed + "-_", 22) + "." + some(mixed + "-_", 43), "sk_live_" + some(mixed, 24), "glpat-" + some(mixed + "-_", 20), "hf_" + some(mixed, 34),"AKIA" + some(upper + digit, 16), "ghp_" + some(mixed, 36), "xoxb-" + some(digit, 11) + "-" + some(mixed, 24), "sk-" + some(mixed, 40), "AIza" + some(mixed + "-_", 35)]), pick([f"{name}: ", "", "use ", "key="])
         return "eyJ" + some(mixed, 20) + "." + some(mixed, 40) + "." + some(mixed + "-_", 43), "Bearer "
 
     def false() -> tuple[str, str]:
@@ -127,8 +140,17 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = 11) -> list[tuple[str, in
         k = rng.random()
         if k < 0.3:
             return pick(["_", "-", ""]).join(pick(DICTIONARY) for _ in range(rng.randint(2, 5)))[:60].ljust(8, "x"), f"{name}{pick(['=', ': ', ' = '])}"
-        if k < 0.4:
+        if k < 0.36:
             return pick("xX*0.") * rng.randint(8, 40), f"{name}="
+        if k < 0.4:
+            return "sha" + pick(["256-", "384-", "512-"]) + some(mixed + "+/", pick([43, 64, 86])) + pick(["=", "", "=="]), pick(["integrity ", 'integrity="', "integrity: "])
+        if k < 0.44:
+            return some(mixed + "+/", rng.randint(40, 200)) + pick(["", "=", "=="]), pick(["data:image/png;base64,", "data:font/woff2;base64,", "src=data:image/gif;base64,"])
+        if k < 0.47:
+            word = pick([w for w in DICTIONARY if len(w) > 3])
+            return (word + pick(["", pick(DICTIONARY)]) + some(digit, rng.randint(0, 4))).ljust(8, "1"), f"{name}{pick(['=', ': ', ' is ', ' = '])}"
+        if k < 0.48:
+            return pick(["password", "changeme", "username", "secret12", "${DB_PASSWORD}", "PASSWORD", "xxxxxxxx"]), "postgres://" + some(lower, 5) + ":"
         if k < 0.5:
             return "${" + some(upper + "_", rng.randint(6, 20)) + "}", f"{name}="
         if k < 0.65:
