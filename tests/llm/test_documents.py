@@ -298,6 +298,46 @@ def test_languages(spark, sf, odd):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_strange_texts_are_ambiguous(spark, sf):
+    """Scripts and languages that were not learned are flagged, whatever codeword is nearest; texts of the table are not."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    model = language_id.train(docs)
+    strange = ["Это простой текст на русском языке, который не похож ни на один из известных.", "これは日本語の短い文章です。ほかの言語とは違います。", "Ez egy egyszerű magyar szöveg, amely nem hasonlít az ismert nyelvekre, sőt egyáltalán nem.", "qzx vbk jjj wwq zzk qqk", "αυτό είναι ένα απλό κείμενο", "", "123"]
+    assert model.predict(strange)[2].all()
+    assert model.predict([r.text for r in docs.where("text IS NOT NULL").collect()])[2].mean() < 0.02
+
+
+def by_hand(model, text):
+    """(language, score) by loops over characters, bits and codewords, from the fitted weights."""
+    t = text.lower()
+    if not any(c.isalpha() for c in t):
+        return "und", 0.0
+    c = [ord(ch) if ch.isalpha() else 32 for ch in t] + [32]  # a text ends with a blank
+    counts, mask = {}, 0xFFFFFFFF
+    for i in range(len(c) - 1):
+        pair = (c[i] * 0x9E3779B1 & mask) ^ (c[i + 1] * 0x85EBCA6B & mask)
+        if c[i] != 32 or c[i + 1] != 32:
+            counts[pair >> 20] = counts.get(pair >> 20, 0) + 1
+            if i + 2 < len(c):
+                h = (pair * 0xC2B2AE35 & mask) ^ (c[i + 2] * 0x27D4EB2F & mask)
+                counts[h >> 20] = counts.get(h >> 20, 0) + 1
+    norm = sum(counts.values()) ** 0.5
+    bits = [min(1.0, max(-1.0, sum(n**0.5 / norm * float(model.w[h, b]) for h, n in counts.items()) + float(model.mean[b]))) for b in range(model.w.shape[1])]
+    loss = [sum(float(w) * (f - float(y)) ** 2 for w, f, y in zip(model.weight, bits, code)) for code in model.code]
+    low = min(loss)
+    return model.names[loss.index(low)], 1 / sum(2.718281828459045 ** (-language_id.SHARPNESS * (x - low)) for x in loss)
+
+
+def test_languages_by_hand(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs)
+    texts = [(r.text or "")[:400] for r in docs.limit(60).collect()] + ["é", "a", "x y", "12 3", "", "ÀÉ îô"]
+    names, score, _ = model.predict(texts)
+    for t, n, s in zip(texts, names, score):
+        want, p = by_hand(model, t)
+        assert n == want and abs(s - p) < 1e-3, (t, n, s, want, p)
+
+
 def test_codewords_are_far_apart():
     c = language_id.codewords(4)
     assert min((c[i] != c[j]).sum() for i in range(4) for j in range(i)) >= 6

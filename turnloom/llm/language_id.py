@@ -5,11 +5,12 @@ predicts each bit, fitted by ridge regression. A text is decoded to the codeword
 where each bit's squared loss counts the more the smaller that classifier's mean loss is on rows it
 was not fitted on: the sample is cut in PARTS, each judged by classifiers of the others, and the
 final ones are fitted on all. score is the softmax of the negated losses; a text is ambiguous if
-the best two losses are closer than MARGIN.
+the best two losses are closer than MARGIN, or if its n-grams are strange to the language found: their mean
+log probability there is more than STRANGE below that of all but one in a hundred of the sample's rows.
 
 The classifiers are fitted on a bounded sample: of each language at most PER_LANGUAGE texts, those
-of the smallest hash of doc_id, among rows with a language and outside the held-out fold, and
-fewer of each where more than SAMPLE would come together. Languages are learned only up to
+of the smallest hash of doc_id, among rows with a text and a language and outside the held-out fold (of rows of one doc_id the
+smallest text), and fewer of each where more than SAMPLE would come together. Languages are learned only up to
 SAMPLE / 2, the most frequent ones. Only the n-gram counts of that sample reach the driver. Each
 language's rows are counted first, and only hashes below a bound that lets about twice as many
 through as are needed are ranked, so a language of most rows sends no more than others.
@@ -36,6 +37,7 @@ DIMS = 4096
 FOLDS, HELD_OUT = 3, 1
 RIDGE = 0.02
 MARGIN = 0.1
+STRANGE = 2.0
 SHARPNESS = 4.0
 PARTS = 4
 #: Texts that are counted together.
@@ -102,6 +104,11 @@ class Model:
             loss = ((unseen - y) ** 2).mean(0)
         self.weight = 1 / (loss + 0.01)
         self.weight /= self.weight.sum()
+        # shares of n-grams in each language; rows are rooted shares
+        own = np.array([self.names.index(v) for v in langs])
+        shares = np.array([(x[own == i] ** 2).mean(0) for i in range(len(self.names))]) + 0.1 / DIMS / 2
+        self.familiar = np.log(shares / shares.sum(1, keepdims=True)).astype(np.float32)
+        self.strange = float(np.quantile(((x**2) * self.familiar[own]).sum(1), 0.01)) - STRANGE
         self.w, self.mean = self._fit(x, y)
 
     @staticmethod
@@ -123,6 +130,7 @@ class Model:
         best = loss.argmin(1)
         order = np.sort(loss, 1)
         unsure = (order[:, 1] - order[:, 0] < MARGIN) if len(self.names) > 1 else np.zeros(len(texts), bool)
+        unsure |= ((x**2) * self.familiar[best]).sum(1) < self.strange
         names = [self.names[i] if ok else "und" for i, ok in zip(best, letters)]
         return names, np.where(letters, p[np.arange(len(texts)), best], 0.0).astype(float), unsure | ~letters
 
@@ -133,7 +141,7 @@ def fold(key: Column) -> Column:
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model of df's sample; the n-gram counts of the sample are all that is collected."""
-    rows = df.select(df[key].cast("string").alias("k"), df[lang].alias("lang"))
+    rows = df.where(df[text].isNotNull()).select(df[key].cast("string").alias("k"), df[lang].alias("lang"))
     known = rows.where((fold(F.col("k")) != HELD_OUT) & F.col("lang").isNotNull())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 2).collect()
     each = max(2, min(PER_LANGUAGE, SAMPLE // max(1, len(counts))))
@@ -145,8 +153,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     order = Window.partitionBy("lang").orderBy("place", "k")
     ids = passed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("k", "lang")
     src = df.select(df[key].cast("string").alias("k"), df[lang].alias("lang"), df[text].alias("text"))
-    # as many rows as the sample has at most: a fixed bound
-    sample = src.join(F.broadcast(ids), ["k", "lang"], "left_semi").where("text IS NOT NULL").limit(SAMPLE)
+    # at most SAMPLE ids: a fixed bound
+    sample = src.join(F.broadcast(ids), ["k", "lang"], "left_semi").groupBy("k", "lang").agg(F.min("text").alias("text"))
 
     def run(texts: list[str]) -> dict[str, pa.Array]:
         x, ok = ngrams(texts)
