@@ -1,12 +1,14 @@
-"""Queries of session lifecycles, on work and control made from the turns."""
+"""Queries of session lifecycles, rejected requests and trial results, on rows made from turns and events."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.operators import lifecycle
+from turnloom.operators import lifecycle, trials
 from turnloom.plans.registry import query
+from turnloom.ship import ship
 from turnloom.sources.adapter import DUCK_TURNS
+from turnloom.streaming import rejections
 
 #: SQL that Spark and DuckDB both read. Turns come 10 apart and last up to 34, some for ever; sessions are
 #: finalized in the midst of their turns or behind them, once or twice, and some deleted, of which some fail to release.
@@ -23,9 +25,48 @@ def session_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.lifecycles(query(_WORK)(spark, sf_dir), query(_CONTROL)(spark, sf_dir))
 
 
-QUERIES = {"session_lifecycles": session_lifecycles}
+#: Users as streams that ask for one of two things; what an engine says follows from the event.
+_REQUESTS = """SELECT concat('u', user_id) AS stream, event_id AS ordinal, concat('m', (event_id + user_id) % 2) AS key, CAST(CASE event_type WHEN 'purchase' THEN 200 WHEN 'error' THEN 429 WHEN 'signup' THEN 503 WHEN 'click' THEN 400 ELSE 422 END AS INT) AS status FROM events"""
+
+
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return rejections.answers(query(_REQUESTS)(spark, sf_dir))
+
+
+#: One result a conversation, with faults by its number; the first in order counts.
+_ROLES = "SELECT 'a0' AS agent_id, 'planner' AS role UNION ALL SELECT 'a1', 'worker' UNION ALL SELECT 'a2', 'helper' UNION ALL SELECT CAST(NULL AS STRING), 'legacy'"
+_CONVERSATIONS = "(SELECT conv_id, agent_id, max(segment_index) AS last_segment FROM turns GROUP BY conv_id, agent_id) c"
+
+
+def trial_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = lambda sql: query(sql)(spark, sf_dir)
+    number = lambda i: f"conv_id % 40 = {i}"
+    allocations = q(f"SELECT concat('t', conv_id % 5) AS task_id, conv_id AS slot, attempt, CASE WHEN {number(1)} AND attempt = 1 THEN concat('c', conv_id) ELSE concat('c', conv_id, '-', attempt) END AS session_id FROM (SELECT conv_id, explode(sequence(0, 1)) AS attempt FROM {_CONVERSATIONS}) x UNION ALL SELECT 't1', conv_id, 2, concat('c', conv_id) FROM {_CONVERSATIONS} WHERE {number(1)}")
+    results = q(f"""SELECT result, concat('t', conv_id % 5) AS task_id, CASE WHEN {number(4)} THEN -1 - conv_id ELSE conv_id END AS slot, CASE WHEN {number(3)} THEN -1 ELSE 1 END AS attempt,
+        CASE WHEN {number(2)} THEN '' WHEN {number(1)} THEN concat('c', conv_id) WHEN {number(6)} THEN concat('c', conv_id, '-0') ELSE concat('c', conv_id, '-1') END AS session_id, map('score', CASE WHEN {number(7)} THEN CAST('NaN' AS DOUBLE) ELSE 1.0D END) AS scores
+        FROM (SELECT *, conv_id * 2 AS result FROM {_CONVERSATIONS} UNION ALL SELECT *, conv_id * 2 + 1 FROM {_CONVERSATIONS} WHERE {number(5)}) x WHERE NOT {number(0)}""")
+    streams = q(f"""SELECT conv_id * 2 AS result, segment_index AS place, CASE WHEN {number(9)} THEN 'other' WHEN {number(6)} THEN concat('c', conv_id, '-0') WHEN {number(1)} THEN concat('c', conv_id) ELSE concat('c', conv_id, '-1') END AS session_id, CASE WHEN {number(11)} THEN 'a9' ELSE s.agent_id END AS agent_id,
+        CASE WHEN {number(12)} THEN segment_index + 1 ELSE segment_index END AS segment_index, CASE WHEN {number(10)} THEN 'worker2' ELSE r.role END AS role, NOT {number(8)} AS valid
+        FROM (SELECT DISTINCT conv_id, agent_id, segment_index FROM turns) s JOIN ({_ROLES}) r ON s.agent_id IS NOT DISTINCT FROM r.agent_id""")
+    completions = q(f"SELECT conv_id * 2 AS result, agent_id, CASE WHEN {number(12)} THEN segment_index + 1 ELSE segment_index END AS segment_index, turn_ordinal AS start, turn_ordinal + n_completion AS end, weight_version, map('top_p', top_p, 'temperature', 1.0D) AS sampling_params FROM turns")
+    return trials.validate(results, allocations, streams, completions, q(_ROLES), ["planner", "worker", "legacy"], {"top_p": 1, "temperature": 1}, "7")
+
+
+QUERIES = {"session_lifecycles": session_lifecycles, "rejected_requests": rejected_requests, "trial_validation": trial_validation}
 #: Without a sweep: what runs at a moment is counted anew for every moment that could be the one.
 ORACLE = {
+    "rejected_requests": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ordinal) AS n FROM ({_REQUESTS}) q),
+        f AS (SELECT stream, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS ordinal, TRUE AS sent, 0 AS answered, CAST(NULL AS VARCHAR) AS held, 0 AS times, 0 AS kept FROM r WHERE n = 1
+            UNION ALL SELECT stream, n, ordinal, NOT served, CASE WHEN served THEN kept ELSE status END, CASE WHEN served THEN held WHEN status = 200 THEN NULL WHEN final THEN key ELSE held END,
+                CASE WHEN served THEN times WHEN status = 200 THEN 0 WHEN final THEN CASE WHEN held = key THEN times + 1 ELSE 1 END ELSE times END, CASE WHEN NOT served AND final THEN status ELSE kept END
+            FROM (SELECT r.*, f.held, f.times, f.kept, coalesce(f.held = r.key AND f.times >= 2, FALSE) AS served, r.status IN (400, 422) AS final FROM f JOIN r ON r.stream = f.stream AND r.n = f.n + 1) x)
+        SELECT stream, ordinal, sent, answered, times AS attempts FROM f WHERE n > 0""",
+    "trial_validation": f"""WITH {DUCK_TURNS}, c AS (SELECT conv_id, min(agent_id) AS agent_id, bool_or(n_completion > 0 AND weight_version <> '7') AS stale, bool_or(n_completion > 0 AND top_p <> 1) AS other FROM turns GROUP BY conv_id),
+        v AS (SELECT conv_id, CASE conv_id % 40 WHEN 0 THEN 'missing' WHEN 1 THEN 'allocation' WHEN 2 THEN 'session' WHEN 3 THEN 'attempt_number' WHEN 4 THEN 'slot' WHEN 6 THEN 'attempt' WHEN 7 THEN 'scores' WHEN 8 THEN 'stream' WHEN 9 THEN 'identity' WHEN 10 THEN 'role' WHEN 11 THEN 'role'
+            ELSE CASE WHEN stale AND coalesce(agent_id, '') <> 'a2' THEN 'weight_version' WHEN other AND coalesce(agent_id, '') <> 'a2' THEN 'sampling' WHEN conv_id % 40 = 12 THEN 'segments' ELSE 'ok' END END AS verdict FROM c)
+        SELECT concat('t', conv_id % 5) AS task_id, CASE WHEN conv_id % 40 = 4 THEN -1 - conv_id ELSE conv_id END AS slot, CASE WHEN verdict <> 'missing' THEN conv_id * 2 END AS result, verdict FROM v
+        UNION ALL SELECT concat('t', conv_id % 5), conv_id, conv_id * 2 + 1, 'slot' FROM v WHERE conv_id % 40 = 5 UNION ALL SELECT concat('t', conv_id % 5), conv_id, NULL, 'missing' FROM v WHERE conv_id % 40 = 4""",
     "session_lifecycles": f"""WITH {DUCK_TURNS}, work AS ({_WORK}), control AS ({_CONTROL}),
         s AS (SELECT session, min(accepted_at) AS first, (SELECT min(moment) FROM control c WHERE c.session = w.session AND kind = 'delete') AS gone, (SELECT bool_or(released) FROM control c WHERE c.session = w.session AND kind = 'delete') AS released FROM work w GROUP BY session),
         t AS (SELECT *, (SELECT min(moment) FROM control c WHERE c.session = s.session AND kind = 'finalize' AND moment >= first AND moment < coalesce(gone, 999999999)) AS sealed FROM s),
