@@ -3,6 +3,17 @@
 #: White space, as a text in SQL.
 WHITE = "' \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000'"
 
+#: What each layer (runtime, config, request, bundle) says of each sampling key: key, base and step of its values.
+_KEYS = [("temperature", "0.0"), ("top_p", "0.5"), ("top_k", "20"), ("min_p", "0.0"), ("repetition_penalty", "1.0"), ("presence_penalty", "0.0"), ("frequency_penalty", "0.25")]
+
+
+def _says(layer: int, key: int) -> str:
+    """SQL of a layer's value of a key, null where it says nothing."""
+    return f"CASE WHEN (event_id + {3 * key}) % {(7, 5, 3, 2)[layer]} = 0 THEN CAST({_KEYS[key][1]} + CAST(@json(props, '$.k') AS BIGINT) % {layer + 2} AS DOUBLE) END"
+
+
+_LAYERED = "(SELECT event_id, " + ", ".join(f"{_says(i, j)} AS {name}_{key}" for i, name in enumerate("rcqb") for j, (key, _) in enumerate(_KEYS)) + " FROM events) l"
+
 QUERIES = {
     # the last two delimiters split a composed key, so the real key may contain the delimiter
     "session_keys": """
@@ -22,11 +33,12 @@ QUERIES = {
     "token_budgets": """
         SELECT conv_id, tn, budget, CASE WHEN window_size IS NULL THEN budget ELSE least(budget, window_size - n_prompt) END AS clamped, window_size IS NOT NULL AND window_size - n_prompt <= 0 AS refused
         FROM (SELECT conv_id, tn, n_prompt, coalesce(CASE WHEN conv_id % 3 = 0 THEN CAST(128 AS BIGINT) END, CASE WHEN conv_id % 2 = 0 THEN CAST(512 AS BIGINT) END, CAST(65536 AS BIGINT)) AS budget, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE CAST(400 AS BIGINT) END AS window_size FROM turns) q""",
-    # runtime over config over request over bundled over implicit, and a floor for the temperature
-    "sampling_layers": """
-        SELECT event_id, CASE WHEN temperature IS NULL THEN NULL ELSE greatest(temperature, CAST(0.01 AS DOUBLE)) END AS temperature, top_p, top_k
-        FROM (SELECT event_id, coalesce(CASE WHEN event_id % 7 = 0 THEN CAST(0.75 AS DOUBLE) END, CASE WHEN event_id % 5 = 0 THEN CAST(1 AS DOUBLE) END, CASE WHEN event_id % 3 = 0 THEN CAST(0 AS DOUBLE) END, CASE WHEN event_id % 2 = 0 THEN CAST(1 AS DOUBLE) END, CAST(1 AS DOUBLE)) AS temperature,
-            coalesce(CASE WHEN event_id % 11 = 0 THEN CAST(0.5 AS DOUBLE) END, CAST(0.95 AS DOUBLE)) AS top_p, coalesce(CAST(@json(props, '$.k') AS BIGINT), 20) AS top_k FROM events) q""",
+    # runtime over config over request over bundled over implicit, key by key, and a floor for the temperature; nothing is implied of penalties
+    "sampling_layers": f"""
+        SELECT event_id, CASE WHEN temperature IS NULL THEN NULL ELSE greatest(temperature, CAST(0.01 AS DOUBLE)) END AS temperature, top_p, top_k, min_p, repetition_penalty, presence_penalty, frequency_penalty
+        FROM (SELECT event_id, coalesce(r_temperature, c_temperature, q_temperature, b_temperature, CAST(1 AS DOUBLE)) AS temperature, coalesce(r_top_p, c_top_p, q_top_p, b_top_p, CAST(1 AS DOUBLE)) AS top_p, coalesce(r_top_k, c_top_k, q_top_k, b_top_k) AS top_k,
+            coalesce(r_min_p, c_min_p, q_min_p, b_min_p) AS min_p, coalesce(r_repetition_penalty, c_repetition_penalty, q_repetition_penalty, b_repetition_penalty) AS repetition_penalty,
+            coalesce(r_presence_penalty, c_presence_penalty, q_presence_penalty, b_presence_penalty) AS presence_penalty, coalesce(r_frequency_penalty, c_frequency_penalty, q_frequency_penalty, b_frequency_penalty) AS frequency_penalty FROM {_LAYERED}) q""",
     # text parts are joined by line ends; a null assistant text beside calls is the empty text; other roles are refused
     "normal_messages": """
         SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND shown IS NULL THEN '' WHEN turn % 2 = 0 OR shown IS NULL THEN shown ELSE concat(shown, chr(10), 'part') END AS content, role IN ('system', 'user', 'assistant', 'tool') AND NOT (role <> 'assistant' AND shown IS NULL) AS accepted
@@ -52,6 +64,9 @@ QUERIES = {
 _EDGE = "[\\x09-\\x0D\\x1C-\\x1F\\x85\\p{Z}]+"
 #: SQL for DuckDB that says the same in another way.
 ORACLES = {
+    # the layers as rows, the first of each key by a place instead of a coalesce
+    "sampling_layers": f"""WITH l AS (SELECT * FROM {_LAYERED}), v AS ({" UNION ALL ".join(f"SELECT event_id, '{key}' AS k, {i} AS place, {name}_{key} AS v FROM l" for i, name in enumerate("rcqb") for key, _ in _KEYS)} UNION ALL SELECT event_id, k, 9, 1 FROM l, (VALUES ('temperature'), ('top_p')) d(k))
+        SELECT event_id, greatest(arg_min(v, place) FILTER (k = 'temperature'), CAST(0.01 AS DOUBLE)) AS temperature, {", ".join(f"arg_min(v, place) FILTER (k = '{key}') AS {key}" for key, _ in _KEYS[1:])} FROM v WHERE v IS NOT NULL GROUP BY event_id""",
     "visible_content": f"""
         SELECT conv_id, tn, CASE WHEN conv_id % 5 <> 1 THEN shown WHEN regexp_matches(shown, '[^\\x09-\\x0D\\x1C-\\x1F\\x85\\p{{Z}}]') THEN regexp_replace(regexp_replace(shown, '^{_EDGE}', ''), '{_EDGE}$', '') END AS visible
         FROM (SELECT conv_id, tn, CASE tn % 4 WHEN 0 THEN {WHITE} || completion || {WHITE} WHEN 1 THEN {WHITE} WHEN 2 THEN chr(10) || chr(10) || completion || chr(9) ELSE completion END AS shown FROM turns) q""",
