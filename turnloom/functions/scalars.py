@@ -51,8 +51,6 @@ QUERIES = {
     "weight_version_text": "SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 4 - 1 END AS @text) AS weight_version FROM documents",
     # first positive of two reported context lengths
     "context_windows": "SELECT doc_id, coalesce(CASE WHEN a > 0 THEN a END, CASE WHEN b > 0 THEN b END) AS context_length FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN n_chars ELSE NULL END AS a, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE n_chars + 1 END AS b FROM documents) q",
-    # endpoints lose blanks, closing slashes and the version path
-    "endpoints": "SELECT doc_id, regexp_replace(regexp_replace(trim(raw), '/+$', ''), '/v1$', '') AS endpoint FROM (SELECT doc_id, concat(' http://', source, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/v1' ELSE '/v1//' END, ' ') AS raw FROM documents) q",
     # usage of each response and of each session
     "usage_totals": "SELECT session_id, CAST(sum(n_prompt) AS BIGINT) AS prompt_tokens, CAST(sum(n_completion) AS BIGINT) AS completion_tokens, CAST(sum(n_prompt + n_completion) AS BIGINT) AS total_tokens FROM turns GROUP BY session_id",
     # whether the policy that a client asked for is in force

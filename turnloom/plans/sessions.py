@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from turnloom.functions import endpoints
 from turnloom.operators import lifecycle, trials
 from turnloom.plans.registry import query
 from turnloom.ship import ship
-from turnloom.sources.adapter import DUCK_TURNS
+from turnloom.sources import records
+from turnloom.sources.adapter import DUCK_TURNS, read
 from turnloom.streaming import rejections
 
 #: SQL that Spark and DuckDB both read. Turns come 10 apart and last up to 34, some for ever; sessions are
@@ -53,9 +57,36 @@ def trial_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.validate(results, allocations, streams, completions, q(_ROLES), ["planner", "worker", "legacy"], {"top_p": 1, "temperature": 1}, "7")
 
 
-QUERIES = {"session_lifecycles": session_lifecycles, "rejected_requests": rejected_requests, "trial_validation": trial_validation}
+def wired_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses around each document's source, in all spellings, with none, one, as many or too many keys."""
+    address = "concat(' http://', source, CASE (doc_id + {i}) % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/v1' ELSE '/v1//' END, '\t')"
+    one, two = address.format(i=0), address.format(i=1)
+    d = read(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"CASE doc_id % 9 WHEN 5 THEN array() WHEN 6 THEN array({one}, ' /v1/') WHEN 7 THEN array({one}) ELSE array({one}, {two}) END AS urls",
+        "CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN array('k') WHEN 2 THEN array('k', 'l') WHEN 3 THEN array('k', 'l', 'm') WHEN 4 THEN array() ELSE array('k') END AS keys",
+    )
+    r = d.select("doc_id", endpoints.wired(F.col("urls"), F.col("keys")).alias("r"))
+    shown = F.array_join(F.transform("r.endpoints", lambda e: F.concat_ws("|", e["root"], F.coalesce(e["key"], F.lit("-")))), " ")
+    return r.select("doc_id", shown.alias("endpoints"), "r.error")
+
+
+def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the control log as lines of their session's file in the run's folder, in order."""
+    e = read(spark, sf_dir, "events").where("event_type = 'error'")
+    run = F.date_format("ts", "yyyy-MM-dd'T'HH")
+    rows = e.select(run.alias("run_ts"), F.concat(F.lit("u"), "user_id").alias("session_id"), "ts", "event_id", F.concat(F.lit("lost "), F.col("event_id").cast("string")).alias("message"))
+    lines = rows.withColumn("line", records.error_line(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("message"))).withColumn("place", F.row_number().over(Window.partitionBy("run_ts", "session_id").orderBy("ts", "event_id")).cast("bigint"))
+    folder = F.concat(F.lit("base/run_ts="), F.replace("run_ts", F.lit(":"), F.lit("%3A")))
+    return lines.select(folder.alias("folder"), "session_id", "place", "line")
+
+
+QUERIES = {"endpoints": wired_endpoints, "error_lines": error_lines, "session_lifecycles": session_lifecycles, "rejected_requests": rejected_requests, "trial_validation": trial_validation}
 #: Without a sweep: what runs at a moment is counted anew for every moment that could be the one.
 ORACLE = {
+    "endpoints": """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN concat(u, '|- ', u, '|-') WHEN 1 THEN concat(u, '|k ', u, '|k') WHEN 2 THEN concat(u, '|k ', u, '|l') WHEN 7 THEN concat(u, '|k') WHEN 8 THEN concat(u, '|k ', u, '|k') END AS endpoints,
+        CASE doc_id % 9 WHEN 3 THEN 'keys' WHEN 4 THEN 'keys' WHEN 5 THEN 'none' WHEN 6 THEN 'blank' END AS error FROM (SELECT doc_id, 'http://' || source AS u FROM documents) q""",
+    "error_lines": """SELECT 'base/run_ts=' || strftime(ts, '%Y-%m-%dT%H') AS folder, 'u' || user_id AS session_id, (SELECT count(*) FROM events b WHERE b.event_type = 'error' AND b.user_id = e.user_id AND strftime(b.ts, '%Y-%m-%dT%H') = strftime(e.ts, '%Y-%m-%dT%H') AND (b.ts < e.ts OR b.ts = e.ts AND b.event_id <= e.event_id)) AS place,
+        '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] lost ' || event_id AS line FROM events e WHERE event_type = 'error'""",
     "rejected_requests": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ordinal) AS n FROM ({_REQUESTS}) q),
         f AS (SELECT stream, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS ordinal, TRUE AS sent, 0 AS answered, CAST(NULL AS VARCHAR) AS held, 0 AS times, 0 AS kept FROM r WHERE n = 1
             UNION ALL SELECT stream, n, ordinal, NOT served, CASE WHEN served THEN kept ELSE status END, CASE WHEN served THEN held WHEN status = 200 THEN NULL WHEN final THEN key ELSE held END,

@@ -82,9 +82,13 @@ def run_folder(base: str, started: str) -> str:
     return f"{base.rstrip('/')}/run_ts={quote(started, safe='')}"
 
 
+def error_line(ts: Column, message: Column) -> Column:
+    return F.concat(F.lit("["), ts, F.lit("] "), message)
+
+
 def append_errors(rejects: DataFrame, path: str) -> None:
     """Error lines by run, each with its session; columns run_ts, session_id, ts, message."""
-    line = F.concat(F.lit("["), F.col("ts").cast("string"), F.lit("] "), F.col("message"))
+    line = error_line(F.col("ts").cast("string"), F.col("message"))
     rejects.select("run_ts", "session_id", line.alias("line")).write.mode("append").partitionBy("run_ts").json(path)
 
 
