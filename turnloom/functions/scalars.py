@@ -62,6 +62,14 @@ QUERIES = {
 _EDGE = "[\\x09-\\x0D\\x1C-\\x1F\\x85\\p{Z}]+"
 #: SQL for DuckDB that says the same in another way.
 ORACLES = {
+    "instance_ids": "SELECT doc_id, i AS instance, length(i) = 32 AS valid FROM (SELECT doc_id, left(sha256(CAST(doc_id AS VARCHAR)), 32 - CAST(doc_id % 5 = 0 AS INT)) AS i FROM documents) q",
+    "finite_values": "SELECT event_id, event_id % 10 NOT BETWEEN 1 AND 3 AND isfinite(value) AS finite FROM events",
+    "finish_reasons": "SELECT conv_id, tn, CASE WHEN conv_id % 4 = 1 OR conv_id % 4 > 1 AND n_completion > 99 THEN 'length' WHEN conv_id % 5 = 1 THEN 'tool_calls' ELSE 'stop' END AS finish_reason FROM turns",
+    "token_budgets": """SELECT conv_id, tn, budget, CASE WHEN conv_id % 7 <> 0 AND budget > 400 - n_prompt THEN 400 - n_prompt ELSE budget END AS clamped, conv_id % 7 <> 0 AND n_prompt >= 400 AS refused
+        FROM (SELECT *, CAST(list_filter([CASE WHEN conv_id % 3 = 0 THEN 128 END, CASE WHEN conv_id % 2 = 0 THEN 512 END, 65536], lambda x: x IS NOT NULL)[1] AS BIGINT) AS budget FROM turns) q""",
+    "weight_version_text": "SELECT doc_id, [NULL, '0', '1', '2'][doc_id % 4 + 1] AS weight_version FROM documents",
+    "context_windows": "SELECT doc_id, list_filter([CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN n_chars END, CASE WHEN doc_id % 6 <> 0 THEN n_chars + 1 END], lambda x: x > 0)[1] AS context_length FROM documents",
+    "usage_totals": "SELECT session_id, CAST(length(string_agg(prompt, '')) AS BIGINT) AS prompt_tokens, CAST(length(string_agg(completion, '')) AS BIGINT) AS completion_tokens, CAST(length(string_agg(prompt || completion, '')) AS BIGINT) AS total_tokens FROM turns GROUP BY session_id",
     # the layers as rows, the first of each key by a place instead of a coalesce
     "sampling_layers": f"""WITH l AS (SELECT * FROM {_LAYERED}), v AS ({" UNION ALL ".join(f"SELECT event_id, '{key}' AS k, {i} AS place, {name}_{key} AS v FROM l" for i, name in enumerate("rcqb") for key, _ in _KEYS)} UNION ALL SELECT event_id, k, 9, 1 FROM l, (VALUES ('temperature'), ('top_p')) d(k))
         SELECT event_id, greatest(arg_min(v, place) FILTER (k = 'temperature'), CAST(0.01 AS DOUBLE)) AS temperature, {", ".join(f"arg_min(v, place) FILTER (k = '{key}') AS {key}" for key, _ in _KEYS[1:])} FROM v WHERE v IS NOT NULL GROUP BY event_id""",

@@ -57,6 +57,10 @@ QUERIES = {
 
 #: SQL for DuckDB that says the same in another way.
 ORACLES = {
+    "merge_pairs": "SELECT doc_id, lang AS left_part, source AS right_part FROM documents",
+    "sampling_defaults": "SELECT DISTINCT source, CASE WHEN source <> 'src1' THEN CAST(0.5 AS DOUBLE) END AS temperature, CAST(length(source) AS BIGINT) AS top_k FROM documents",
+    "tool_definitions": "SELECT doc_id, NOT list_contains([doc_id % 7, doc_id % 5, doc_id % 11, doc_id % 13], 0) AS ok FROM documents",
+    "engine_responses": "SELECT conv_id, tn, CASE WHEN conv_id % 4 = 0 THEN 'length' WHEN conv_id % 9 = 2 THEN 'abort' ELSE 'stop' END AS finish_reason, CASE WHEN conv_id % 5 <> 0 THEN weight_version END AS weight_version, n_completion AS completion_tokens, n_completion > 0 AND (conv_id % 4 = 0 OR conv_id % 9 <> 2) AS accepted FROM turns",
     "tool_result_calls": """SELECT conv_id, turn, matched, CASE WHEN matched IS NULL THEN 'unmatched' WHEN conv_id % 5 = 0 AND (turn - 1) % 3 <> 0 THEN 'name' ELSE 'ok' END AS verdict
         FROM (SELECT r.conv_id, r.turn, CASE WHEN a.role = 'assistant' AND (conv_id % 4 = 1 AND conv_id % 3 <> 0 OR conv_id % 4 <> 1 AND conv_id % 7 <> 0) THEN concat('c', r.turn - 1, '-0') END AS matched FROM conversations r LEFT JOIN conversations a USING (conv_id) WHERE r.role = 'user' AND r.turn > 0 AND a.turn = r.turn - 1) q""",
     "stop_ids": f"""SELECT event_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS stop_ids

@@ -35,6 +35,9 @@ QUERIES = {
 
 #: SQL for DuckDB that says the same in another way.
 ORACLES = {
+    "instance_binding": "SELECT event_id, CASE user_id & 7 WHEN 3 THEN 412 ELSE 200 END AS status FROM events",
+    "template_pins": """SELECT model, coalesce(held, seen) AS pin, coalesce(held <> seen, FALSE) AS conflict
+        FROM (SELECT source AS model, min(lang) FILTER (doc_id % 2 = 0 AND source <> 'src3') AS held, max(lang) FILTER (doc_id % 2 = 1 OR source = 'src3') AS seen FROM documents GROUP BY source) q""",
     # the first of the refusals that hold, by their order
     "refusal_precedence": f"""SELECT event_id, coalesce(list_filter([CASE WHEN user_id % 29 = 0 THEN 401 END, CASE WHEN event_id % 13 = 0 OR event_id % 11 = 0 THEN 400 END, CASE WHEN event_type = 'error' THEN 410 END, CASE WHEN k = 0 THEN 404 END, CASE WHEN event_id % 6 = 2 THEN 400 END, CASE WHEN event_type = 'signup' THEN 409 END], lambda x: x IS NOT NULL)[1], 200) AS status FROM {_REQUESTS}""",
     "reasoning_efforts": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'invalid' WHEN 5 THEN 'ignored' ELSE 'default' END AS verdict FROM events",

@@ -94,6 +94,7 @@ _EACH = """SELECT session_id, turn_ordinal, n_completion, conv_id,
         list_filter([CASE WHEN conv_id % 31 = 7 THEN 'token_ids' END, CASE WHEN conv_id % 29 = 3 THEN 'purpose' END, CASE WHEN conv_id % 13 = 0 THEN 'logprobs' END, CASE WHEN conv_id % 37 = 2 THEN 'sampling' END], lambda x: x IS NOT NULL) AS failed FROM turns"""
 #: SQL for DuckDB that says the same in another way.
 ORACLES = {
+    "leading_prompt": """SELECT session_id, agent_id, segment_index, turn_ordinal, n_completion = 0 OR n_prompt > 0 AND conv_id % 9 <> 1 OR EXISTS (SELECT 1 FROM turns b WHERE b.session_id = t.session_id AND b.agent_id IS NOT DISTINCT FROM t.agent_id AND b.segment_index = t.segment_index AND b.turn_ordinal < t.turn_ordinal AND b.n_prompt + b.n_completion > 0) AS ok FROM turns t""",
     "agent_roles": "SELECT session_id, agent_id, role, count(*) AS n_turns, role IS NOT NULL AS registered FROM (SELECT *, CASE coalesce(agent_id, '') WHEN 'a0' THEN 'planner' WHEN 'a1' THEN 'worker' WHEN '' THEN 'legacy' END AS role FROM turns) q GROUP BY session_id, agent_id, role",
     "trial_results": """SELECT d.lang AS task_id, d.doc_id AS slot, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM labels) THEN 'missing' WHEN d.doc_id % 10 = 9 THEN 'unallocated' WHEN d.doc_id % 41 = 0 THEN 'wrong_attempt' WHEN d.doc_id % 43 = 0 THEN 'bad_score' ELSE 'ok' END AS verdict
         FROM documents d WHERE d.doc_id % 10 <> 9 OR d.doc_id IN (SELECT doc_id FROM labels)""",
