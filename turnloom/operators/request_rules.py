@@ -34,10 +34,13 @@ Test = Callable[[Column], Column]
 Rule = tuple[str, Test]  # a verdict, and whether a map of a body's fields fails it
 
 
+#: Kinds of whole numbers.
+INTS = ("BIGINT", "DECIMAL")
+
+
 def kind(v: Column) -> Column:
-    """Name of a variant's kind, and the empty text where there is none."""
-    k = F.coalesce(F.schema_of_variant(v), F.lit(""))
-    return F.when(k.startswith("OBJECT"), "OBJECT").when(k.startswith("ARRAY"), "ARRAY").when((k == "BIGINT") | k.startswith("DECIMAL"), "INT").otherwise(k)
+    """Name of a variant's kind without what it holds, and the empty text where there is none; whole numbers are INTS."""
+    return F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("")), "^[A-Z]+", 0)
 
 
 def at(v: Column, path: str, as_kind: str = "variant") -> Column:
@@ -54,7 +57,7 @@ def is_text(v: Column) -> Column:
 
 
 def is_int(least: int | None = None) -> Test:
-    return lambda v: (kind(v) == "INT") & (F.lit(True) if least is None else F.coalesce(at(v, "$", "decimal(38,0)") >= least, F.lit(False)))
+    return lambda v: kind(v).isin(*INTS) & (F.lit(True) if least is None else F.coalesce(at(v, "$", "decimal(38,0)") >= least, F.lit(False)))
 
 
 def is_list_of(test: Test, nonempty: bool = False) -> Test:
@@ -88,7 +91,7 @@ def in_range(name: str) -> Test:
 
     def check(v: Column) -> Column:
         number = at(v, "$", "double")
-        return (kind(v) == "INT" if name == "top_k" else kind(v).isin("INT", "DOUBLE")) & F.coalesce(RANGES[name](number) & (F.abs(number) < float("inf")), F.lit(False))
+        return kind(v).isin(*INTS, *([] if name == "top_k" else ["DOUBLE"])) & F.coalesce(RANGES[name](number) & (F.abs(number) < float("inf")), F.lit(False))
 
     return check
 
