@@ -148,6 +148,30 @@ def test_passages_whose_seeds_first_occur_in_several_documents(spark):
     assert [(i, got[i].n_repeated, got[i].partners) for i in range(12) if got[i].repeated] == [(2, 60, [3]), (3, 60, [2]), (10, 75, [11]), (11, 75, [10])]
 
 
+@pytest.mark.parametrize("copies", [2, 9])
+def test_passages_whose_every_part_many_earlier_documents_hold(spark, copies):
+    """Two documents share 60 words, of which others have 49 each; with 9 copies the seeds have more holders than are all compared."""
+    r = random.Random(26)
+    whole, one, two = prose(r, 60), prose(r, 30), prose(r, 30)
+    docs = [prose(r, 40) + whole[i : i + 49] + prose(r, 40) for _ in range(copies) for i in range(12)]
+    docs += [prose(r, 40) + part + prose(r, 40) for _ in range(6 * copies) for part in (one, two)]
+    n = len(docs)
+    docs += [prose(r, 20) + whole + prose(r, 20) for _ in range(2)] + [prose(r, 20) + one + prose(r, k) + two + prose(r, 20) for k in (1, 3)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in substring_dedup.report(d).collect()}
+    last = [(i - n, got[i].n_repeated, [p - n for p in got[i].partners if p >= n]) for i in range(n, n + 4)]
+    assert last == [(0, 60, [1]), (1, 60, [0]), (2, 61, [3]), (3, 63, [2])]
+
+
+def test_rows_in_step_are_those_of_a_loop():
+    r = np.random.default_rng(27)
+    a = np.array([0, 2, 3], np.uint8)[r.integers(0, 3, (40, 133))]
+    labels = [(1 + r.choice(9, r.integers(0, 3), replace=False)).tolist() for _ in a]
+    x, y = substring_dedup.in_step(a, a, labels, labels, True)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if ((a[i] == a[j]) & (a[i] > 0)).sum() >= substring_dedup.IN_STEP and not set(labels[i]) & set(labels[j])}
+    assert {(i, j) for i, j in zip(x.tolist(), y.tolist())} == want and 0 < len(want) < 780
+
+
 def test_passages_with_every_eighth_word_changed(spark):
     r = random.Random(12)
     docs = []
