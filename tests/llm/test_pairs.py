@@ -172,6 +172,68 @@ def test_rows_in_step_are_those_of_a_loop():
     assert {(i, j) for i, j in zip(x.tolist(), y.tolist())} == want and 0 < len(want) < 780
 
 
+def test_runs_that_many_documents_share_are_linked_by_neighbours(spark, monkeypatch):
+    """90 documents with a run of one word, of other lengths: each is compared with a few others, not with all."""
+    r = random.Random(28)
+    long = {i: 50 + (7 * i) % 19 for i in range(1, 91)}
+    own = lambda: [f"w{r.getrandbits(40)}" for _ in range(40)]
+    docs = {i: own() + ["so"] * n + own() for i, n in ({0: 40} | long).items()}
+    pairs, whole = [], substring_dedup.written
+
+    def counted(df, label, *more):
+        out = whole(df, label, *more)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", counted)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")
+    got = {x.doc_id: x.n_repeated for x in substring_dedup.report(d).collect()}
+    assert got == {0: 0} | {i: min(n, max(m for j, m in long.items() if j != i)) for i, n in long.items()}
+    assert pairs and pairs[0] <= 4 * len(docs)
+
+
+def test_neighbours_cover_what_any_other_row_shares():
+    r = np.random.default_rng(29)
+    side, width = substring_dedup.SIDE, 2 * substring_dedup.SIDE + substring_dedup.K
+    rows = r.integers(2, 256, (5, width)).astype(np.uint8)[r.integers(0, 5, 60)]
+    for row in rows:
+        lo, hi = r.integers(0, side), r.integers(side + substring_dedup.K, width + 1)
+        row[:lo], row[hi:] = r.integers(0, 256, lo), 0 if r.random() < 0.2 else r.integers(0, 256, width - hi)
+    pairs = substring_dedup.neighbours(rows)
+
+    def covered(i, others):
+        out = set()
+        for j in others:
+            back, on = substring_dedup.runs(((rows[i] == rows[j]) & (rows[i] > 0))[None])
+            if back[0] + on[0] >= substring_dedup.MIN_WORDS:
+                out |= set(range(side - back[0], side + on[0]))
+        return out
+
+    assert 0 < len(pairs) < 300
+    for i in range(60):
+        assert covered(i, set(range(60)) - {i}) == covered(i, [b if a == i else a for a, b in pairs if i in (a, b)])
+
+
+def test_what_is_left_out_around_a_seed_holds_no_passage():
+    r = np.random.default_rng(30)
+    side, k, width = substring_dedup.SIDE, substring_dedup.K, 2 * substring_dedup.SIDE + substring_dedup.K
+    rows = r.random((300, width)) < r.choice([0.3, 0.6, 0.75, 0.85, 0.95], (300, 1))
+    rows[:, side : side + k] = True
+    rows[::2, 100:] = False
+    want = [any(v[x] and v[y - 1] and 100 * v[x:y].sum() >= 80 * (y - x) for x in range(side + 1) for y in range(max(side + k, x + 50), width + 1)) for v in rows]
+    got = substring_dedup.possible(rows)
+    assert got[want].all() and 0 < sum(want) and not got.all()
+
+
+def test_seeds_of_pairs_are_joined_as_in_a_loop():
+    r = np.random.default_rng(31)
+    h, g = r.integers(-5, 5, 300), r.integers(-5, 5, 200)
+    of, to = np.sort(r.integers(0, 20, 300)), np.sort(r.integers(0, 20, 200))
+    x, y = substring_dedup.joined(h, of, g, to)
+    assert sorted(zip(x.tolist(), y.tolist())) == [(i, j) for i in range(300) for j in range(200) if h[i] == g[j] and of[i] == to[j]]
+
+
 def test_passages_with_every_eighth_word_changed(spark):
     r = random.Random(12)
     docs = []
