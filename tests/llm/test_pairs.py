@@ -200,11 +200,12 @@ def test_neighbours_cover_what_any_other_row_shares():
     for row in rows:
         lo, hi = r.integers(0, side), r.integers(side + substring_dedup.K, width + 1)
         row[:lo], row[hi:] = r.integers(0, 256, lo), 0 if r.random() < 0.2 else r.integers(0, 256, width - hi)
-    pairs = substring_dedup.neighbours(rows)
+    docs = r.integers(0, 25, 60)
+    pairs = substring_dedup.neighbours(rows, docs)
 
     def covered(i, others):
         out = set()
-        for j in others:
+        for j in (j for j in others if docs[j] != docs[i]):
             back, on = substring_dedup.runs(((rows[i] == rows[j]) & (rows[i] > 0))[None])
             if back[0] + on[0] >= substring_dedup.MIN_WORDS:
                 out |= set(range(side - back[0], side + on[0]))
